@@ -58,7 +58,7 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, wei
     prefix = per.select("source", "digits", (F.sum("n").over(W.partitionBy("source").orderBy("digits")) - F.col("n")).alias("before"))
     heads = prefix.join(targets, same(prefix, targets)).select(prefix["source"], "digits", "before", "source_size", "target")
     queued = rows.join(heads, same(rows, heads) & (rows["digits"] == heads["digits"])).select(rows["*"], "before", "source_size", "target")
-    cumulative = F.col("before") + F.sum("size").over(W.partitionBy("source", "digits").orderBy("key", "doc_id", "size", "row"))
+    cumulative = F.col("before") + F.sum("size").over(W.partitionBy("source", "digits").orderBy("key", "doc_id", "size"))
     queued = written(queued.withColumn("reached", cumulative).drop("before", "digits"))
 
     def finish(epoch):
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, wei
     if full is None:
         taken = lambda e: F.lit(1)
     else:
-        ending = entries.filter(F.col("bin") == full["bin"]).withColumn("upto", full["upto"] - full["n"] + F.sum("size").over(W.orderBy("at", "row")))
+        ending = entries.filter(F.col("bin") == full["bin"]).withColumn("upto", full["upto"] - full["n"] + F.sum("size").over(W.orderBy("at")))
         last = ending.filter(F.col("upto") <= budget).agg(F.max("at").alias("at")).first()["at"]
 
         def taken(epoch):
@@ -95,6 +95,16 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, wei
     return queued.select("row", "doc_id", "source", "size", "source_size", "target", epochs.cast("int").alias("epochs"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes them; columns as in docs."""
+    plan = mix(docs, **options).filter("epochs > 0").groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"))
+    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("__size", size)
+    same = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["__size"] == plan["size"])
+    often = rows.join(plan, same).select(*[rows[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("epochs"))).alias("__time"))
+    return often.select(*docs.columns)
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), "source")

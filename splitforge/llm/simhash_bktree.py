@@ -33,71 +33,134 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import components, table, written
 
-SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 6, 42
+SHINGLE, RADIUS, BLOCKS, SEED, SKETCH = 4, 4, 6, 42, 48
 
 
-def _fingerprint(text: bytes, shingle: int) -> int:
-    """Bit b is set if it is set in over half of the shingle hashes."""
+_rng = np.random.Generator(np.random.PCG64(7))
+_TURNS = _rng.integers(1, 2**63, SKETCH, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle; of the whole sequence if it is shorter."""
     words = text.split()  # bytes.split() cuts at exactly the six ASCII white-space bytes
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, stops[:-1] + 1)[: len(words) - shingle + 1].tolist()
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :].tolist())], np.uint64)
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes; zero without any."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65_536):  # very long texts in parts
         counts += np.unpackbits(hashes[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long, has_text): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats."""
+def _sketch(hashes: np.ndarray, size: int) -> bytes:
+    """One byte of the least value under each of ``size`` multiplications: bytes of two texts agree as often as their shingle sets overlap."""
+    if not len(hashes):
+        return bytes(size)
+    least = np.array([(hashes * turn).min() for turn in _TURNS[:size]])
+    return (B.mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0) -> DataFrame:
+    """(doc_id, fp long[, sketch binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_fingerprint(t.as_py().lower() if t.is_valid else b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
-
-
-def bk_tree_links(values: list[int], radius: int) -> list[int]:
-    """For each value the index of its group's root, after linking all values within the radius through one BK-tree."""
-    root = list(range(len(values)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    children: list[dict[int, int]] = [{}]
-    for i in range(1, len(values)):
-        v, todo, own = values[i], [0], i
-        at = 0
-        while todo:
-            node = todo.pop()
-            d = (values[node] ^ v).bit_count()
-            if d <= radius and (r := find(node)) != own:
-                lo, own = (r, own) if r < own else (own, r)
-                root[own], own = lo, lo
-            kids = children[node]
-            if len(kids) <= 2 * radius:
-                todo += [k for e, k in kids.items() if -radius <= e - d <= radius]
-            else:
-                todo += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
-        while True:  # insertion
-            d = (values[at] ^ v).bit_count()
-            if d not in children[at]:
-                children[at][d] = i
+            fps, sketches = [], []
+            for t in batch.column(1):
+                hashes = _hashes(t.as_py().lower() if t.is_valid else b"", shingle)
+                fps.append(_fingerprint(hashes))
+                sketches.append(_sketch(hashes, sketch) if sketch else b"")
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.binary())][: 2 + bool(sketch)], names=["doc_id", "fp", "sketch"][: 2 + bool(sketch)])
+
+    schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, member) for ranges start .. start + count."""
+    which = np.repeat(np.arange(len(start)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which]
+
+
+class BKForest:
+    """One BK-tree a shard, grown and searched level by level for all shards of a batch at once.
+
+    ``shard`` is sorted; the first value of a shard is its root.  A child hangs
+    below its parent at their integer Hamming distance; values of a shard are distinct.
+    """
+
+    def __init__(self, shard: np.ndarray, values: np.ndarray) -> None:
+        n = len(values)
+        new = np.append(True, shard[1:] != shard[:-1])[:n]
+        self.values, self.top = values, np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        parent, edge, at = np.full(n, -1), np.zeros(n, np.int64), self.top.copy()
+        moving = np.flatnonzero(~new)
+        while len(moving):
+            d = np.bitwise_count(values[moving] ^ values[at[moving]]).astype(np.int64)
+            key = at[moving] * 65 + d
+            by = np.argsort(key, kind="stable")
+            moving, key, d = moving[by], key[by], d[by]
+            lead = np.append(True, key[1:] != key[:-1])
+            child = moving[np.maximum.accumulate(np.where(lead, np.arange(len(moving)), 0))]
+            parent[moving[lead]], edge[moving[lead]] = at[moving[lead]], d[lead]
+            at[moving] = child
+            moving = np.sort(moving[~lead])
+        by = np.lexsort((edge, parent))
+        self.child, self.edge = by, edge[by]
+        self.first = np.searchsorted(parent[by], np.arange(n))
+        self.count = np.bincount(parent[parent >= 0], minlength=n)
+
+    def linked(self, radius: int, agrees=None, step: int = 4_000_000) -> np.ndarray:
+        """The least index linked to each value; a link is a distance within the radius that ``agrees`` (if given) accepts."""
+        n = len(self.values)
+        root = np.arange(n)
+        load = np.cumsum(np.bincount(self.top, minlength=n)[self.top])
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + step, "right")))
+            who = np.arange(lo, hi)
+            at = self.top[who]
+            while len(who):
+                d = np.bitwise_count(self.values[who] ^ self.values[at]).astype(np.int64)
+                near = (d <= radius) & (at < who) & (root[at] != root[who])
+                if near.any():
+                    a, b = at[near], who[near]
+                    if agrees is not None:
+                        ok = agrees(a, b)
+                        a, b = a[ok], b[ok]
+                    _join(root, a, b)
+                which, slot = _ranges(self.first[at], self.count[at])
+                keep = np.abs(self.edge[slot] - d[which]) <= radius
+                who, at = who[which[keep]], self.child[slot[keep]]
+            lo = hi
+        return root
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the sets of a[i] and b[i]; root stays flat, each set named by its least member."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
                 break
-            at = children[at][d]
-        children.append({})
-    return [find(i) for i in range(len(values))]
+            root[:] = up
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -105,79 +168,87 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-def _shards(radius: int):
-    """Sorted (key, fp, node) -> edges (u, v): each run of equal keys is one shard."""
+def _shards(radius: int, similarity: float | None):
+    """Sorted (key, fp, node[, sketch]) -> edges (u, v): each run of equal keys is one shard."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, fp, node = (rows.column(i).to_numpy() for i in range(3))
+        agrees = None
+        if similarity is not None:
+            sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
+            agrees = lambda a, b: (sketch[a] == sketch[b]).mean(1) >= similarity
+        root = BKForest(key, fp.view(np.uint64)).linked(radius, agrees)
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                now = [batch.column(i).to_numpy() for i in range(3)]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if held is None:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            key, fp, node = held
-            if batch is not None:
-                other = np.flatnonzero(key != key[-1])
-                cut = int(other[-1]) + 1 if len(other) else 0
-            else:
-                cut = len(key)
-            if not cut:
+            held.append(batch)
+            n += batch.num_rows
+            if n < 50_000:
                 continue
-            held = [key[cut:], fp[cut:], node[cut:]] if cut < len(key) else None
-            key, fp, node = key[:cut], fp[:cut].view(np.uint64), node[:cut]
-            new = np.append(True, key[1:] != key[:-1])
-            head = np.flatnonzero(new)
-            size = np.diff(np.append(head, cut))
-            us, vs = [], []
-            pairs = head[size == 2]
-            near = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius]
-            us.append(node[near])
-            vs.append(node[near + 1])
-            for a, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
-                roots = np.array(bk_tree_links(fp[a : a + n].tolist(), radius))
-                joined = np.flatnonzero(roots != np.arange(n))
-                us.append(node[a + joined])
-                vs.append(node[a + roots[joined]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows.column(0).to_numpy()
+            other = np.flatnonzero(key != key[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield links(rows.slice(0, cut))
+            held, n = rows.slice(cut).to_batches(), 0 if cut else n // 2
+        if held:
+            yield links(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _with_end(batches):
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
-
+def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, similarity: float | None = None) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node long, fp long[, sketch]; fp distinct) whose closure links every pair within the radius.
 
-def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node long, fp long, fp distinct) whose closure links every pair within the radius."""
-    if not 0 <= radius < blocks <= 64:
-        raise ValueError("0 <= radius < blocks <= 64")
-    masks = _block_masks(blocks)
+    ``agree`` whole blocks make a key.  Left out, it is blocks - radius, and no pair
+    within the radius can be missed; set higher for wide radii, a pair is met if it
+    agrees on that many blocks.  ``similarity`` also asks that the sketches agree so far.
+    """
+    agree = blocks - radius if agree is None else agree
+    if not 0 <= radius <= 64 or not 1 <= agree <= blocks <= 64:
+        raise ValueError("0 <= radius <= 64 and 1 <= agree <= blocks <= 64")
     keys = []
-    for k, chosen in enumerate(combinations(masks, blocks - radius)):
+    for k, chosen in enumerate(combinations(_block_masks(blocks), agree)):
         mask = sum(chosen)
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(k)))
-    dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_shards(radius), "u long, v long").distinct()
+    extra = [] if similarity is None else ["sketch"]
+    dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node", *extra).repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(_shards(radius, similarity), "u long, v long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    marked = written(fingerprints(docs, shingle))
+    marked = written(fingerprints(docs, shingle, SKETCH if similarity is not None else 0))
     # A fingerprint's node number is its smallest doc_id; fingerprints of rows without ids get negative numbers of their own.
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63)))).alias("node"))
-    nodes = written(nodes)
-    groups = components(link_edges(nodes, radius, blocks))
-    named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    extra = [] if similarity is None else [F.min("sketch").alias("sketch")]
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *extra)
+    nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63))))))
+    groups = components(link_edges(nodes, radius, blocks, agree, similarity))
+    named = nodes.select("fp", "least", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Negative stand-ins never are names: the least real id of each component is.
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(names, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id; columns as in docs.
+
+    Rows without a doc_id cannot be named by a group: exact copies among them go, the rest stays.
+    """
+    groups = near_duplicate_groups(docs.filter("doc_id is not null"), **options)
+    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

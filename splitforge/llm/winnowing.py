@@ -162,18 +162,47 @@ def _scan(lookup):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hit_words, items): hit word ranges [from, to) and the sorted ids of items with a window in the text."""
+def _lookups(spark: SparkSession, benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> list:
+    """Broadcasts of at most about ``block_bytes`` of benchmark text each."""
     if not 1 <= gram <= window:
         raise ValueError("1 <= gram <= window")
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    parts = []
+    out = []
     for k in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        lookup = spark.sparkContext.broadcast(Lookup([(r.item_id, bytes(r.text)) for r in mine.toLocalIterator()], window, gram))
+        out.append(spark.sparkContext.broadcast(Lookup([(r.item_id, bytes(r.text)) for r in mine.toLocalIterator()], window, gram)))
+    return out
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any window of the benchmark; columns as in docs, no shuffle."""
+
+    def keep(lookup):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look, hasher = lookup.value, B.Hasher()
+            for batch, buf, at in B.chunks(batches, "text"):
+                buf = B.LOWER[buf]
+                start, end, doc = B.words(buf, at, B.ALNUM)
+                _, _, hit = look.hits(hasher.spans(hasher.prefix(buf), start, end), doc)
+                clean = np.ones(batch.num_rows, bool)
+                clean[doc[hit]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for lookup in _lookups(docs.sparkSession, benchmark, window, gram, block_bytes):
+        docs = docs.mapInArrow(keep(lookup), docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, hit_words, items): hit word ranges [from, to) and the sorted ids of items with a window in the text."""
+    lookups = _lookups(docs.sparkSession, benchmark, window, gram, block_bytes)
+    blocks = len(lookups)
+    parts = []
+    for lookup in lookups:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([F.monotonically_increasing_id().alias("row")] if blocks > 1 else []))
         schema = "doc_id long, " + ("row long, " if blocks > 1 else "") + "n_words long, hit_words array<array<long>>, items array<string>"
         parts.append(rows.mapInArrow(_scan(lookup), schema))
