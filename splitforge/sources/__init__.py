@@ -1 +1,18 @@
+"""Readers and writers: labelled CSV, split files, run catalogs, distance caches."""
 
+from .readers import file_signatures, input_signature, read_catalog, read_labelled, read_split_indices, require_columns
+from .writers import read_cache, write_cache, write_labelled, write_split_indices, write_splits
+
+__all__ = [
+    "file_signatures",
+    "input_signature",
+    "read_cache",
+    "read_catalog",
+    "read_labelled",
+    "read_split_indices",
+    "require_columns",
+    "write_cache",
+    "write_labelled",
+    "write_split_indices",
+    "write_splits",
+]

@@ -1 +1 @@
-
+"""Nothing yet: splitting has no streaming operators, all inputs are bounded tables."""
