@@ -1,4 +1,6 @@
-"""Registered queries."""
+"""Registered queries of the splitting operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import QUERIES
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
