@@ -19,12 +19,12 @@ def classification_metrics(rows: DataFrame, by: list[str], positive: int = 1) ->
     down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy(*by)
     t = g.select(
-        *by, "p", "n", "same", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(all_).alias("P"), F.sum(F.col("n") - F.col("p")).over(all_).alias("N"),
+        *by, "p", "n", "same", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(all_).alias("pos"), F.sum(F.col("n") - F.col("p")).over(all_).alias("neg"),
         F.coalesce(F.sum(F.col("n") - F.col("p")).over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"),
     )
-    roc = F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * (F.col("n") - F.col("p")))), F.max(F.col("P") * F.col("N")))
-    ap = F.sum(F.try_divide(F.col("p").cast("double"), F.col("P")) * (F.col("tp") / F.col("k")))
-    two = (F.max("P") > 0) & (F.max("N") > 0)
+    roc = F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * (F.col("n") - F.col("p")))), F.max(F.col("pos") * F.col("neg")))
+    ap = F.sum(F.try_divide(F.col("p").cast("double"), F.col("pos")) * (F.col("tp") / F.col("k")))
+    two = (F.max("pos") > 0) & (F.max("neg") > 0)
     return t.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("same") / F.sum("n")).alias("accuracy"), F.when(two, roc).alias("roc_auc"), F.when(two, ap).alias("pr_auc"))
 
 
