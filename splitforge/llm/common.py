@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain shuffles, which Spark can split at a hub
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v"), F.col("m").alias("u")).filter("u <> v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (

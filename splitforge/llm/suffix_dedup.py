@@ -22,8 +22,11 @@ anchor form a *bundle* (about 140 bytes of text and 40 window starts).
    fall between different leads, so runs of equal suffixes never cross a
    boundary.  Each bucket sorts its windows by multikey quicksort, eight bytes a
    key, and all windows but the first of an equal run are repeats.
-4. Ranges meet the text once more by doc_id (the same shuffled text is read
-   again), are merged and cut.
+   Leads with more than ``crowd`` different bundles (a line that many documents
+   hold, each in a context of its own) would fill a bucket; their windows go
+   through steps 1 and 2 again one by one, as 128-bit hashes, and so are dealt
+   evenly, with copies combined before the shuffle.
+4. Ranges meet the text once more by doc_id, are merged and cut.
 
 Nulls: a null text is empty; a null doc_id comes before all others.  doc_id is
 expected to be a key: rows that share a doc_id and a text have the same place,
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import table, written
 
-LENGTH, LEAD = 100, 16
+LENGTH, LEAD, CROWD = 100, 16, 64
 BLOCK_BUNDLES = 1 << 20
 SEGMENT = 8 << 20
 _PLACE = "h long, c long, doc long, lo long, hi long"
@@ -120,23 +123,25 @@ def _rows(h, c, doc, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64, copy=False) if np.asarray(x).dtype != np.uint64 else x.view(np.int64)) for x in (h, c, doc, lo, hi)], names=["h", "c", "doc", "lo", "hi"])
 
 
+def _flush(parts: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """Of a block's (h, c, doc, lo, code): first copies as they are, later ones as byte ranges."""
+    h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((lo, doc, c, h))
+    h, c, doc, lo, hi = h[order], c[order], doc[order], lo[order], hi[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+    again &= (doc != doc[head]) | (lo != lo[head])
+    keep = ~again
+    yield _rows(h[keep], c[keep], doc[keep], lo[keep], hi[keep])
+    d, a, b = _merged(doc[again], lo[again], lo[again] + (hi[again] & 255) + length)
+    if len(d):
+        yield _rows(B.mix(d.view(np.uint64)), np.zeros(len(d), np.int64), d, a, -b)
+
+
 def _place(length: int, lead: int):
     """Scan side: unresolved bundles as (h, c, doc, first start, last start and anchor packed); ranges as (doc hash, 0, doc, lo, -hi)."""
 
-    def flush(parts):
-        h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((lo, doc, c, h))
-        h, c, doc, lo, hi = h[order], c[order], doc[order], lo[order], hi[order]
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-        again &= (doc != doc[head]) | (lo != lo[head])
-        keep = ~again
-        yield _rows(h[keep], c[keep], doc[keep], lo[keep], hi[keep])
-        d, a, b = _merged(doc[again], lo[again], lo[again] + (hi[again] & 255) + length)
-        if len(d):
-            yield _rows(B.mix(d.view(np.uint64)), np.zeros(len(d), np.int64), d, a, -b)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, parts, n = B.Hasher(), [], 0
         for batch, buf, at in B.chunks(batches, "text"):
@@ -150,10 +155,10 @@ def _place(length: int, lead: int):
                 parts.append((h, c, ids[row + k].astype(np.int64), start, ((anchor - first) << 8) | (last - first)))
                 n += len(h)
             if n >= BLOCK_BUNDLES:
-                yield from flush(parts)
+                yield from _flush(parts, length)
                 parts, n = [], 0
         if n:
-            yield from flush(parts)
+            yield from _flush(parts, length)
 
     return run
 
@@ -181,7 +186,7 @@ def _whole(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterat
 
 
 def _resolve(length: int):
-    """Dealt by anchor hash, sorted by (h, c, doc, lo): later copies become ranges (hi < 0), first copies with rivals stay (hi >= 0)."""
+    """Dealt by anchor hash, sorted by (h, c, doc, lo): later copies become ranges (hi < 0), first copies with rivals stay (hi >= 0, c their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole(batches, "h", 200_000):
@@ -200,7 +205,8 @@ def _resolve(length: int):
                 out.append((doc[later], lo[later], lo[later] + (hi[later] & 255) + length))
                 open_ = new_c & rivals
                 n = int(open_.sum())
-                yield _rows(h[open_], np.zeros(n, np.int64), doc[open_], lo[open_], hi[open_])
+                if n:
+                    yield _rows(h[open_], np.bincount(which[open_])[which[open_]], doc[open_], lo[open_], hi[open_])
             d, a, b = _merged(*(np.concatenate(x) for x in zip(*out)))
             yield _rows(np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, a, -b)
 
@@ -208,29 +214,29 @@ def _resolve(length: int):
 
 
 def _contents(length: int, lead: int):
-    """Documents with their open bundles -> (lead, doc, lo, anchor offset, bytes)."""
+    """Documents with their open bundles -> (lead, doc, lo, crowd, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo_row in range(0, batch.num_rows, 256):
                 part = batch.slice(lo_row, 256)
-                leads, docs, los, offs, bodies = [], [], [], [], []
+                leads, docs, los, crowds, bodies = [], [], [], [], []
                 for doc, text, places in zip(ids[lo_row : lo_row + 256], part.column(1), part.column(2)):
                     text = text.as_py() or b""
                     flat = places.values.flatten()
-                    for lo, code in zip(flat[0].to_numpy(), flat[1].to_numpy()):
+                    for lo, code, crowd in zip(*(x.to_numpy() for x in flat)):
                         body = text[lo : lo + (code & 255) + length]
                         at = int(code >> 8)
                         if len(body) == (code & 255) + length:
                             leads.append(body[at : at + lead])
                             docs.append(doc)
                             los.append(lo)
-                            offs.append(at)
+                            crowds.append(crowd)
                             bodies.append(body)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leads, pa.binary()), pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(offs, pa.int64()), pa.array(bodies, pa.binary())],
-                    names=["lead", "doc", "lo", "off", "body"],
+                    [pa.array(leads, pa.binary()), pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(crowds, pa.int64()), pa.array(bodies, pa.binary())],
+                    names=["lead", "doc", "lo", "crowd", "body"],
                 )
 
     return run
@@ -266,6 +272,13 @@ def multikey_quicksort(buf: np.ndarray, start: np.ndarray, length: int) -> tuple
     return order, block
 
 
+def _starts(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bundle, start in the buffer) of every window of the bundles at ``at``."""
+    windows = np.diff(at) - length + 1
+    bundle = np.repeat(np.arange(len(windows)), windows)
+    return bundle, np.arange(len(bundle)) - np.repeat(np.cumsum(windows) - windows, windows) + at[bundle]
+
+
 def _bucket(length: int):
     """A bucket's bundles, sorted by lead -> byte ranges of windows that also start earlier."""
 
@@ -273,13 +286,11 @@ def _bucket(length: int):
         for group in _whole(batches, "lead", 20_000):
             buf, at = B.buffers(group.column("body").combine_chunks())
             doc, lo = group.column("doc").to_numpy(), group.column("lo").to_numpy()
-            windows = np.diff(at) - length + 1
-            bundle = np.repeat(np.arange(len(doc)), windows)
-            step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-            order, run_no = multikey_quicksort(buf, at[bundle] + step, length)
+            bundle, start = _starts(at, length)
+            order, run_no = multikey_quicksort(buf, start, length)
             if not len(order):
                 continue
-            d, p = doc[bundle[order]], lo[bundle[order]] + step[order]
+            d, p = doc[bundle[order]], (lo[bundle] + start - at[bundle])[order]
             by = np.lexsort((p, d, run_no))
             d, p, run_no = d[by], p[by], run_no[by]
             new = np.append(True, run_no[1:] != run_no[:-1])
@@ -291,18 +302,42 @@ def _bucket(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> tuple[DataFrame, DataFrame]:
+def _hashed(length: int):
+    """Bundles of crowded leads -> their windows, each with two 64-bit hashes, in the form of the scan's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, half, parts, n = B.Hasher(), length // 2, [], 0
+        for batch, buf, at in B.chunks(batches, "body"):
+            doc, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bundle, start = _starts(at, length)
+            prefix = hasher.prefix(buf)
+            first, second = hasher.spans(prefix, start, start + half), hasher.spans(prefix, start + half, start + length)
+            whole = hasher.spans(prefix, start, start + length)
+            parts.append((whole, B.mix(first * np.uint64(3) + second), doc[bundle], lo[bundle] + start - at[bundle], np.zeros(len(start), np.int64)))
+            n += len(start)
+            if n >= BLOCK_BUNDLES:
+                yield from _flush(parts, length)
+                parts, n = [], 0
+        if n:
+            yield from _flush(parts, length)
+
+    return run
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(texts, ranges): texts as (doc, doc_id, text binary), dealt by doc; ranges as (doc, lo, hi), possibly overlapping."""
     if not 8 <= lead <= length <= 200:
         raise ValueError("8 <= lead <= length <= 200")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc"), F.col("text").cast("binary").alias("text"))
     placed = texts.filter(F.octet_length("text") >= length).mapInArrow(_place(length, lead), _PLACE)
     resolved = written(placed.repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_resolve(length), _PLACE))
-    opened = resolved.filter("hi >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    bodies = texts.join(opened, "doc").select("doc", "text", "places").mapInArrow(_contents(length, lead), "lead binary, doc long, lo long, off long, body binary")
-    sorted_ = bodies.repartitionByRange("lead").sortWithinPartitions("lead")
-    found = sorted_.mapInArrow(_bucket(length), _PLACE)
-    ranges = resolved.filter("hi < 0").select("doc", "lo", (-F.col("hi")).alias("hi")).unionByName(found.select("doc", "lo", (-F.col("hi")).alias("hi")))
+    opened = resolved.filter("hi >= 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "c")).alias("places"))
+    bodies = written(texts.join(opened, "doc").select("doc", "text", "places").mapInArrow(_contents(length, lead), "lead binary, doc long, lo long, crowd long, body binary"))
+    sorted_ = bodies.filter(F.col("crowd") <= crowd).repartitionByRange("lead").sortWithinPartitions("lead")
+    found = sorted_.mapInArrow(_bucket(length), _PLACE).select("doc", "lo", (-F.col("hi")).alias("hi"))
+    windows = bodies.filter(F.col("crowd") > crowd).select("doc", "lo", "body").mapInArrow(_hashed(length), _PLACE)
+    later = windows.repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_resolve(length), _PLACE).filter("hi < 0").select("doc", "lo", (-F.col("hi")).alias("hi"))
+    ranges = resolved.filter("hi < 0").select("doc", "lo", (-F.col("hi")).alias("hi")).unionByName(found).unionByName(later)
     return texts, ranges
 
 
@@ -336,9 +371,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, keep_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256[, kept]): per row its removed byte ranges and what is left, as bytes."""
-    texts, ranges = repeated_ranges(docs, length, lead)
+    texts, ranges = repeated_ranges(docs, length, lead, crowd)
     gathered = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     out = texts.join(gathered, "doc", "left").mapInArrow(_cut, "doc long, n_bytes long, spans array<array<long>>, kept_sha256 string, kept binary")
     doc_id = F.when(F.col("doc") != _NULL_DOC, F.col("doc")).alias("doc_id")
