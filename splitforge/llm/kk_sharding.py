@@ -12,7 +12,7 @@ Slots count from zero without gaps in each shard: rows are numbered within
 (shard, hash bucket) and the sizes of the earlier buckets are added, so a shard
 dominated by one group of copies is numbered by many tasks.
 
-Nulls: a null text has size 8 and checksum 0, and null texts form one group; a
+Nulls: a null text counts as an empty one (size 8, checksum 0, the same group); a
 null doc_id is numbered before all others.  Repeated rows get slots of their own.
 """
 
@@ -112,7 +112,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, block_groups: int = BLOCK_GROUP
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text))).alias("gkey"),
+            F.unhex(F.md5(text)).alias("gkey"),
         )
     )
     groups = written(rows.groupBy("gkey").agg(F.sum("size").alias("gsize")))
