@@ -37,16 +37,18 @@ def popcount(words: Column) -> Column:
 def _block_pairs(rows: DataFrame, id_: str, pairs: list[tuple[int, int]], compare: Callable, schema: str) -> DataFrame:
     """rows have ``block``; ``compare`` gets two frames and yields pairs (index in a, index in b, values...)."""
     spark = rows.sparkSession
-    sides = [(a, k, 0) for k, (a, b) in enumerate(pairs)] + [(b, k, 1) for k, (a, b) in enumerate(pairs) if a != b]
+    # side 2: a block against itself
+    sides = [(a, k, 0 if a != b else 2) for k, (a, b) in enumerate(pairs)] + [(b, k, 1) for k, (a, b) in enumerate(pairs) if a != b]
     plan = spark.createDataFrame(sides or [(-1, -1, 0)], "block int, pair int, side int")
     dealt = rows.join(plan, "block")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.side == 0].sort_values(id_).reset_index(drop=True)
-        b = pdf[pdf.side == 1].sort_values(id_).reset_index(drop=True)
-        own = b.empty and pdf.block.nunique() == 1
-        if own:
-            b = a
+        own = pdf.side.iloc[0] == 2
+        a = pdf[pdf.side != 1].sort_values(id_).reset_index(drop=True)
+        b = a if own else pdf[pdf.side == 1].sort_values(id_).reset_index(drop=True)
+        if a.empty or b.empty:  # no rows were dealt to one of the blocks
+            return pd.DataFrame(columns=names)
         i, j, *values = compare(a, b)
         left, right = a[id_].to_numpy()[i], b[id_].to_numpy()[j]
         keep = left < right if own else left != right
