@@ -126,7 +126,7 @@ FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN s a ON
     "classification_metrics": """WITH b AS (SELECT lang, quality, n_chars AS sc, (n_chars > 1000) = (quality = 1) AS same FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT lang, sc, count(*) FILTER (WHERE quality = 1) AS p, count(*) AS n, count(*) FILTER (WHERE same) AS same FROM b GROUP BY 1, 2),
 t AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY sc DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY sc DESC ROWS UNBOUNDED PRECEDING) AS k, coalesce(sum(n - p) OVER (PARTITION BY lang ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER (PARTITION BY lang) AS pp, sum(n - p) OVER (PARTITION BY lang) AS nn FROM g)
-SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(same) * 1e0 / sum(n), 9) AS accuracy, round(sum(p * (below + 0.5e0 * (n - p))) / max(pp * nn), 9) AS roc_auc, round(sum(CAST(p AS DOUBLE) / pp * (CAST(tp AS DOUBLE) / k)), 9) AS pr_auc FROM t GROUP BY lang""",
+SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(same) * 1e0 / sum(n), 9) AS accuracy, round(sum(p * (below + 0.5e0 * (n - p))) / max(pp * nn), 9) AS roc_auc, CASE WHEN max(pp) > 0 AND max(nn) > 0 THEN round(sum(CAST(p AS DOUBLE) / pp * (CAST(tp AS DOUBLE) / k)), 9) END AS pr_auc FROM t GROUP BY lang""",
     "mae_rmse_r2": "SELECT l_returnflag, count(*) AS n, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM (SELECT l_returnflag, l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY 1",
     "run_summary": "SELECT o_orderpriority, o_orderstatus, count(*) AS run_count, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std FROM orders GROUP BY 1, 2",
     "pivot_first": f"SELECT p AS o_orderpriority, max(value) FILTER (WHERE o_orderstatus = 'F') AS \"F\", max(value) FILTER (WHERE o_orderstatus = 'O') AS \"O\", max(value) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) v(p) LEFT JOIN {_CELLS} ON o_orderpriority = p GROUP BY p",
