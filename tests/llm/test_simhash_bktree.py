@@ -94,6 +94,35 @@ def test_representatives_keep_one_of_each_group(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [2, 5, None]
 
 
+def test_bands_find_pairs_of_high_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):  # an original and copies with one to six words changed
+        base = words(rng, rng.randrange(150, 400), 10_000).split()
+        texts.append(" ".join(base))
+        for k in range(1, 7):
+            for at in range(k):
+                base[(k * 23 + at * 11) % len(base)] = f"new{k}_{at}"
+            texts.append(" ".join(base))
+    texts += [None, "", "few words", "few words here"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    got = {r.doc_id: r.component_id for r in H.near_duplicate_groups(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), shingle=5, radius=20, similarity=0.78, bands=10).collect()}
+    high = found = 0
+    for i in range(len(texts)):
+        best = 0.0
+        for j in range(len(texts)):
+            if i == j or not sets[i] or not sets[j]:
+                continue
+            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            best = max(best, like)
+            if j < i and like >= 0.8:
+                high, found = high + 1, found + (got[i] == got[j])
+        if best < 0.6 and sets[i]:
+            assert list(got.values()).count(got[i]) == 1
+    assert high > 150 and found >= 0.95 * high
+    assert got[420] == got[421] == 420  # texts without words are one group
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert H.near_duplicate_groups(empty).count() == 0
