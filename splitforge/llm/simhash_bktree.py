@@ -158,10 +158,15 @@ class BKForest:
                 near = (d <= radius) & (at < who) & (root[at] != root[who])
                 if near.any():
                     a, b = at[near], who[near]
-                    if agrees is not None:
-                        ok = agrees(a, b)
-                        a, b = a[ok], b[ok]
-                    _join(root, a, b)
+                    if agrees is None:
+                        _join(root, a, b)
+                    else:  # in parts: sketches of few pairs are held, and pairs joined by an earlier part are not compared
+                        for k in range(0, len(a), 50_000):
+                            x, y = a[k : k + 50_000], b[k : k + 50_000]
+                            apart = root[x] != root[y]
+                            x, y = x[apart], y[apart]
+                            ok = agrees(x, y)
+                            _join(root, x[ok], y[ok])
                 which, slot = _ranges(self.first[at], self.count[at])
                 keep = np.abs(self.edge[slot] - d[which]) <= radius
                 who, at = who[which[keep]], self.child[slot[keep]]
