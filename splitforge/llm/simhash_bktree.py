@@ -264,10 +264,13 @@ def near_duplicate_groups(
     nodes = nodes.select("fp", "least", *(["x.sketch", "x.bands"] if sketch else []))
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63))))))
     groups = components(link_edges(nodes, radius, blocks, agree, similarity, bands))
-    named = nodes.select("fp", "least", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Negative stand-ins never are names: the least real id of each component is.
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "component").select("fp", "component_id")
+    named = written(nodes.select("fp", "least", "node").join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
+    # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
+    # Only below 0 the least real id is looked for: no stand-in ever is a component_id.
+    below = named.filter("component < 0")
+    names = below.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_fp = named.filter("component >= 0").select("fp", F.col("component").alias("component_id"))
+    by_fp = by_fp.union(below.join(names, "component").select("fp", "component_id"))
     return marked.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

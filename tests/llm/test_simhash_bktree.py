@@ -53,6 +53,9 @@ def test_equals_brute_force(spark, tmp_path):
         base[rng.randrange(len(base))] = f"n{k}"
         rows.append((5000 - k, " ".join(base), "en", "s", 1))
     rows += [(7, rows[0][1], None, None, None), (None, rows[0][1], None, None, None)]
+    apart = words(rng, 300)  # groups with ids below 0, without an id, and with both
+    rows += [(-9, apart, None, None, None), (None, apart + " x", None, None, None), (None, words(rng, 300), None, None, None)]
+    rows += [(-3, words(rng, 200), None, None, None)]
     saved(frame(spark, rows, extra=True), str(tmp_path), "documents")
     fps = [(r[0], brute_fp(r[1])) for r in rows]
     want = sorted(zip([d for d, _ in fps], [f"{f:016x}" for _, f in fps], brute_groups(fps)), key=str)
