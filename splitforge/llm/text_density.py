@@ -8,8 +8,10 @@ gets its composite text density: characters per tag, adjusted by its share of li
 characters and link tags against the body's; densities of the children are
 summed.  The element with the greatest sum is the core, the least density on the
 path from it to the body is the threshold, and from the body down each element at
-or over the threshold gives the element of greatest sum below it.  A core inside an
-``article`` or ``main`` stands for the whole of that element.
+or over the threshold gives the element of greatest sum below it; the walk then goes
+on into its children.  An element inside an ``article`` or ``main`` stands for the
+whole of that element.  As in the method, a part whose density is below the
+threshold goes: on a page without any link that may be a short part beside a long one.
 
 The logarithm's base in the density is shifted by e - 1, so that pages without
 links have a defined density.
@@ -167,49 +169,41 @@ def main_text(page: str) -> str:
         if not total[i]:
             total[i] = density[i]
 
-    def best(node: int) -> int:
-        return max(range(node, tree.last[node] + 1), key=lambda k: (-1.0 if tree.dropped[k] else total[k], -k))
-
-    def whole(node: int) -> int:
-        found, k = node, node
-        while k > 0:
-            if tree.tag[k] in ("article", "main"):
-                found = k
-            k = tree.parent[k]
-        return found
+    # The element of greatest sum in each subtree (the first of equals), and the outermost article or main around each element.
+    best, whole = list(range(n)), list(range(n))
+    for i in range(n - 1, 0, -1):
+        up = tree.parent[i]
+        if not tree.dropped[i] and (best[up] != up and total[best[i]] >= total[best[up]] or total[best[i]] > total[best[up]]):
+            best[up] = best[i]
+    outer = [0] * n
+    for i in range(1, n):
+        outer[i] = outer[tree.parent[i]] or (i if tree.tag[i] in ("article", "main") else 0)
+        whole[i] = outer[i] or i
 
-    core = best(body)
+    core = best[body]
     threshold, k = density[core], core
     while k != body and k > 0:
         k = tree.parent[k]
         threshold = min(threshold, density[k])
-    ranges, todo = [], [body]
+    marked, todo = [False] * n, [body]
     while todo:
         node = todo.pop()
-        if tree.dropped[node] or not chars[node]:
-            continue
-        if density[node] >= threshold:
-            top = whole(best(node))
-            ranges.append((top, tree.last[top]))
+        if marked[node] or tree.dropped[node] or not chars[node] or density[node] < threshold:
             continue
+        top = whole[best[node]]
+        if not marked[top]:
+            marked[top : tree.last[top] + 1] = [True] * (tree.last[top] + 1 - top)
         k = node + 1
         while k <= tree.last[node]:
             todo.append(k)
             k = tree.last[k] + 1
-    ranges.sort()
-    merged: list[list[int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
     blocks, current = [], []
     for piece in [*tree.pieces, None]:
         if piece is None:
             if line := " ".join("".join(current).split()):
                 blocks.append(line)
             current = []
-        elif not tree.dropped[piece[0]] and any(a <= piece[0] <= b for a, b in merged):
+        elif marked[piece[0]] and not tree.dropped[piece[0]]:
             current.append(piece[1])
     return "\n".join(blocks)
 

@@ -27,6 +27,17 @@ def test_density_finds_the_body_without_article():
     assert text == f"{BODY.strip()}\n{BODY.strip()}"
 
 
+def test_text_in_sibling_containers_is_all_kept():
+    lead = [f"{x}: rain fell for nine days on the upper valley, and then it stopped for one." for x in ("First", "Second", "Third")]
+    body = [f"{x}: by noon the bridge had gone and the lower mill stood in four feet of water." for x in ("Fourth", "Fifth", "Sixth", "Seventh", "Eighth")]
+    a, b = ("".join(f"<p>{t}</p>" for t in part) for part in (lead, body))
+    box = "<div class=box><a href=1>Maps</a> <a href=2>Photos</a></div>"
+    want = "\n".join(lead + body)
+    links = "<ul>" + "".join(f"<li><a href={k}>Story number {k}</a>" for k in range(8)) + "</ul>"
+    assert D.main_text(page(f"<div class=part>{a}</div>{box}<div class=part>{b}</div>")) == want
+    assert D.main_text(page(f"<div class=lead>{a}</div><div class=body>{b}</div>{links}")) == want
+
+
 def test_broken_and_empty_pages():
     assert D.main_text("") == D.main_text("   \n") == ""
     assert D.main_text("plain text only") == "plain text only"
