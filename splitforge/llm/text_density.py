@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
 A small tolerant reader builds the element tree of a page (unclosed and stray tags
-included).  Elements that never hold main text go first: scripts, styles, forms,
-menus, headers, footers, asides, hidden parts, and parts whose class, id or role
-names an advert, notice, sidebar or reader comments.  Every remaining element then
+included).  Elements that seldom hold main text go first: forms, menus, headers,
+footers, asides, hidden parts, and parts with a class, id or role that as a whole
+names an advert, notice, sidebar or reader comments.  Such a part stays if it holds
+an ``article`` or ``main``, or most of the body's characters outside links, unless
+the page has an ``article`` or ``main`` with text apart from it.  Scripts, styles,
+controls and the head always go.  Every remaining element then
 gets its composite text density: characters per tag, adjusted by its share of link
 characters and link tags against the body's; densities of the children are
 summed.  The element with the greatest sum is the core, the least density on the
@@ -45,24 +48,31 @@ _BLOCK = set(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main", "blockquote"}
 
-# Fixed word lists: elements, and words of class, id and role, that mark what is not main text.
-_DROP = set("script style noscript template head nav footer aside form button select textarea input iframe object svg canvas menu dialog title".split())
+# Fixed word lists: elements that always go, elements and words of class, id and role that mark what is seldom main text,
+# words that may stand beside those in a class, and all that a head can hold.
+_NEVER = set("script style noscript template head button select textarea input iframe object svg canvas title".split())
+_DROP = set("nav footer aside form menu dialog".split())
 _DROP_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar comment comments commentlist disqus respond replies related recommended share sharing social pagination pager skip complementary search".split()
 )
 _DROP_OUTSIDE = set("header footer masthead contentinfo copyright".split())
+_BESIDE = set("area bar block bottom box container left list primary right secondary section site top widget".split())
+_IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
+_MAIN = ("article", "main")
 
 
 class _Tree:
-    """Elements in page order: parent, tag, dropped; pieces of text by element, None where a block starts or ends."""
+    """Elements in page order: parent, tag, clutter (1 by its marks, 2 always), dropped; pieces of text by element, None where a block starts or ends."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.tag, self.dropped, self.last = [-1], [""], [False], [0]
+        self.parent, self.tag, self.clutter, self.last = [-1], [""], [0], [0]
         self.pieces: list[tuple[int, str] | None] = []
         stack, pos = [0], 0
         while pos < len(page):
             m = _TAG.search(page, pos)
             if text := page[pos : m.start() if m else len(page)]:
+                if self.tag[stack[-1]] == "head" and text.strip():
+                    self._close(stack, "head")
                 self.pieces.append((stack[-1], H.unescape(text)))
             if not m:
                 break
@@ -82,6 +92,7 @@ class _Tree:
         for i in range(len(self.parent) - 1, 0, -1):
             self.last[i] = max(self.last[i], i)
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
+        self.dropped = self._dropped()
 
     def _close(self, stack: list[int], name: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -92,6 +103,8 @@ class _Tree:
                 return
 
     def _open(self, stack: list[int], name: str, attrs: str) -> None:
+        if name == "body" or self.tag[stack[-1]] == "head" and name not in _IN_HEAD:
+            self._close(stack, "head")
         closes = _CLOSES.get(name, {"p"} if name in _BLOCK else ())
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
@@ -106,7 +119,7 @@ class _Tree:
         up = stack[-1]
         self.parent.append(up)
         self.tag.append(name)
-        self.dropped.append(self.dropped[up] or self._is_clutter(stack, name, attrs))
+        self.clutter.append(2 if name in _NEVER else int(self._is_clutter(stack, name, attrs)))
         self.last.append(node)
         if name == "br":
             self.pieces.append((up, " "))
@@ -114,19 +127,67 @@ class _Tree:
             stack.append(node)
 
     def _is_clutter(self, stack: list[int], name: str, attrs: str) -> bool:
-        inside = any(self.tag[n] in ("article", "main") for n in stack)
+        inside = any(self.tag[n] in _MAIN for n in stack)
         if name in _DROP or name == "header" and not inside:
             return True
         if name in ("html", "body", "article", "main") or not attrs.strip():
             return False
-        words: set[str] = set()
+        words = _DROP_WORDS if inside else _DROP_WORDS | _DROP_OUTSIDE
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
-                words.update(re.findall(r"[a-z]+", value))
+                for token in value.split():
+                    parts = set(re.findall(r"[a-z]+", token))
+                    if parts & words and parts <= (words | _BESIDE if key == "class" else words):
+                        return True
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        return bool(words & _DROP_WORDS) or not inside and bool(words & _DROP_OUTSIDE)
+        return False
+
+    def _dropped(self) -> list[bool]:
+        """Whether an element goes: clutter and all below it, but for clutter that stands for the main text."""
+        n = len(self.parent)
+        if 1 not in self.clutter:
+            dropped = [False] * n
+            for i in range(1, n):
+                dropped[i] = dropped[self.parent[i]] or self.clutter[i] > 0
+            return dropped
+        gone, link, chars, holds = [False] * n, [False] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.clutter[i] == 2
+            link[i] = link[self.parent[i]] or self.tag[i] == "a"
+        for piece in self.pieces:
+            if piece and not gone[piece[0]] and not link[piece[0]]:
+                chars[piece[0]] += len("".join(piece[1].split()))
+        own = chars[:]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            holds[self.parent[i]] += holds[i] + (self.tag[i] in _MAIN and chars[i] > 0)
+        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
+        whole = chars[body] or chars[0]
+
+        def elsewhere(stays: list[bool]) -> list[bool]:
+            """Whether an article or main that is not around an element has text outside clutter."""
+            under, left, around = [False] * n, own[:], [0] * n
+            for i in range(1, n):
+                under[i] = under[self.parent[i]] or self.clutter[i] > 0 and not stays[i]
+                left[i] *= not under[i]
+            for i in range(n - 1, 0, -1):
+                left[self.parent[i]] += left[i]
+            free = [self.tag[i] in _MAIN and left[i] > 0 for i in range(n)]
+            total = sum(free)
+            for i in range(1, n):
+                around[i] = around[self.parent[i]] + free[i]
+            return [k < total for k in around]
+
+        other = elsewhere([False] * n)
+        stays = [self.clutter[i] == 1 and holds[i] > 0 and not other[i] for i in range(n)]
+        other = elsewhere(stays)
+        dropped = [False] * n
+        for i in range(1, n):
+            keep = stays[i] or self.clutter[i] == 1 and 2 * chars[i] > whole and not other[i]
+            dropped[i] = dropped[self.parent[i]] or self.clutter[i] > 0 and not keep
+        return dropped
 
 
 def main_text(page: str) -> str:
@@ -177,7 +238,7 @@ def main_text(page: str) -> str:
             best[up] = best[i]
     outer = [0] * n
     for i in range(1, n):
-        outer[i] = outer[tree.parent[i]] or (i if tree.tag[i] in ("article", "main") else 0)
+        outer[i] = outer[tree.parent[i]] or (i if tree.tag[i] in _MAIN else 0)
         whole[i] = outer[i] or i
 
     core = best[body]

@@ -38,6 +38,25 @@ def test_text_in_sibling_containers_is_all_kept():
     assert D.main_text(page(f"<div class=lead>{a}</div><div class=body>{b}</div>{links}")) == want
 
 
+def test_clutter_marks_do_not_drop_the_main_text():
+    text = BODY.strip()
+    article = f"<article><p>{BODY}</p></article>"
+    for wrap in ("<div class='content-sidebar-wrap'>", "<div class='layout has-sidebar'>", "<div class=sidebar>", "<form>", "<div style='display:none'>"):
+        end = f"</{wrap[1:5].rstrip('>').strip()}>"
+        assert D.main_text(page(f"{wrap}{article}<div class=sidebar>Aside</div>{end}")) == text
+    inside = f"<article><h2 id='search-results'>Results</h2><p>{BODY}</p><section id='related-work'><p>{BODY}</p></section><div id='sharing-data'>Data</div><div class='share-social'>Share</div></article>"
+    assert D.main_text(page(inside)) == f"Results\n{text}\n{text}\nData"
+    assert D.main_text(f"<body><form><nav><a href=/>Home</a></nav><div><p>{BODY}</p><p>{BODY}</p></div></form></body>") == f"{text}\n{text}"
+    assert D.main_text(f"<main><form><p>{BODY}</p></form></main>") == text
+    assert D.main_text(page(f"<article><p>{BODY}</p></article><section class=comments><article><p>{BODY * 3}</p></article></section>")) == text
+
+
+def test_a_head_may_stay_open():
+    for start in ("<body>", "<p>", "<div>"):
+        assert D.main_text(f"<html><head><meta charset=utf-8><title>T</title><style>p {{}}</style>{start}{BODY}") == BODY.strip()
+    assert D.main_text(f"<head><title>T</title>{BODY}") == BODY.strip()
+
+
 def test_broken_and_empty_pages():
     assert D.main_text("") == D.main_text("   \n") == ""
     assert D.main_text("plain text only") == "plain text only"
