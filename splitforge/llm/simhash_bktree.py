@@ -13,12 +13,17 @@ shard's own root of that group, never all pairs.
 Shard trees are dealt by key, not broadcast: all trees together grow with the
 corpus, so no size bound for a broadcast can be proven.
 
-64 bits cannot tell a similarity of 0.8 from 0.7.  With ``similarity`` a link also
-asks that min-wise sketches of the two shingle sets (``SKETCH`` bytes, standard
-error 0.025 at 0.8) agree so far, and with ``bands`` the shards are the values of
-that many groups of ``BAND_ROWS`` min-wise hashes instead of blocks of bits: a wide
-radius shares few whole blocks, whereas ten bands miss 1 pair in 200 at 0.8, and
-unlike texts seldom meet.
+64 bits cannot tell a similarity of 0.8 from 0.7.  With ``similarity`` a link is a
+pair of texts whose sets of shingles have at least that Jaccard similarity, counted
+exactly on the sets of 64-bit shingle hashes.  Candidates are pairs within a shard
+whose min-wise sketches (``SKETCH`` bytes, standard error 0.025 at 0.8) agree to
+within ``SLACK`` of the limit.  A shard proposes the spanning forest of greatest
+agreement, the proposed pairs are joined with their sets and counted, and a shard
+with a refused pair proposes again, without the pairs decided and ever more of the
+others, until none is left: every candidate is confirmed, refused, or between texts
+linked already.  With ``bands`` the shards are the values of that many groups of
+``BAND_ROWS`` min-wise hashes instead of blocks of bits, and fingerprints have no
+say: ten bands miss 1 pair in 200 at 0.8, and unlike texts seldom meet.
 
 Nulls: a null or empty text has fingerprint zero and links like any other; rows
 with a null doc_id get fingerprints, take part in linking and are never a
@@ -40,9 +45,10 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import components, table, written
 
-SHINGLE, RADIUS, BLOCKS, SEED, SKETCH, BAND_ROWS = 4, 4, 6, 42, 256, 4
+SHINGLE, RADIUS, BLOCKS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 6, 42, 256, 4, 0.1
 
 
+_OF_SET = ["set_id"]  # what finds a node's row among the sets
 _rng = np.random.Generator(np.random.PCG64(7))
 _TURNS = _rng.integers(1, 2**63, SKETCH, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -86,26 +92,32 @@ def _bands(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands: int = 0) -> DataFrame:
-    """(doc_id, fp long[, sketch binary, bands array<long>]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats."""
+    """(doc_id, fp long[, sketch binary, bands array<long>, set_id binary, members binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats.
+
+    ``members`` are the distinct shingle hashes in order, ``set_id`` is the XXH128 of them.
+    """
     if bands * BAND_ROWS > sketch or sketch > SKETCH:
         raise ValueError("bands * BAND_ROWS <= sketch <= SKETCH")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], np.zeros((batch.num_rows, sketch), np.uint64)
+            fps, sets, least = [], [], np.zeros((batch.num_rows, sketch), np.uint64)
             for i, t in enumerate(batch.column(1)):
                 hashes = _hashes(t.as_py().lower() if t.is_valid else b"", shingle)
                 fps.append(_fingerprint(hashes))
                 if sketch:
-                    least[i] = _least(hashes, sketch)
+                    distinct = np.unique(hashes)
+                    sets.append(distinct.tobytes())
+                    least[i] = _least(distinct, sketch)
             columns, names = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
             if sketch:
                 columns.append(pa.array([row.tobytes() for row in (B.mix(least) & np.uint64(255)).astype(np.uint8)], pa.binary()))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(_bands(least, bands).reshape(-1))))
-                names += ["sketch", "bands"]
+                columns += [pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())]
+                names += ["sketch", "bands", "set_id", "members"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "")
+    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>, set_id binary, members binary" if sketch else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -143,8 +155,8 @@ class BKForest:
         self.first = np.searchsorted(parent[by], np.arange(n))
         self.count = np.bincount(parent[parent >= 0], minlength=n)
 
-    def linked(self, radius: int, agrees=None, step: int = 4_000_000) -> np.ndarray:
-        """The least index linked to each value; a link is a distance within the radius that ``agrees`` (if given) accepts."""
+    def linked(self, radius: int, step: int = 4_000_000) -> np.ndarray:
+        """The least index linked to each value; a link is a distance within the radius."""
         n = len(self.values)
         root = np.arange(n)
         load = np.cumsum(np.bincount(self.top, minlength=n)[self.top])
@@ -157,16 +169,7 @@ class BKForest:
                 d = np.bitwise_count(self.values[who] ^ self.values[at]).astype(np.int64)
                 near = (d <= radius) & (at < who) & (root[at] != root[who])
                 if near.any():
-                    a, b = at[near], who[near]
-                    if agrees is None:
-                        _join(root, a, b)
-                    else:  # in parts: sketches of few pairs are held, and pairs joined by an earlier part are not compared
-                        for k in range(0, len(a), 50_000):
-                            x, y = a[k : k + 50_000], b[k : k + 50_000]
-                            apart = root[x] != root[y]
-                            x, y = x[apart], y[apart]
-                            ok = agrees(x, y)
-                            _join(root, x[ok], y[ok])
+                    _join(root, at[near], who[near])
                 which, slot = _ranges(self.first[at], self.count[at])
                 keep = np.abs(self.edge[slot] - d[which]) <= radius
                 who, at = who[which[keep]], self.child[slot[keep]]
@@ -195,19 +198,105 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-def _shards(radius: int, similarity: float | None):
-    """Sorted (key, fp, node[, sketch]) -> edges (u, v): each run of equal keys is one shard."""
+def _proposed(same: np.ndarray, sketch: np.ndarray, fp: np.ndarray, refused: dict[int, list[int]], least: float, radius: int, more: int) -> list[tuple[int, int]]:
+    """Pairs of one shard to count: the spanning forest of greatest agreement (Prim), and up to ``more`` of the best others a text.
+
+    ``same`` names the group that a text is known to be in; ``refused`` has pairs that are no links.
+    """
+    n = len(same)
+    rest, best, source = np.arange(n), np.full(n, -1.0), np.full(n, -1)
+    pairs, values, fps = [], sketch.copy(), fp.copy()
+    while n:
+        k = int(best[:n].argmax())
+        one, value, bits = int(rest[k]), values[k].copy(), fps[k]
+        if least <= best[k] <= 1:
+            pairs.append((one, int(source[k])))
+        n -= 1
+        for x in (rest, best, source, values, fps):
+            x[k] = x[n]
+        others = rest[:n]
+        agree = np.count_nonzero(values[:n] == value, axis=1) / len(value)
+        if radius < 64:
+            agree[np.bitwise_count(fps[:n] ^ bits) > radius] = -1
+        if one in refused:
+            agree[np.isin(others, refused[one])] = -1
+        agree[same[others] == same[one]] = 2
+        if more:
+            open_ = np.flatnonzero((agree >= least) & (agree <= 1))
+            pairs += [(int(others[i]), one) for i in open_[np.argsort(-agree[open_], kind="stable")[:more]]]
+        better = agree > best[:n]
+        best[:n][better], source[:n][better] = agree[better], one
+    return pairs
+
+
+def _proposals(least: float, radius: int, more: int):
+    """Sorted (key, fp, node, sketch, u, v, link) -> (key, u, v): rows with u are pairs that the shard has been told of."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key = rows.column(0).to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        out: list[tuple[int, int, int]] = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            part = rows.slice(lo, hi - lo)
+            is_text = part.column(3).is_valid().to_numpy()
+            texts, told = part.filter(pa.array(is_text)), part.filter(pa.array(~is_text)).select([4, 5, 6]).to_pylist()
+            node = texts.column(2).to_numpy()
+            names, same = np.unique(node, return_inverse=True)  # rows of one number are one text or share an id
+            first = {int(x): i for i, x in enumerate(names)}
+            root, refused = np.arange(len(names)), {}
+            yes = [(first[t["u"]], first[t["v"]]) for t in told if t["link"]]
+            if yes:
+                _join(root, *np.array(yes).T)
+            members = np.split(np.argsort(same, kind="stable"), np.cumsum(np.bincount(same))[:-1]) if told else []
+            for t in told:
+                if not t["link"]:
+                    a, b = members[first[t["u"]]].tolist(), members[first[t["v"]]].tolist()
+                    for x in a:
+                        refused.setdefault(x, []).extend(b)
+                    for x in b:
+                        refused.setdefault(x, []).extend(a)
+            sketch = np.frombuffer(b"".join(texts.column(3).to_pylist()), np.uint8).reshape(len(node), -1)
+            fp = texts.column(1).to_numpy().view(np.uint64)
+            for i, j in _proposed(root[same], sketch, fp, refused, least, radius, more):
+                out.append((key[lo], min(node[i], node[j]), max(node[i], node[j])))
+        columns = np.array(out, np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "u", "v"])
+
+    return _by_shard(links)
+
+
+def _count(similarity: float):
+    """(u, v, members of u, members of v) -> (u, v, link)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            link = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(m.as_py(), np.uint64) for m in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                link.append(both == len(x) == len(y) or both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["u", "v", "link"])
+
+    return run
+
+
+def _shards(radius: int):
+    """Sorted (key, fp, node) -> edges (u, v): each run of equal keys is one shard."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         key, fp, node = (rows.column(i).to_numpy() for i in range(3))
-        agrees = None
-        if similarity is not None:
-            sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(len(key), -1)
-            agrees = lambda a, b: (sketch[a] == sketch[b]).mean(1) >= similarity
-        root = BKForest(key, fp.view(np.uint64)).linked(radius, agrees)
+        root = BKForest(key, fp.view(np.uint64)).linked(radius)
         joined = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], names=["u", "v"])
 
+    return _by_shard(links)
+
+
+def _by_shard(links):
+    """Calls ``links`` on whole shards of the rows, which are sorted by key, some 50,000 rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
@@ -231,39 +320,83 @@ def _shards(radius: int, similarity: float | None):
     return run
 
 
-def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, similarity: float | None = None, bands: int = 0) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node long, fp long[, sketch, bands]; fp distinct) whose closure links every pair within the radius.
-
-    ``agree`` whole blocks make a key.  Left out, it is blocks - radius, and no pair
-    within the radius can be missed; set higher for wide radii, a pair is met if it
-    agrees on that many blocks.  With ``bands`` the keys are the nodes' bands.
-    ``similarity`` also asks that the sketches agree so far.
-    """
+def _keys(radius: int, blocks: int, agree: int | None, bands: int):
     agree = blocks - radius if agree is None and not bands else agree or 1
     if not 0 <= radius <= 64 or not 1 <= agree <= blocks <= 64:
         raise ValueError("0 <= radius <= 64 and 1 <= agree <= blocks <= 64")
+    if bands:
+        return F.col("bands")
     keys = []
     for k, chosen in enumerate(combinations(_block_masks(blocks), agree)):
         mask = sum(chosen)
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(k)))
-    keys = F.col("bands") if bands else F.array(*keys)
-    extra = [] if similarity is None else ["sketch"]
-    dealt = nodes.select(F.explode(keys).alias("key"), "fp", "node", *extra).repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_shards(radius, similarity), "u long, v long").distinct()
+    return F.array(*keys)
+
+
+def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node long, fp long; fp distinct) whose closure links every pair within the radius.
+
+    ``agree`` whole blocks make a key.  Left out, it is blocks - radius, and no pair
+    within the radius can be missed; set higher for wide radii, a pair is met if it
+    agrees on that many blocks.
+    """
+    dealt = nodes.select(F.explode(_keys(radius, blocks, agree, 0)).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(_shards(radius), "u long, v long").distinct()
+
+
+def similar_edges(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, bands: int = 0) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node, fp, sketch, bands, set_id), each of the similarity or more by the ``members`` of ``sets``.
+
+    Their closure links every such pair that shares a band or, without ``bands``, is
+    within the radius and shares a key of ``link_edges``.
+    """
+    dealt = nodes.select(F.explode(_keys(radius, blocks, agree, bands)).alias("key"), "fp", "node", "sketch")
+    told = decided = None
+    more = 0
+    while True:
+        rows = dealt.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("u", "long"), ("v", "long"), ("link", "boolean"))])
+        if told is not None:
+            active = written(told.filter("round = 1 and not link").select("key").distinct())
+            if active.isEmpty():
+                break
+            known = told.select("key", *[F.lit(None).cast(t).alias(c) for c, t in (("fp", "long"), ("node", "long"), ("sketch", "binary"))], "u", "v", "link")
+            rows = rows.unionByName(known).join(active, "key", "left_semi")
+        sorted_ = rows.repartition("key").sortWithinPartitions("key", "node")
+        proposed = written(sorted_.mapInArrow(_proposals(similarity - SLACK, 64 if bands else radius, more), "key long, u long, v long").distinct())
+        pairs = proposed.select("u", "v").distinct()
+        if decided is not None:
+            pairs = pairs.join(decided, ["u", "v"], "left_anti")
+        pairs = written(pairs)
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        # written, so that both sides of the joins are plain shuffles, which Spark can split at a hub
+        members = written(sets.join(nodes.join(ends, "node", "left_semi").select("node", *_OF_SET), _OF_SET).dropDuplicates(["node", "set_id"]).select("node", "members"))
+        each = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
+        counted = each.select("u", "v", "a", "b").mapInArrow(_count(similarity), "u long, v long, link boolean").groupBy("u", "v").agg(F.max("link").alias("link"))
+        counted = written(counted)
+        decided = counted if decided is None else decided.union(counted)
+        now = written(proposed.join(decided, ["u", "v"]).select("key", "u", "v", "link", F.lit(1).alias("round")))
+        told = now if told is None else now.union(told.withColumn("round", F.lit(0)))
+        more = 4 * more or 4
+    return decided.filter("link").select("u", "v")
 
 
 def near_duplicate_groups(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, similarity: float | None = None, bands: int = 0
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    sketch = SKETCH if bands or similarity is not None else 0
-    marked = written(fingerprints(docs, shingle, sketch, bands))
-    # A fingerprint's node number is its smallest doc_id; fingerprints of rows without ids get negative numbers of their own.
-    extra = [F.min(F.struct("sketch", "bands")).alias("x")] if sketch else []
+    if bands and similarity is None:
+        raise ValueError("bands need a similarity")
+    marked = written(fingerprints(docs, shingle, 0 if similarity is None else SKETCH, bands))
+    # A node's number is its smallest doc_id; nodes of rows without ids get negative numbers of their own.
+    extra = [] if similarity is None else [F.min(F.struct("sketch", "bands", "set_id")).alias("x")]
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *extra)
-    nodes = nodes.select("fp", "least", *(["x.sketch", "x.bands"] if sketch else []))
+    nodes = nodes.select("fp", "least", *(["x.*"] if extra else []))
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63))))))
-    groups = components(link_edges(nodes, radius, blocks, agree, similarity, bands))
+    if similarity is None:
+        edges = link_edges(nodes, radius, blocks, agree)
+    else:
+        edges = similar_edges(nodes, marked.select("set_id", "members"), similarity, radius, blocks, agree, bands)
+    groups = components(edges)
     named = written(nodes.select("fp", "least", "node").join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
     # Only below 0 the least real id is looked for: no stand-in ever is a component_id.
