@@ -1,7 +1,7 @@
 """Near-duplicate groups: SimHash fingerprints linked through BK-trees.
 
 Fingerprints are made in one scan and only (doc_id, fingerprint) is ever
-shuffled.  Equal fingerprints are one node.  The 64 bits are cut into blocks; two
+shuffled.  Equal fingerprints are one node (with ``similarity`` equal sets of shingles).  The 64 bits are cut into blocks; two
 fingerprints at most ``radius`` bits apart agree on at least
 ``blocks - radius`` whole blocks, so every choice of that many blocks is a key
 under which each linked pair meets at least once.  A shard is one key's nodes:
@@ -48,7 +48,6 @@ from .common import components, table, written
 SHINGLE, RADIUS, BLOCKS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 6, 42, 256, 4, 0.1
 
 
-_OF_SET = ["set_id"]  # what finds a node's row among the sets
 _rng = np.random.Generator(np.random.PCG64(7))
 _TURNS = _rng.integers(1, 2**63, SKETCH, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -345,7 +344,7 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agr
 
 
 def similar_edges(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, bands: int = 0) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node, fp, sketch, bands, set_id), each of the similarity or more by the ``members`` of ``sets``.
+    """(u, v) edges between ``nodes`` (node, least, fp, sketch, bands, set_id), each of the similarity or more by the ``members`` of ``sets`` (set_id, least).
 
     Their closure links every such pair that shares a band or, without ``bands``, is
     within the radius and shares a key of ``link_edges``.
@@ -369,7 +368,9 @@ def similar_edges(nodes: DataFrame, sets: DataFrame, similarity: float, radius:
         pairs = written(pairs)
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         # written, so that both sides of the joins are plain shuffles, which Spark can split at a hub
-        members = written(sets.join(nodes.join(ends, "node", "left_semi").select("node", *_OF_SET), _OF_SET).dropDuplicates(["node", "set_id"]).select("node", "members"))
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
+        members = sets.join(wanted, (sets.set_id == wanted.set_id) & sets.least.eqNullSafe(wanted.id)).select("node", wanted.set_id, "members")
+        members = written(members.dropDuplicates(["node", "set_id"]).select("node", "members"))
         each = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
         counted = each.select("u", "v", "a", "b").mapInArrow(_count(similarity), "u long, v long, link boolean").groupBy("u", "v").agg(F.max("link").alias("link"))
         counted = written(counted)
@@ -387,24 +388,26 @@ def near_duplicate_groups(
     if bands and similarity is None:
         raise ValueError("bands need a similarity")
     marked = written(fingerprints(docs, shingle, 0 if similarity is None else SKETCH, bands))
-    # A node's number is its smallest doc_id; nodes of rows without ids get negative numbers of their own.
-    extra = [] if similarity is None else [F.min(F.struct("sketch", "bands", "set_id")).alias("x")]
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *extra)
-    nodes = nodes.select("fp", "least", *(["x.*"] if extra else []))
-    nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63))))))
+    # A node is a fingerprint or, with similarity, a set of shingles: texts of one fingerprint can be unlike each other.
+    # Its number is its smallest doc_id; nodes of rows without ids get negative numbers of their own.
+    by, rest = ("fp", []) if similarity is None else ("set_id", ["fp", "sketch", "bands"])
+    extra = [F.min(F.struct(*rest)).alias("x")] if rest else []
+    nodes = marked.groupBy(by).agg(F.min("doc_id").alias("least"), *extra)
+    nodes = nodes.select(by, "least", *(["x.*"] if rest else []))
+    nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(by).bitwiseOR(F.lit(-(2**63))))))
     if similarity is None:
         edges = link_edges(nodes, radius, blocks, agree)
     else:
-        edges = similar_edges(nodes, marked.select("set_id", "members"), similarity, radius, blocks, agree, bands)
+        edges = similar_edges(nodes, marked.select("set_id", F.col("doc_id").alias("least"), "members"), similarity, radius, blocks, agree, bands)
     groups = components(edges)
-    named = written(nodes.select("fp", "least", "node").join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")))
+    named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
     # Only below 0 the least real id is looked for: no stand-in ever is a component_id.
     below = named.filter("component < 0")
     names = below.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.filter("component >= 0").select("fp", F.col("component").alias("component_id"))
-    by_fp = by_fp.union(below.join(names, "component").select("fp", "component_id"))
-    return marked.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = named.filter("component >= 0").select(by, F.col("component").alias("component_id"))
+    by_node = by_node.union(below.join(names, "component").select(by, "component_id"))
+    return marked.select(*{"doc_id": 0, "fp": 0, by: 0}).join(by_node, by).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

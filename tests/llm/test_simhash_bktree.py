@@ -145,6 +145,19 @@ def test_similarity_is_decided_exactly(spark):
     assert all(d % 2 and d < 120 and (d // 2) % 2 for d in wrong) and len(wrong) <= 1  # ten bands miss 1 pair in 200
 
 
+def test_one_fingerprint_is_no_link_by_itself(spark):
+    line = "this one line comes again "
+    own = [" ".join(f"{c}{i}" for i in range(150)) for c in "abcd"]
+    rows = [(k, line * 400 + text, "en", "s", 1) for k, text in enumerate(own)]
+    near = own[2].split()
+    near[70] = "changed"
+    rows.append((9, line * 400 + " ".join(near), "en", "s", 1))
+    got = {r.doc_id: (r.fp, r.component_id) for r in H.near_duplicate_groups(frame(spark, rows), shingle=5, similarity=0.8, bands=10).collect()}
+    assert len({fp for fp, _ in got.values()}) == 1
+    assert {d: c for d, (_, c) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 2}
+    assert H.representatives(frame(spark, rows), shingle=5, similarity=0.8, bands=10).count() == 4
+
+
 def test_refused_pairs_do_not_hide_links(spark):
     rng = random.Random(13)
     base = words(rng, 300, 10_000).split()
