@@ -91,9 +91,9 @@ def _bands(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands: int = 0) -> DataFrame:
-    """(doc_id, fp long[, sketch binary, bands array<long>, set_id binary, members binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats.
+    """(doc_id, fp long[, sketch binary, bands array<long>, set_id binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats.
 
-    ``members`` are the distinct shingle hashes in order, ``set_id`` is the XXH128 of them.
+    ``set_id`` is the XXH128 of the distinct shingle hashes in order.
     """
     if bands * BAND_ROWS > sketch or sketch > SKETCH:
         raise ValueError("bands * BAND_ROWS <= sketch <= SKETCH")
@@ -106,20 +106,38 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands
                 fps.append(_fingerprint(hashes))
                 if sketch:
                     distinct = np.unique(hashes)
-                    sets.append(distinct.tobytes())
+                    sets.append(xxhash.xxh128_digest(distinct.tobytes()))
                     least[i] = _least(distinct, sketch)
             columns, names = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
             if sketch:
                 columns.append(pa.array([row.tobytes() for row in (B.mix(least) & np.uint64(255)).astype(np.uint8)], pa.binary()))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(_bands(least, bands).reshape(-1))))
-                columns += [pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())]
-                names += ["sketch", "bands", "set_id", "members"]
+                columns.append(pa.array(sets, pa.binary()))
+                names += ["sketch", "bands", "set_id"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>, set_id binary, members binary" if sketch else "")
+    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>, set_id binary" if sketch else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, members) for ``wanted`` (node, set_id, id): the distinct shingle hashes in order, from the documents of these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = [np.unique(_hashes(t.as_py().lower() if t.is_valid else b"", shingle)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "members"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    some = texts.join(wanted.select("id").distinct(), "id", "left_semi").union(texts.filter("id is null"))
+    found = some.mapInArrow(run, "id long, set_id binary, members binary")
+    named = wanted.select("node", F.col("set_id").alias("of"), F.col("id").alias("at"))
+    each = found.join(named, F.expr("set_id = of and id <=> at"))
+    return each.select("node", "set_id", "members").dropDuplicates(["node", "set_id"]).select("node", "members")
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the range, member) for ranges start .. start + count."""
     which = np.repeat(np.arange(len(start)), count)
@@ -343,8 +361,8 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agr
     return dealt.mapInArrow(_shards(radius), "u long, v long").distinct()
 
 
-def similar_edges(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, bands: int = 0) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node, least, fp, sketch, bands, set_id), each of the similarity or more by the ``members`` of ``sets`` (set_id, least).
+def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, bands: int = 0) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node, least, fp, sketch, bands, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
 
     Their closure links every such pair that shares a band or, without ``bands``, is
     within the radius and shares a key of ``link_edges``.
@@ -366,11 +384,11 @@ def similar_edges(nodes: DataFrame, sets: DataFrame, similarity: float, radius:
         if decided is not None:
             pairs = pairs.join(decided, ["u", "v"], "left_anti")
         pairs = written(pairs)
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        # written, so that both sides of the joins are plain shuffles, which Spark can split at a hub
-        wanted = nodes.join(ends, "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
-        members = sets.join(wanted, (sets.set_id == wanted.set_id) & sets.least.eqNullSafe(wanted.id)).select("node", wanted.set_id, "members")
-        members = written(members.dropDuplicates(["node", "set_id"]).select("node", "members"))
+        if decided is None:  # a text with any candidate is in its shard's first forest, so this finds all sets that are ever counted
+            ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+            wanted = written(nodes.join(ends, "node", "left_semi").select("node", "set_id", F.col("least").alias("id")))
+            # written, so that both sides of the joins are plain shuffles, which Spark can split at a hub
+            members = written(_sets(docs, wanted, shingle))
         each = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
         counted = each.select("u", "v", "a", "b").mapInArrow(_count(similarity), "u long, v long, link boolean").groupBy("u", "v").agg(F.max("link").alias("link"))
         counted = written(counted)
@@ -398,7 +416,7 @@ def near_duplicate_groups(
     if similarity is None:
         edges = link_edges(nodes, radius, blocks, agree)
     else:
-        edges = similar_edges(nodes, marked.select("set_id", F.col("doc_id").alias("least"), "members"), similarity, radius, blocks, agree, bands)
+        edges = similar_edges(nodes, docs, shingle, similarity, radius, blocks, agree, bands)
     groups = components(edges)
     named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
