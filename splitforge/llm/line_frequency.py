@@ -92,7 +92,9 @@ def profile(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(profiles: DataFrame, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
     """(h1, h2, host, n_docs) of the lines found in more than ``floor`` and more than ``share`` of the documents of a host."""
-    lines = profiles.select("host", F.explode(F.array_distinct(F.arrays_zip("lines.h1", "lines.h2"))).alias("x"))
+    # array_distinct compares structs pair by pair; sorted, equal ones are neighbours
+    each = let(F.sort_array(F.arrays_zip("lines.h1", "lines.h2")), lambda s: F.filter(s, lambda x, i: ~x.eqNullSafe(F.get(s, i - 1))))
+    lines = profiles.select("host", F.explode(each).alias("x"))
     found = lines.groupBy("host", F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > floor)
     hosts = profiles.groupBy("host").agg(F.count("*").alias("host_docs"))
     return found.join(hosts, "host").filter(F.col("n_docs") > share * F.col("host_docs")).select("h1", "h2", "host", "n_docs")
