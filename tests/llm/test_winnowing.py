@@ -3,7 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
+
+from splitforge.llm import bytesops as B
 from splitforge.llm import winnowing as W
 
 from .helpers import DOCS, awkward, frame, saved, words
@@ -60,11 +64,36 @@ def test_equals_brute_force(spark, tmp_path):
     assert run(spark, tmp_path, docs, items, extra=True) == want
 
 
+def test_repeated_words_and_long_texts(spark, tmp_path):
+    docs = [(1, "a " * 1_000_000, "en", "s", 1), (2, "a b " * 50_000 + "a " * 9, "en", "s", 1), (3, "a " * 9, "en", "s", 1), (4, "x" * 2_000_000, "en", "s", 1)]
+    items = [("many", "a " * 500), ("two", "a b " * 300), ("short", "a a a"), ("long", "x" * 2_000_000)]
+    began = time.time()
+    got = {r[0]: r for r in run(spark, tmp_path, docs, items)}
+    assert time.time() - began < 60
+    digest = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    assert got[1][1:] == (1_000_000, 1_000_000, 2, digest("many", "short"), True)
+    assert got[2][1:] == (100_009, 100_009, 2, digest("short", "two"), True)
+    assert got[3][1:] == (9, 9, 1, digest("short"), True) and got[4][1:] == (1, 1, 1, digest("long"), True)
+
+
+def test_hashes_only_find_candidates(monkeypatch):
+    """With hashes that collide all the time the answers stay the same."""
+    docs, items = case(6)
+    monkeypatch.setattr(B.Hasher, "spans", lambda self, prefix, start, end: ((end - start) % 3).astype("uint64"))
+    look = W.Lookup([(i, (t or "").encode()) for i, t in items], 10, 5)
+    buf, at = B.buffers(pa.array([(d[1] or "")[:3000].encode() for d in docs]))
+    buf = B.LOWER[buf]
+    start, end, doc = B.words(buf, at, B.ALNUM)
+    _, _, hit = look.hits(buf, start, end, doc, (end - start).astype("uint64") % 3)
+    want = brute([(d[0], (d[1] or "").encode()[:3000].decode(errors="ignore")) for d in docs], items)
+    assert sum(hit) == sum(r[2] for r in want)
+
+
 def test_blocks_give_the_same(spark):
     docs, items = case(4)
     bench = spark.createDataFrame(items, "item_id string, text string")
     one = W.contamination(frame(spark, docs), bench)
-    many = W.contamination(frame(spark, docs), bench, block_bytes=300)
+    many = W.contamination(frame(spark, docs).repartition(5), bench, block_bytes=300)
     pick = lambda df: sorted(map(str, df.select("doc_id", "n_words", W.hit_count(df.hit_words).alias("n"), "items").collect()))
     assert pick(one) == pick(many)
 
