@@ -4,14 +4,17 @@ Fingerprints are made in one scan and only (doc_id, fingerprint) is ever
 shuffled.  Equal fingerprints are one node (with ``similarity`` equal sets of shingles).  The 64 bits are cut into blocks; two
 fingerprints at most ``radius`` bits apart agree on at least
 ``blocks - radius`` whole blocks, so every choice of that many blocks is a key
-under which each linked pair meets at least once.  A shard is one key's nodes:
-it grows into a BK-tree (children keyed by integer Hamming distance to the
-parent) and each node is looked up on the way in, following only edges within
-the radius.  A shard emits one edge for each node that joins another, towards the
-shard's own root of that group, never all pairs.
-
-Shard trees are dealt by key, not broadcast: all trees together grow with the
-corpus, so no size bound for a broadcast can be proven.
+under which each linked pair meets at least once.  The fewest blocks are taken, and
+so the largest trees, whose shards hold ``TREE`` nodes or less on average.  A shard
+is one key's nodes: it grows into a BK-tree (children keyed by integer Hamming
+distance to the parent) and each node is looked up on the way in, following only
+edges within the radius.  A shard emits one edge for each node that joins another,
+towards the shard's own root of that group, never all pairs.
+
+No tree holds more than twice ``SHARD_NODES``: the nodes of a key with more are cut into
+parts, and every two parts are a shard of their own, so all pairs still meet.  Shard
+trees are dealt by key, not broadcast: all trees together grow with the corpus, so
+no size bound for a broadcast can be proven.
 
 64 bits cannot tell a similarity of 0.8 from 0.7.  With ``similarity`` a link is a
 pair of texts whose sets of shingles have at least that Jaccard similarity, counted
@@ -28,7 +31,8 @@ say: ten bands miss 1 pair in 200 at 0.8, and unlike texts seldom meet.
 Nulls: a null or empty text has fingerprint zero and links like any other; rows
 with a null doc_id get fingerprints, take part in linking and are never a
 component's representative unless no member has an id (then component_id is
-null).  Repeated rows each get their row.  Other columns are ignored.
+null).  Repeated rows each get their row.  Very long texts are hashed whole, one at a
+time.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +49,8 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .common import components, table, written
 
-SHINGLE, RADIUS, BLOCKS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 6, 42, 256, 4, 0.1
+SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
+TREE, SHARD_NODES, SHARD_TEXTS = 2_000, 20_000, 2_000
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -350,24 +355,45 @@ def _keys(radius: int, blocks: int, agree: int | None, bands: int):
     return F.array(*keys)
 
 
-def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None) -> DataFrame:
+def blocks_for(nodes: int, radius: int) -> int:
+    """The fewest blocks with ``TREE`` nodes or less a shard, if fingerprints are spread evenly."""
+    blocks = radius + 1
+    while blocks < 64 and nodes > TREE * 2 ** (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def _split(dealt: DataFrame, most: int) -> DataFrame:
+    """``dealt`` (key, node, ...) with keys of more than ``most`` rows cut into parts; every two parts share a new key."""
+    big = written(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    if big.isEmpty():
+        return dealt
+    parts = F.ceil(F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda q: q != F.col("own"))
+    keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(F.transform(others, lambda q: F.xxhash64("key", F.least("own", q), F.greatest("own", q))))
+    return dealt.join(big, "key", "left").withColumn("own", own).withColumn("key", F.explode(keys)).drop("n", "own")
+
+
+def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, most: int = SHARD_NODES) -> DataFrame:
     """(u, v) edges between ``nodes`` (node long, fp long; fp distinct) whose closure links every pair within the radius.
 
     ``agree`` whole blocks make a key.  Left out, it is blocks - radius, and no pair
     within the radius can be missed; set higher for wide radii, a pair is met if it
     agrees on that many blocks.
     """
-    dealt = nodes.select(F.explode(_keys(radius, blocks, agree, 0)).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_shards(radius), "u long, v long").distinct()
+    blocks = blocks or blocks_for(nodes.count(), radius)
+    dealt = _split(nodes.select(F.explode(_keys(radius, blocks, agree, 0)).alias("key"), "fp", "node"), most)
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards(radius), "u long, v long").distinct()
 
 
-def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, bands: int = 0) -> DataFrame:
+def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, bands: int = 0) -> DataFrame:
     """(u, v) edges between ``nodes`` (node, least, fp, sketch, bands, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
 
     Their closure links every such pair that shares a band or, without ``bands``, is
     within the radius and shares a key of ``link_edges``.
     """
-    dealt = nodes.select(F.explode(_keys(radius, blocks, agree, bands)).alias("key"), "fp", "node", "sketch")
+    dealt = _split(nodes.select(F.explode(_keys(radius, blocks or radius + 1, agree, bands)).alias("key"), "fp", "node", "sketch"), SHARD_TEXTS)
     told = decided = None
     more = 0
     while True:
@@ -400,7 +426,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
 
 
 def near_duplicate_groups(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, agree: int | None = None, similarity: float | None = None, bands: int = 0
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, similarity: float | None = None, bands: int = 0
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     if bands and similarity is None:
@@ -431,12 +457,16 @@ def near_duplicate_groups(
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; columns as in docs.
 
-    Rows without a doc_id cannot be named by a group: exact copies among them go, the rest stays.
+    Rows are told apart by a row number that is written once, so rows that share a
+    doc_id, or have none, are documents of their own.  Of equal doc_ids the first row
+    scanned stays; rows without one stay only if no member of the group has one.
     """
-    groups = near_duplicate_groups(docs.filter("doc_id is not null"), **options)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    groups = near_duplicate_groups(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options)
+    place = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "row")
+    named = rows.select("row", place.alias("place")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    keep = named.groupBy("component_id").agg(F.min_by("row", "place").alias("row")).select("row")
+    return rows.join(keep, "row", "left_semi").select("doc.*")
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,10 +91,54 @@ def test_representatives_keep_one_of_each_group(spark):
     text = words(rng, 200, 10_000)
     near = text.split()
     near[50] = "other"
-    rows = [(4, text, "en", "s", 1), (2, text, "de", "s", 2), (9, " ".join(near), "en", "s", 1), (5, words(rng, 200, 10_000), "en", "s", 1), (None, "same", None, None, None), (None, "same", None, None, None), (5, "twice", "", "", 0)]
+    rows = [(4, text, "en", "s", 1), (2, text, "de", "s", 2), (9, " ".join(near), "en", "s", 1), (5, words(rng, 200, 10_000), "en", "s", 1), (None, "same", None, None, None), (None, "same", None, None, None), (5, "twice", "", "", 0), (None, " ".join(near), "en", "s", 1), (None, "same", None, None, None)]
     got = H.representatives(frame(spark, rows), shingle=5, radius=14, blocks=9, agree=2, similarity=0.77)
     assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sorted((r.doc_id for r in got.collect()), key=str) == [2, 5, None]
+    # two rows share the id 5 and are unlike; of the rows without an id only the one of a group of its own stays
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, text), (5, rows[3][1]), (5, "twice"), (None, "same")], key=str)
+    clash = H.representatives(frame(spark, rows, extra=True), shingle=5, similarity=0.8, bands=10)
+    assert clash.columns == frame(spark, rows, extra=True).columns and {r.row for r in clash.collect()} == {1} and {r.key for r in clash.collect()} == {"k"}
+
+
+def test_large_shards_are_split_and_lose_no_link(spark):
+    rng = random.Random(21)
+    center = rng.getrandbits(64)
+    values = {center}
+    while len(values) < 1500:  # one ball: many share any block
+        v = center
+        for b in rng.sample(range(64), rng.randrange(1, 9)):
+            v ^= 1 << b
+        values.add(v)
+    values |= {rng.getrandbits(64) for _ in range(300)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long").repartition(8)
+
+    def groups(edges):
+        root = list(range(len(signed)))
+        for u, v in edges:
+            a, b = root[u], root[v]
+            if a != b:
+                root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    x = np.array(signed, np.int64).view(np.uint64)
+    want = groups([(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)) if i < j])
+    for blocks, most in ((None, 20_000), (None, 100), (6, 50), (7, 20_000)):
+        assert groups([tuple(e) for e in H.link_edges(nodes, blocks=blocks, most=most).collect()]) == want
+    assert [H.blocks_for(n, 4) for n in (10, 10**6, 10**8, 10**10)] == [5, 5, 6, 7]
+
+
+def test_texts_of_a_large_band_are_split(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHARD_TEXTS", 10)
+    rng = random.Random(22)
+    base = words(rng, 300, 10_000).split()
+    rows = []
+    for k in range(60):
+        copy = base[:]
+        copy[4 * k] = f"n{k}"
+        rows.append((k, " ".join(copy), "en", "s", 1))
+    got = {r.doc_id: r.component_id for r in H.near_duplicate_groups(frame(spark, rows), shingle=5, similarity=0.8, bands=10).collect()}
+    assert set(got.values()) == {0}
 
 
 def test_bands_find_pairs_of_high_similarity(spark):
