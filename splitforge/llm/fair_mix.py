@@ -8,14 +8,17 @@ from here on) over sources in order of cap / weight).
 Within a source documents are shuffled by md5 of doc_id and seed and queued once an
 epoch; a queued document's virtual finish time is the cumulative words of its source
 so far divided by the source's target.  The queue is cut at the total budget in
-order of finish time: a histogram of finish times finds the bin in which the budget
-ends and only that bin is summed up row by row.  Cumulative sums run within
-(source, first three hex digits of the md5), with the sums of the earlier digits
-added, so that the hottest source is spread over 4,096 groups.
+order of finish time.  A histogram of finish times finds the bin in which the budget
+ends; a bin of more than ``LAST_ROWS`` entries is cut by a finer histogram, and only
+the entries of the last bin are summed up row by row.  Cumulative sums run within
+(source, first hex digits of the md5), with the sums of the earlier digits added;
+there are as many digits as keep a group under ``GROUP_ROWS`` rows.
 
 Nulls: a null text has size 0; null is a source of its own and comes last; a null
-doc_id is shuffled like the text 'null'.  Rows that agree in doc_id, source and
-size stand at the same place and are taken or left together.  Extra columns are ignored.
+doc_id is shuffled by the md5 of its text.  Rows that agree in doc_id, source and size
+are queued in the order of the scan, so ties at the cut are broken row by row.  Texts of
+any length are counted whole.  Extra columns are ignored, whatever their names; ``mixed``
+returns them unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SHARE, MAX_EPOCHS, WEIGHTS, SEED, BINS = 1.5, 2, (3, 1, 2), "mix-1", 4096
+SHARE, MAX_EPOCHS, WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix-1"
+BINS, LAST_ROWS, GROUP_ROWS, LEVELS = 4096, 50_000, 250_000, 6
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,62 +51,84 @@ def source_targets(sizes: DataFrame, share: float = SHARE, max_epochs: int = MAX
 
 def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, epochs): how often the mix takes each row of docs; row numbers those of the scan."""
+    return _mix(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source"), share, max_epochs, weights, seed)
+
+
+def _cut(entries: DataFrame, budget: float, last_rows: int):
+    """Whether an entry (at: struct with v first, size) is taken, as a function of ``at``: in order of ``at`` sizes stay within the budget."""
+    steps: list[tuple[float, float, int]] = []
+    before, low, width, inside = 0, 0.0, 2.0 / BINS, entries
+
+    def slot(v, low: float, width: float):
+        return F.greatest(F.lit(0), F.least(F.floor((v - low) / width), F.lit(BINS))).cast("int")
+
+    for _ in range(LEVELS):
+        binned = inside.withColumn("bin", slot(F.col("at.v"), low, width))
+        sums = sorted(binned.groupBy("bin").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect())  # BINS rows at most
+        for one in sums:
+            if before + one["size"] > budget:
+                break
+            before += one["size"]
+        else:
+            return lambda at: F.lit(True)
+        steps.append((low, width, one["bin"]))
+        inside = binned.filter(F.col("bin") == one["bin"]).drop("bin")
+        if one["n"] <= last_rows or one["bin"] == BINS:
+            break
+        low, width = low + one["bin"] * width, width / BINS
+    upto = before + F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    last = inside.withColumn("upto", upto).filter(F.col("upto") <= budget).agg(F.max("at").alias("at")).first()["at"]
+
+    def taken(at):
+        less, same = F.lit(False), F.lit(True)
+        for low, width, bin_ in steps:
+            less = less | (same & (slot(at["v"], low, width) < bin_))
+            same = same & (slot(at["v"], low, width) == bin_)
+        if last is None:
+            return less
+        end = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in entries.schema["at"].dataType.fields])
+        return less | (same & (at <= end))
+
+    return taken
+
+
+def _mix(docs: DataFrame, share: float, max_epochs: int, weights: tuple, seed: str, last_rows: int = LAST_ROWS) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("digits")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary"))
+    rows = written(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key")))
     targets = written(source_targets(rows, share, max_epochs, weights))
-    budget = targets.agg(F.sum("__share")).first()[0] or 0.0
+    budget, digits = targets.agg(F.sum("__share")).first()[0] or 0.0, 3
+    while rows.count() > GROUP_ROWS * 16**digits:
+        digits += 1
+    rows = rows.withColumn("digits", F.substring("key", 1, digits))
 
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     per = rows.groupBy("source", "digits").agg(F.sum("size").alias("n"))
     prefix = per.select("source", "digits", (F.sum("n").over(W.partitionBy("source").orderBy("digits")) - F.col("n")).alias("before"))
     heads = prefix.join(targets, same(prefix, targets)).select(prefix["source"], "digits", "before", "source_size", "target")
     queued = rows.join(heads, same(rows, heads) & (rows["digits"] == heads["digits"])).select(rows["*"], "before", "source_size", "target")
-    cumulative = F.col("before") + F.sum("size").over(W.partitionBy("source", "digits").orderBy("key", "doc_id", "size"))
-    queued = written(queued.withColumn("reached", cumulative).drop("before", "digits"))
-
-    def finish(epoch):
-        return F.coalesce(F.try_divide(F.col("reached") + epoch * F.col("source_size"), F.col("target")), F.lit(0.0))
-
-    def slot(v):
-        return F.least(F.floor(v * BINS), F.lit(2 * BINS)).cast("int")
+    running = W.partitionBy("source", "digits").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
+    queued = written(queued.withColumn("reached", F.col("before") + F.sum("size").over(running)).drop("before", "digits"))
 
     def place(epoch):
+        finish = F.coalesce(F.try_divide(F.col("reached") + epoch * F.col("source_size"), F.col("target")), F.lit(0.0))
         return F.struct(
-            finish(epoch).alias("v"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"), epoch.alias("epoch")
+            finish.alias("v"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"), F.col("row"), epoch.cast("int").alias("epoch")
         )
 
-    entries = queued.select("size", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"), "reached", "source_size", "target", "source", "key", "doc_id", "row")
-    entries = entries.select("size", place(F.col("epoch")).alias("at"), "row").withColumn("bin", slot(F.col("at.v")))
-    bins = entries.groupBy("bin").agg(F.sum("size").alias("n"))
-    summed = bins.select("bin", "n", F.sum("n").over(W.orderBy("bin")).alias("upto"))
-    full = summed.filter(F.col("upto") > budget).orderBy("bin").limit(1).first()
-    if full is None:
-        taken = lambda e: F.lit(1)
-    else:
-        ending = entries.filter(F.col("bin") == full["bin"]).withColumn("upto", full["upto"] - full["n"] + F.sum("size").over(W.orderBy("at")))
-        last = ending.filter(F.col("upto") <= budget).agg(F.max("at").alias("at")).first()["at"]
-
-        def taken(epoch):
-            bin_ = slot(finish(epoch))
-            if last is None:
-                return (bin_ < full["bin"]).cast("int")
-            names = ("v", "no_source", "source", "key", "doc_id", "size", "epoch")
-            end = F.struct(*[F.lit(last[n]).cast({"v": "double", "doc_id": "long", "size": "long", "epoch": "int"}.get(n, "boolean" if n == "no_source" else "string")).alias(n) for n in names])
-            return ((bin_ < full["bin"]) | ((bin_ == full["bin"]) & (place(epoch) <= end))).cast("int")
-
-    epochs = sum((taken(F.lit(e)) for e in range(1, max_epochs)), taken(F.lit(0)))
-    return queued.select("row", "doc_id", "source", "size", "source_size", "target", epochs.cast("int").alias("epochs"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+    epochs = [F.lit(e) for e in range(max_epochs)]
+    taken = _cut(queued.select("size", F.explode(F.array(*map(place, epochs))).alias("at")), budget, last_rows)
+    times = sum((taken(place(e)).cast("int") for e in epochs[1:]), taken(place(epochs[0])).cast("int"))
+    return queued.select("row", "doc_id", "source", "size", "source_size", "target", times.alias("epochs"))
+
+
+def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them; columns as in docs."""
-    plan = mix(docs, **options).filter("epochs > 0").groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"))
-    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size)
-    same = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["__size"] == plan["size"])
-    often = rows.join(plan, same).select(*[rows[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("epochs"))).alias("__time"))
-    return often.select(*docs.columns)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    plan = _mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), share, max_epochs, weights, seed).filter("epochs > 0").select("row", "epochs")
+    often = rows.join(plan, "row").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("epochs"))).alias("time"))
+    return often.select("doc.*")
 
 
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +137,7 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':mix-1')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), ':mix-1')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 g AS (SELECT *, [3, 1, 2][(rank - 1) % 3 + 1] AS weight, 1.5e0 * sum(source_size) OVER () AS budget FROM r),

@@ -4,7 +4,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from splitforge.llm import fair_mix as M
 
@@ -64,6 +66,36 @@ def test_mixed_repeats_documents(spark):
     assert {k: v for k, v in plan.items() if v} == dict(count)
 
 
+def test_ties_at_the_cut_and_finer_histograms(spark):
+    # 400 equal rows, and rows without an id: all of one source, so the budget ends among them
+    text = "a b c d e f g"
+    rows = [(7, text, "en", "s", 1)] * 400 + [(None, text, None, "s", 1)] * 300 + [(None, None, None, "s", 0)] * 20
+    for last_rows in (5, 50_000):
+        docs = frame(spark, rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source")
+        got = M._mix(docs, 1.5, 2, (3, 1, 2), "x", last_rows).collect()
+        assert sum(r["size"] * r.epochs for r in got) == 7 * 1050 and {r.epochs for r in got if r["size"]} == {1, 2}
+    rng = random.Random(5)
+    rows = awkward(3) + [(2000 + k, words(rng, rng.randrange(1, 60)), "en", rng.choice("aab"), 1) for k in range(300)]
+    docs = frame(spark, rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source")
+    plans = [sorted(map(str, M._mix(docs, 1.5, 2, (3, 1, 2), "x", n).collect())) for n in (1, 50_000)]
+    assert plans[0] == plans[1]
+
+
+def test_clashing_columns_stay(spark):
+    docs = frame(spark, awkward(2), extra=True).withColumns({"__size": F.lit(9), "row": F.lit(-1), "time": F.lit("t"), "epochs": F.lit("e")})
+    out = M.mixed(docs)
+    assert out.columns == docs.columns
+    assert {(r["__size"], r.row, r.time, r.epochs, r.key) for r in out.collect()} == {(9, -1, "t", "e", "k")}
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    out = M.op8_fair_mix(spark, "/root/testdata/sf0.001").toPandas()
+    want = con.execute(M.OP8_SQL).df()[list(out.columns)]
+    assert out.sort_values("doc_id").round(6).to_dict("list") == want.sort_values("doc_id").round(6).to_dict("list")
+
+
 def test_native_plan_and_empty(spark, tmp_path):
     assert M.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert M.mixed(spark.createDataFrame([], DOCS)).count() == 0
