@@ -1,7 +1,7 @@
 """Quality scores from Naive Bayes support vectors.
 
-Each document is the set of its n-gram indicators: lower-cased words, and one- to
-three-grams of word shapes (runs of letters, digits and symbols collapsed; a word
+Each document is the set of its n-gram indicators: lower-cased words and pairs of
+words, and one- to three-grams of word shapes (runs of letters, digits and symbols collapsed; a word
 equal to the one before it is the shape "again").  Indicators are hashed to
 ``buckets``, scaled by the log-count ratios of the two classes and brought to unit
 length.  A linear hinge-loss model is fitted on them by dual coordinate descent,
@@ -10,13 +10,16 @@ probabilities.
 
 Bound: the model is fitted on at most ``max_train`` labelled rows, the ones with
 the least hash of doc_id among all labelled rows outside the held-out fold
-(crc32(doc_id) mod ``folds`` = 0).  Scoring covers every document and every word.
+(crc32(doc_id) mod ``folds`` = 0), and on as many of these, in this order, as hold
+``max_indicators`` indicators together (80 MB on the driver).  Scoring covers every
+document and every word, very long texts one at a time.
 The model is a vector of ``buckets`` floats, broadcast at a size fixed in advance.
 
 Inputs of a score are text alone.  A null or empty text has no indicators and
 gets the score of the bias.  Labels that are null or contradict each other for a
 doc_id are not learned from; without two classes the score is the smoothed share
-of label 1.  A null doc_id counts as held out.  Repeated rows each get their row.
+of label 1.  A null doc_id counts as held out.  Repeated rows each get their row; of a
+labelled doc_id with several texts the least text is learned from.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import table, written
 
-BUCKETS, MAX_TRAIN, FOLDS, THRESHOLD = 1 << 18, 8_000, 5, 0.3
+BUCKETS, MAX_TRAIN, MAX_INDICATORS, FOLDS, THRESHOLD = 1 << 18, 8_000, 20_000_000, 5, 0.3
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x30:0x3A] = ord("0")
 _SHAPE[0x41:0x5B] = ord("A")
@@ -56,6 +59,8 @@ def indicators(buf: np.ndarray, at: np.ndarray, buckets: int, hasher: B.Hasher)
     again[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     form[again] = _AGAIN
     grams = [(word * np.uint64(3), doc), (form * np.uint64(5), doc)]
+    near = doc[1:] == doc[:-1]
+    grams.append((B.mix(word[:-1] * np.uint64(7) + word[1:])[near], doc[1:][near]))
     prior = form
     for n in (2, 3):
         prior = B.mix(prior[:-1] * np.uint64(31) + form[n - 1 :])
@@ -70,11 +75,11 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_train: int, buckets: int) -> pa.Table:
+def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_train: int, max_indicators: int, buckets: int) -> pa.Table:
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     clear = usable.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).filter("y = y2")
     chosen = clear.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_train).select("doc_id", "y", "rank")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = B.Hasher()
@@ -84,12 +89,16 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_train: in
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists], names=["rank", "y", "x"])
 
-    rows = texts.select("text", "rank", F.col("y").cast("int").alias("y")).mapInArrow(run, "rank long, y int, x array<int>")
+    rows = written(texts.select("text", "rank", F.col("y").cast("int").alias("y")).mapInArrow(run, "rank long, y int, x array<int>"))
+    sizes = rows.select("rank", F.size("x").alias("n")).toArrow().sort_by("rank")  # two numbers a row
+    fit = int((np.cumsum(sizes.column("n").to_numpy()) <= max_indicators).sum())
+    if fit < len(sizes):
+        rows = rows.filter(F.col("rank") < sizes.column("rank")[fit].as_py())
     return rows.toArrow().sort_by("rank")
 
 
-def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, norm: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> np.ndarray:
-    """Weights (last: bias) of the L1-loss linear SVM over x[i] = scale[features] / norm[i], with a constant feature 1."""
+def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, norm: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (last: bias) and dual variables of the L1-loss linear SVM over x[i] = scale[features] / norm[i], with a constant feature 1."""
     w, alpha = np.zeros(len(scale) + 1), np.zeros(len(x))
     values = [scale[f] / n for f, n in zip(x, norm)]
     squares = np.array([float(v @ v) + 1.0 for v in values])
@@ -108,7 +117,7 @@ def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, norm: np.nda
                 worst = max(worst, abs(step))
         if worst < 1e-3:
             break
-    return w
+    return w, alpha
 
 
 def _sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -140,9 +149,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int = MAX_TRAIN, buckets: int = BUCKETS, min_rows: int = 3, epochs: int = 20, cost: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int = MAX_TRAIN, max_indicators: int = MAX_INDICATORS, buckets: int = BUCKETS, min_rows: int = 3, epochs: int = 20, cost: float = 1.0) -> Model:
     """The model; labels has doc_id and quality (0 or 1)."""
-    rows = _training_rows(docs, labels, folds, max_train, buckets)
+    rows = _training_rows(docs, labels, folds, max_train, max_indicators, buckets)
     y = rows.column("y").to_numpy()
     flat = rows.column("x").combine_chunks() if len(y) else None
     x = [flat[i].values.to_numpy() for i in range(len(y))]
@@ -159,29 +168,38 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int =
     use = np.flatnonzero(fitted)
     sign = np.where(y[use] == 1, 1.0, -1.0)
     weight = np.where(y[use] == 1, 1.0, min(10.0, rows_of[1] / rows_of[0]))
-    w = dual_coordinate_descent([x[i] for i in use], scale, norm[use], sign, cost * weight, epochs)
+    w, _ = dual_coordinate_descent([x[i] for i in use], scale, norm[use], sign, cost * weight, epochs)
     rest = np.flatnonzero(~fitted)
     margin = np.array([w[x[i]] @ scale[x[i]] / norm[i] + w[-1] for i in rest])
     a, b = _sigmoid_fit(margin, y[rest])
     return Model(scale, w[:-1], float(w[-1]), a, b)
 
 
-def score(docs: DataFrame, model: Model, buckets: int = BUCKETS) -> DataFrame:
-    """All columns of docs and ``score``, the probability of label 1."""
+def _scored(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """(doc, score): whole rows as structs, so no column of the caller can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "score"
-    kept = [c for c in docs.columns if c != name]
-    raw = docs.select(*kept, F.col("text").cast("binary").alias("__bytes"))
-    schema = docs.select(*kept).withColumn(name, F.lit(0.0).cast("double")).schema
+    raw = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, model = B.Hasher(), shared.value
-        for batch, buf, at in B.chunks(batches, "__bytes"):
+        for batch, buf, at in B.chunks(batches, "text"):
             row, bucket = indicators(buf, at, buckets, hasher)
             value = model.scores(row, bucket, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["doc", "score"])
+
+    return raw.mapInArrow(run, raw.select("doc", F.lit(0.0).alias("score")).schema)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score", buckets: int = BUCKETS) -> DataFrame:
+    """All columns of docs and ``name``, the probability of label 1."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}; choose another name")
+    return _scored(docs, model, buckets).select("doc.*", F.col("score").alias(name))
+
 
-    return raw.mapInArrow(run, schema)
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The documents that score ``threshold`` or more; columns as in docs."""
+    return _scored(docs, model, buckets).filter(F.col("score") >= threshold).select("doc.*")
 
 
 def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

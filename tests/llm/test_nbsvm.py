@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from splitforge.llm import nbsvm as N
@@ -53,8 +57,12 @@ def test_awkward_rows(spark, tmp_path):
     assert all(r.held_out for r in got if r.doc_id is None)
     saved(spark.createDataFrame([], "doc_id long, quality int, toxic int"), str(tmp_path), "labels")
     assert {r.score for r in N.op4_nbsvm(spark, str(tmp_path)).collect()} == {0.5}
-    scored = N.score(frame(spark, rows, extra=True), N.fit(frame(spark, rows), table(spark, str(tmp_path), "labels")))
-    assert scored.columns.count("score") == 1
+    model, docs = N.fit(frame(spark, rows), table(spark, str(tmp_path), "labels")), frame(spark, rows, extra=True)
+    with pytest.raises(ValueError):
+        N.score(docs, model)
+    assert N.score(docs, model, "quality").columns == [*docs.columns, "quality"]
+    kept = N.accepted(docs.withColumn("__bytes", F.lit("b")), model, 0.5)
+    assert kept.columns == [*docs.columns, "__bytes"] and {(r.score, r["__bytes"], r.key) for r in kept.collect()} == {("y", "b", "k")} and kept.count() == len(rows)
     saved(frame(spark, []), str(tmp_path), "documents")
     assert N.op4_nbsvm(spark, str(tmp_path)).count() == 0
 
@@ -64,7 +72,7 @@ def test_descent_reaches_the_dual_optimum():
     x = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
     y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
     scale, norm, cost = rng.normal(size=30), np.ones(60), np.full(60, 0.5)
-    w = N.dual_coordinate_descent(x, scale, norm, y, cost, 2000)
+    w, alpha = N.dual_coordinate_descent(x, scale, norm, y, cost, 2000)
     dense = np.zeros((60, 31))
     for i, f in enumerate(x):
         dense[i, f] = scale[f]
@@ -74,9 +82,46 @@ def test_descent_reaches_the_dual_optimum():
         return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (dense @ v))).sum()
 
     best = primal(w)
+    assert best - (alpha.sum() - 0.5 * w @ w) < 1e-2 * best and ((alpha >= 0) & (alpha <= cost)).all()
+    assert np.allclose(w, (alpha * y) @ dense)
     for _ in range(300):
         assert primal(w + rng.normal(size=31) * 0.01) >= best - 1e-4
 
 
+def grams(text):
+    """The indicators by plain Python: words, word pairs, one- to three-grams of shapes."""
+    words = (text or "").split()
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    form = [re.sub(r"(.)\1+", r"\1", re.sub("[a-z]|[^\x00-\x7f]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", w)))) for w in words]
+    form = ["again" if i and low[i] == low[i - 1] else f for i, f in enumerate(form)]
+    return {("word", w) for w in low} | {("pair", *p) for p in zip(low, low[1:])} | {("shape", *form[i : i + n]) for n in (1, 2, 3) for i in range(len(form) - n + 1)}
+
+
+def test_log_count_ratios_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["tree", "river", "Old", "stone", "12", "bridge"]) for _ in range(12))
+    bad = lambda: " ".join(rng.choice(["BUY", "now!!", "$$$", "win", "12", "bridge"]) for _ in range(12))
+    rows = [(k, (good if k % 2 else bad)(), "en", "s", 1) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = N.fit(docs, labels)
+    learned = [r.doc_id for r in labels.filter(~N.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    fitted = [d for i, d in enumerate(learned) if i % 5]  # the other fifth is for the sigmoid
+    n = [sum(d % 2 == y for d in fitted) for y in (0, 1)]
+    count = [Counter(g for d in fitted if d % 2 == y for g in grams(rows[d][1])) for y in (0, 1)]
+    want = sorted(np.log((count[1][g] + 1) / (n[1] + 2)) - np.log((count[0][g] + 1) / (n[0] + 2)) for g in count[0] | count[1] if count[0][g] + count[1][g] >= 3)
+    got = np.sort(model.scale[model.scale != 0])
+    want = np.array([w for w in want if w != 0])
+    assert len(got) == len(want) and np.allclose(got, want, atol=1e-5)
+
+
+def test_the_bound_on_indicators(spark):
+    rows = awkward(4)
+    labels = spark.createDataFrame([(r[0], k % 2, 0) for k, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    sizes = [len(x) for x in N._training_rows(frame(spark, rows), labels, 5, 8000, 10**9, N.BUCKETS).column("x").to_pylist()]
+    most = sum(sizes[:20]) + 1
+    assert N._training_rows(frame(spark, rows), labels, 5, 8000, most, N.BUCKETS).num_rows == 20
+
+
 def test_empty_documents(spark):
     assert N.score(spark.createDataFrame([], DOCS), N.Model(np.zeros(N.BUCKETS), np.zeros(N.BUCKETS), 0.0, 1.0, 0.0)).count() == 0
