@@ -9,18 +9,20 @@ the page has an ``article`` or ``main`` with text apart from it.  Scripts, style
 controls and the head always go.  Every remaining element then
 gets its composite text density: characters per tag, adjusted by its share of link
 characters and link tags against the body's; densities of the children are
-summed.  The element with the greatest sum is the core, the least density on the
+summed.  Phrase elements (``b``, ``span``, ``br``) are text of their parent and no tags.
+The element with the greatest sum is the core, the least density on the
 path from it to the body is the threshold, and from the body down each element at
 or over the threshold gives the element of greatest sum below it; the walk then goes
-on into its children.  An element inside an ``article`` or ``main`` stands for the
-whole of that element.  As in the method, a part whose density is below the
+on into its children.  As in the method, a part whose density is below the
 threshold goes: on a page without any link that may be a short part beside a long one.
 
 The logarithm's base in the density is shifted by e - 1, so that pages without
 links have a defined density.
 
 Nulls: a null html is an empty page and gives an empty text.  Pages without any
-markup are one block.  Repeated rows each get their row; other columns are ignored.
+markup are one block.  Of elements with equal sums the first and outermost is the core.
+Time grows with a page's length, also for very long or deeply nested pages and tags
+that are never closed.  Repeated rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import html as H
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>?""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_REST = re.compile(r"<[!?].*", re.S)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
 # Fixed sets of HTML: void elements, block elements, and what an opening tag closes.
@@ -57,6 +61,8 @@ _DROP_WORDS = set(
 )
 _DROP_OUTSIDE = set("header footer masthead contentinfo copyright".split())
 _BESIDE = set("area bar block bottom box container left list primary right secondary section site top widget".split())
+#: Phrase elements: their text counts as their parent's, and they are no tags to the density.
+_PHRASE = set("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 _MAIN = ("article", "main")
 
@@ -67,9 +73,10 @@ class _Tree:
     def __init__(self, page: str) -> None:
         self.parent, self.tag, self.clutter, self.last = [-1], [""], [0], [0]
         self.pieces: list[tuple[int, str] | None] = []
-        stack, pos = [0], 0
+        self.inside, self.open = [False], Counter()
+        stack, pos, last = [0], 0, page.rfind(">")
         while pos < len(page):
-            m = _TAG.search(page, pos)
+            m = _TAG.search(page, pos) if pos <= last else _REST.search(page, pos)  # without a > to come only a comment can begin
             if text := page[pos : m.start() if m else len(page)]:
                 if self.tag[stack[-1]] == "head" and text.strip():
                     self._close(stack, "head")
@@ -77,7 +84,7 @@ class _Tree:
             if not m:
                 break
             pos = m.end()
-            name = m[2] or m[5]
+            name = m.re is _TAG and (m[2] or m[5])
             if not name:
                 continue
             name = name.lower()
@@ -94,10 +101,14 @@ class _Tree:
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
         self.dropped = self._dropped()
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        self.open.subtract(self.tag[n] for n in stack[k:])
+        del stack[k:]
+
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if self.open[name] else ():
             if self.tag[stack[k]] == name:
-                del stack[k:]
+                self._cut(stack, k)
                 if name in _BLOCK:
                     self.pieces.append(None)
                 return
@@ -105,11 +116,13 @@ class _Tree:
     def _open(self, stack: list[int], name: str, attrs: str) -> None:
         if name == "body" or self.tag[stack[-1]] == "head" and name not in _IN_HEAD:
             self._close(stack, "head")
-        closes = _CLOSES.get(name, {"p"} if name in _BLOCK else ())
-        for k in range(len(stack) - 1, 0, -1):
+        closes = _CLOSES.get(name, ())
+        if name in _BLOCK:
+            closes = {"p", *closes}
+        for k in range(len(stack) - 1, 0, -1) if any(self.open[x] for x in closes) else ():
             tag = self.tag[stack[k]]
-            if tag in closes or tag == "p" and name in _BLOCK:
-                del stack[k:]
+            if tag in closes:
+                self._cut(stack, k)
                 break
             if tag in _SCOPE:
                 break
@@ -119,15 +132,17 @@ class _Tree:
         up = stack[-1]
         self.parent.append(up)
         self.tag.append(name)
-        self.clutter.append(2 if name in _NEVER else int(self._is_clutter(stack, name, attrs)))
+        self.inside.append(self.inside[up] or name in _MAIN)
+        self.clutter.append(2 if name in _NEVER else int(self._is_clutter(self.inside[up], name, attrs)))
         self.last.append(node)
         if name == "br":
             self.pieces.append((up, " "))
         if name not in _VOID:
             stack.append(node)
+            self.open[name] += 1
 
-    def _is_clutter(self, stack: list[int], name: str, attrs: str) -> bool:
-        inside = any(self.tag[n] in _MAIN for n in stack)
+    @staticmethod
+    def _is_clutter(inside: bool, name: str, attrs: str) -> bool:
         if name in _DROP or name == "header" and not inside:
             return True
         if name in ("html", "body", "article", "main") or not attrs.strip():
@@ -209,7 +224,7 @@ def main_text(page: str) -> str:
         up = tree.parent[i]
         chars[up] += chars[i]
         links[up] += links[i]
-        tags[up] += tags[i] + 1
+        tags[up] += tags[i] + (tree.tag[i] not in _PHRASE)
         link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
     body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
     if not chars[body]:
@@ -221,37 +236,37 @@ def main_text(page: str) -> str:
     for i in range(n - 1, -1, -1):
         if tree.dropped[i] or not chars[i]:
             continue
+        if i and tree.tag[i] in _PHRASE:
+            total[tree.parent[i]] += total[i]
+            continue
         c, t, lc, lt = chars[i], max(tags[i], 1), max(links[i], 1), max(link_tags[i], 1)
         base = math.log(c / max(c - links[i], 1) * links[i] + share * c + math.e) + math.e - 1
         density[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
         if i:
             total[tree.parent[i]] += density[i]
-    for i in range(n):
-        if not total[i]:
-            total[i] = density[i]
+        total[i] = total[i] or density[i]
 
-    # The element of greatest sum in each subtree (the first of equals), and the outermost article or main around each element.
-    best, whole = list(range(n)), list(range(n))
+    # The element of greatest sum in each subtree (the first of equals).
+    best = list(range(n))
     for i in range(n - 1, 0, -1):
         up = tree.parent[i]
         if not tree.dropped[i] and (best[up] != up and total[best[i]] >= total[best[up]] or total[best[i]] > total[best[up]]):
             best[up] = best[i]
-    outer = [0] * n
-    for i in range(1, n):
-        outer[i] = outer[tree.parent[i]] or (i if tree.tag[i] in _MAIN else 0)
-        whole[i] = outer[i] or i
 
     core = best[body]
     threshold, k = density[core], core
     while k != body and k > 0:
         k = tree.parent[k]
-        threshold = min(threshold, density[k])
+        if tree.tag[k] not in _PHRASE:
+            threshold = min(threshold, density[k])
     marked, todo = [False] * n, [body]
     while todo:
         node = todo.pop()
-        if marked[node] or tree.dropped[node] or not chars[node] or density[node] < threshold:
+        if marked[node] or tree.dropped[node] or not chars[node]:
+            continue
+        if density[node] < threshold and tree.tag[node] not in _PHRASE:
             continue
-        top = whole[best[node]]
+        top = best[node]
         if not marked[top]:
             marked[top : tree.last[top] + 1] = [True] * (tree.last[top] + 1 - top)
         k = node + 1

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import random
+import time
+
 from splitforge.llm import text_density as D
 
 from .helpers import saved
@@ -67,6 +71,105 @@ def test_broken_and_empty_pages():
     assert D.main_text(deep) == BODY.strip()
 
 
+def brute(tree) -> str:
+    """The text by densities that are counted anew for every element, from their definition."""
+    n = len(tree.parent)
+    phrase = [i > 0 and tree.tag[i] in D._PHRASE for i in range(n)]
+    under = [[j for j in range(n) if not tree.dropped[j] and i in chain(tree, j)] for i in range(n)]
+    size = lambda nodes, link: sum(len("".join(p[1].split())) for p in tree.pieces if p and p[0] in nodes and (not link or any(tree.tag[k] == "a" for k in chain(tree, p[0]))))
+    body = next((i for i in range(n) if tree.tag[i] == "body" and size(set(under[i]), False)), 0)
+    chars, links = ([size(set(u), link) for u in under] for link in (False, True))
+    if not chars[body]:
+        return ""
+    density, total = [0.0] * n, [0.0] * n
+    for i in range(n):
+        if phrase[i] or tree.dropped[i] or not chars[i]:
+            continue
+        tags = max(sum(j != i and not phrase[j] for j in under[i]), 1)
+        link_tags = max(sum(j != i and tree.tag[j] == "a" for j in under[i]), 1)
+        share = links[body] / chars[body]
+        base = math.log(chars[i] / max(chars[i] - links[i], 1) * max(links[i], 0) + share * chars[i] + math.e) + math.e - 1
+        density[i] = chars[i] / tags * math.log(max(chars[i] / max(links[i], 1) * tags / link_tags, 1.0)) / math.log(base)
+    for i in range(n):
+        def above(j):  # the nearest element that is no phrase
+            j = tree.parent[j]
+            return j if j < 0 or not phrase[j] or j == i else above(j)
+        children = [j for j in under[i] if j != i and not phrase[j] and above(j) == i]
+        total[i] = sum(density[j] for j in reversed(children)) or density[i]
+    best = lambda i: max(under[i], key=lambda j: (round(total[j], 9), -len(chain(tree, j)), -j))
+    core = best(body)
+    path = [k for k in chain(tree, core) if body in chain(tree, k) and not phrase[k]]
+    threshold = min([density[k] for k in path] or [0.0])
+    marked, todo = set(), [body]
+    while todo:
+        i = todo.pop()
+        if i in marked or tree.dropped[i] or not chars[i] or density[i] < threshold - 1e-12 and not phrase[i]:
+            continue
+        marked |= {j for j in range(n) if best(i) in chain(tree, j)}
+        todo += [j for j in range(n) if tree.parent[j] == i]
+    return render(tree, lambda k: k in marked and not tree.dropped[k])
+
+
+def chain(tree, j: int) -> list[int]:
+    out = []
+    while j >= 0:
+        out.append(j)
+        j = tree.parent[j]
+    return out
+
+
+def render(tree, stays) -> str:
+    lines, now = [], ""
+    for piece in [*tree.pieces, None]:
+        if piece is None:
+            lines.append(" ".join(now.split()))
+            now = ""
+        elif stays(piece[0]):
+            now += piece[1]
+    return "\n".join(x for x in lines if x)
+
+
+def test_density_equals_brute_force_and_decides():
+    rng, changed = random.Random(8), 0
+    for _ in range(60):
+        text = lambda n: " ".join(rng.choice(["rain", "fell", "over", "the", "town"]) for _ in range(rng.randrange(1, n)))
+
+        def part(depth: int) -> str:
+            kind = rng.randrange(6)
+            if kind < 2 or not depth:
+                return f"<p>{text(40)} <b>{text(6)}</b></p>"
+            if kind == 2:
+                return "<ul>" + "".join(f"<li><a href=x>{text(4)}</a>" for _ in range(rng.randrange(1, 6))) + "</ul>"
+            if kind == 3:
+                return f"<div class=sidebar>{text(9)}</div><span>{text(5)}</span>"
+            return "<div>" + "".join(part(depth - 1) for _ in range(rng.randrange(1, 5))) + "</div>"
+
+        page = "<body>" + "".join(part(3) for _ in range(rng.randrange(1, 6))) + "</body>"
+        tree = D._Tree(page)
+        got = D.main_text(page)
+        assert got == brute(tree)
+        changed += got != render(tree, lambda k: not tree.dropped[k])
+    assert changed > 20  # the density is what decides these pages
+
+
+def test_related_work_and_phrases_stay():
+    for inner in (f"<h1>Short</h1><p><b>{BODY}<br></b></p>", f"<h2>On</h2><p>{BODY}</p><div class='related-work'><p>{BODY}</p></div>", f"<p>{BODY}</p><p>Yes.</p><p><i>No.</i></p>"):
+        want = render(D._Tree(f"<body>{inner}</body>"), lambda k: True)
+        assert D.main_text(page(f"<article>{inner}</article>")) == D.main_text(page(f"<div class=text>{inner}</div>")) == want
+
+
+def test_long_and_deep_pages_take_linear_time():
+    n = 100_000
+    began = time.time()
+    assert D.main_text("<div class=x id='y'>" * n + BODY + "</div>" * n) == BODY.strip()
+    assert D.main_text("<span class=x>" * n + BODY) == BODY.strip()
+    assert D.main_text("<h1 class=x>" * n + BODY + "</em>" * n) == BODY.strip()
+    assert D.main_text(f"<p>{BODY}</p>" + "<a " * n) == f"{BODY.strip()}\n" + " ".join(["<a"] * n)
+    assert D.main_text(f"<p>{BODY}</p><!-- " + "<a " * n) == BODY.strip()
+    assert len(D.main_text(f"<article>{f'<p>{BODY}</p>' * 20_000}</article>").split("\n")) == 20_000
+    assert time.time() - began < 60
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "u", page(f"<article><p>{BODY}</p></article>"), 5), (2, None, None, None), (None, "u", "", 1), (1, "u", page(f"<article><p>{BODY}</p></article>"), 5), (3, "u", f"<main><p>{BODY * 2000}</p></main>", 1)]
     schema = "page_id long, url string, html string, text int"
