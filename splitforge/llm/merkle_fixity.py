@@ -10,8 +10,11 @@ task gathers a whole file.
 
 Input rows: file, offset, length, digest (``records`` makes them).  Nulls: a null
 url or html counts as empty; a null page_id files the page by its url's hash.
-Repeated pages are records of their own.  A record found only in one replica is
-reported as missing or extra, never an error.  Empty replicas have no roots.
+Repeated pages are records of their own, in the order of (page_id, digest); equal ones
+are interchangeable.  page_id is expected to repeat seldom: pages of one page_id lie in
+one file.  Very long texts are hashed whole, where they lie; only digests and lengths
+move.  A record found only in one replica is reported as missing or extra, never an
+error.  Empty replicas have no roots; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-PAGES_PER_FILE, RANGE_BYTES, FANOUT = 1000, 1 << 16, 16
+PAGES_PER_FILE, RANGE_BYTES, FANOUT, NO_ID_FILES = 1000, 1 << 16, 16, 1 << 20
 
 
 def record_digest(url: Column, payload: Column) -> Column:
@@ -32,7 +35,7 @@ def record_digest(url: Column, payload: Column) -> Column:
 def records(pages: DataFrame, pages_per_file: int = PAGES_PER_FILE) -> DataFrame:
     """(file, offset, length, digest, page_id): pages as records of files of consecutive page_ids, one after the other."""
     length = (F.octet_length(F.coalesce("url", F.lit(""))) + 1 + F.octet_length(F.coalesce("html", F.lit("")))).cast("long")
-    file = F.coalesce(F.floor(F.col("page_id") / pages_per_file), -1 - F.pmod(F.xxhash64("url"), F.lit(pages_per_file)))
+    file = F.coalesce(F.floor(F.col("page_id") / pages_per_file), -1 - F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % NO_ID_FILES)
     rows = pages.select("page_id", file.cast("long").alias("file"), length.alias("length"), record_digest(F.col("url"), F.col("html")).alias("digest"))
     before = F.sum("length").over(W.partitionBy("file").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1))
     return rows.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "digest", "page_id")
@@ -97,15 +100,17 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
     html = F.when(hit == "00", F.overlay("html", F.lit("#"), F.lit(1))).when(hit == "02", F.left(F.col("html"), F.length("html") - 1)).otherwise(F.col("html"))
     damaged = pages.filter(F.coalesce(hit, F.lit("")) != "01").select("page_id", record_digest(F.col("url"), html).alias("now"), record_digest(F.col("url"), F.col("html")).alias("digest")).distinct()
-    replica = written(good.join(damaged, ["page_id", "digest"]).select("file", "offset", "length", F.col("now").alias("digest")))
+    same = good["page_id"].eqNullSafe(damaged["page_id"]) & (good["digest"] == damaged["digest"])
+    replica = written(good.join(damaged, same).select(good["*"], "now").select("file", "offset", "length", F.col("now").alias("digest")))
     return audit(good, replica)
 
 
 OP1_SQL = r"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS hit FROM pages),
-r AS (SELECT *, CAST(floor(page_id / 1000) AS BIGINT) AS file, CAST(coalesce(sum(strlen(url) + 1 + strlen(html)) OVER (PARTITION BY CAST(floor(page_id / 1000) AS BIGINT) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  sha256(url || chr(10) || html) AS expected FROM p)
-SELECT file, "offset", CASE WHEN hit = '01' THEN 'missing' ELSE 'corrupt' END AS status, expected,
-  CASE hit WHEN '00' THEN sha256(url || chr(10) || '#' || substr(html, 2)) WHEN '02' THEN sha256(url || chr(10) || left(html, length(html) - 1)) END AS found
-FROM r WHERE hit IN ('00', '01', '02')
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, html, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS hit,
+  coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1 - CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % 1048576) AS file FROM pages),
+h AS (SELECT *, strlen(url) + 1 + strlen(coalesce(html, '')) AS n, sha256(url || chr(10) || coalesce(html, '')) AS expected,
+  sha256(url || chr(10) || coalesce(CASE hit WHEN '00' THEN '#' || substr(html, 2) WHEN '02' THEN CASE WHEN length(html) < 2 THEN '' ELSE left(html, length(html) - 1) END ELSE html END, '')) AS now FROM p),
+r AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY file ORDER BY page_id, expected ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h)
+SELECT file, "offset", CASE WHEN hit = '01' THEN 'missing' ELSE 'corrupt' END AS status, expected, CASE WHEN hit <> '01' THEN now END AS found
+FROM r WHERE hit = '01' OR now <> expected
 """

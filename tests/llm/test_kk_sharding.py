@@ -47,6 +47,34 @@ def test_blocks_and_levels_balance(spark):
     assert load.max() - load.min() < 0.01 * load.mean()
 
 
+def plain_differencing(sizes: list[int], parts: int) -> list[int]:
+    """Shard sums by the rule as it stands in the books: combine the two partial partitions of largest spread, heaviest part to lightest."""
+    partials = [([n] + [0] * (parts - 1), k) for k, n in enumerate(sizes)]
+    members = [[[k]] + [[] for _ in range(parts - 1)] for k in range(len(sizes))]
+    while len(partials) > 1:
+        partials.sort(key=lambda p: (min(p[0]) - max(p[0]), p[1]))
+        (a, i), (b, j) = partials[:2]
+        both = sorted(((x + y, p + q) for x, y, p, q in zip(a, b[::-1], members[i], members[j][::-1])), key=lambda x: -x[0])
+        partials = [*partials[2:], ([x for x, _ in both], len(members))]
+        members.append([p for _, p in both])
+    out = [0] * len(sizes)
+    for k, part in enumerate(members[partials[0][1]]):
+        for item in part:
+            out[item] = k
+    return out
+
+
+def test_placements_equal_plain_differencing():
+    rng = random.Random(3)
+    for n, parts in ((40, 2), (60, 3), (200, 24), (5, 8), (1, 3)):
+        sizes = sorted((rng.randrange(1, 10**6) for _ in range(n)), reverse=True)
+        items = np.zeros((n, parts), np.int64)
+        items[:, 0] = sizes
+        place, sums = K.differencing(items, parts)
+        assert place[:, 0].tolist() == plain_differencing(sizes, parts)
+        assert np.bincount(place[:, 0], sizes, parts).tolist() == sums.tolist()
+
+
 def greedy_spread(sizes, parts):
     load = [0] * parts
     for s in sorted(sizes, reverse=True):

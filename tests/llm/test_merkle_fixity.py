@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+
+import duckdb
 from pyspark.sql import functions as F
 
 from splitforge.llm import merkle_fixity as K
@@ -49,8 +52,17 @@ def test_only_suspect_nodes_differ(spark):
 
 
 def test_query(spark, tmp_path):
-    saved(spark.createDataFrame(pages(600), PAGES), str(tmp_path), "pages")
-    got = K.op1_merkle_fixity(spark, str(tmp_path)).collect()
-    assert {r.status for r in got} <= {"missing", "corrupt"}
+    hits = {h: [k for k in range(40_000) if hashlib.md5(str(k).encode()).hexdigest()[:2] == h][:12] for h in ("00", "01", "02")}
+    rows = pages(600)
+    for ids in hits.values():  # hit by damage: null, empty and one-letter pages, repeated rows, a long page, as many pages of one id
+        rows += [(ids[k], f"u{k}", html, None, None, None) for k, html in enumerate((None, "", "x", "ab", "ab", "é" * 3))]
+        rows += [(ids[6], "same", "<p>same</p>", None, None, None)] * 3 + [(ids[7], "u", f"<p>{k}</p>", None, None, None) for k in range(4)] + [(ids[8], None, "long " * 400_000, None, None, None)]
+    rows += [(None, "u1", "<p>no id</p>", None, None, None), (None, "u1", None, None, None, None), (None, None, "y", None, None, None)]
+    saved(spark.createDataFrame(rows, PAGES), str(tmp_path), "pages")
+    got = sorted((tuple(r) for r in K.op1_merkle_fixity(spark, str(tmp_path)).select("file", "offset", "status", "expected", "found").collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(K.OP1_SQL).fetchall(), key=str)
+    assert got == want and {r[2] for r in got} == {"missing", "corrupt"} and len(got) > 25
     saved(spark.createDataFrame([], PAGES), str(tmp_path), "pages")
     assert K.op1_merkle_fixity(spark, str(tmp_path)).count() == 0
