@@ -18,15 +18,12 @@ no size bound for a broadcast can be proven.
 
 64 bits cannot tell a similarity of 0.8 from 0.7.  With ``similarity`` a link is a
 pair of texts whose sets of shingles have at least that Jaccard similarity, counted
-exactly on the sets of 64-bit shingle hashes.  Candidates are pairs within a shard
-whose min-wise sketches (``SKETCH`` bytes, standard error 0.025 at 0.8) agree to
-within ``SLACK`` of the limit.  A shard proposes the spanning forest of greatest
-agreement, the proposed pairs are joined with their sets and counted, and a shard
-with a refused pair proposes again, without the pairs decided and ever more of the
-others, until none is left: every candidate is confirmed, refused, or between texts
-linked already.  With ``bands`` the shards are the values of that many groups of
-``BAND_ROWS`` min-wise hashes instead of blocks of bits, and fingerprints have no
-say: ten bands miss 1 pair in 200 at 0.8, and unlike texts seldom meet.
+exactly on the sets of 64-bit shingle hashes.  Shards are then the values of ``bands``
+groups of ``BAND_ROWS`` min-wise hashes instead of blocks of bits: ten bands miss 1
+pair in 200 at 0.8, and unlike texts seldom meet.  Shards with two texts or more get
+their texts' sets; within a shard every pair whose min-wise sketches (``SKETCH`` bytes,
+standard error 0.025 at 0.8) agree to within ``SLACK`` of the limit is counted, the most
+alike first, unless the two are linked already.
 
 Nulls: a null or empty text has fingerprint zero and links like any other; rows
 with a null doc_id get fingerprints, take part in linking and are never a
@@ -220,88 +217,37 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-def _proposed(same: np.ndarray, sketch: np.ndarray, fp: np.ndarray, refused: dict[int, list[int]], least: float, radius: int, more: int) -> list[tuple[int, int]]:
-    """Pairs of one shard to count: the spanning forest of greatest agreement (Prim), and up to ``more`` of the best others a text.
-
-    ``same`` names the group that a text is known to be in; ``refused`` has pairs that are no links.
-    """
-    n = len(same)
-    rest, best, source = np.arange(n), np.full(n, -1.0), np.full(n, -1)
-    pairs, values, fps = [], sketch.copy(), fp.copy()
-    while n:
-        k = int(best[:n].argmax())
-        one, value, bits = int(rest[k]), values[k].copy(), fps[k]
-        if least <= best[k] <= 1:
-            pairs.append((one, int(source[k])))
-        n -= 1
-        for x in (rest, best, source, values, fps):
-            x[k] = x[n]
-        others = rest[:n]
-        agree = np.count_nonzero(values[:n] == value, axis=1) / len(value)
-        if radius < 64:
-            agree[np.bitwise_count(fps[:n] ^ bits) > radius] = -1
-        if one in refused:
-            agree[np.isin(others, refused[one])] = -1
-        agree[same[others] == same[one]] = 2
-        if more:
-            open_ = np.flatnonzero((agree >= least) & (agree <= 1))
-            pairs += [(int(others[i]), one) for i in open_[np.argsort(-agree[open_], kind="stable")[:more]]]
-        better = agree > best[:n]
-        best[:n][better], source[:n][better] = agree[better], one
-    return pairs
-
-
-def _proposals(least: float, radius: int, more: int):
-    """Sorted (key, fp, node, sketch, u, v, link) -> (key, u, v): rows with u are pairs that the shard has been told of."""
+def _alike(similarity: float):
+    """Sorted (key, node, sketch, members) -> edges (u, v) of the similarity or more, by the sets of members; each run of equal keys is one shard."""
+
+    def linked(sketch: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        root = np.arange(len(sets))
+        for i in range(1, len(sets)):
+            agree = np.count_nonzero(sketch[:i] == sketch[i], axis=1) / sketch.shape[1]
+            near = np.flatnonzero(agree >= similarity - SLACK)
+            x = sets[i]
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                y = sets[j]
+                few, many = sorted((len(x), len(y)))
+                if root[i] == root[j] or few < similarity * many:
+                    continue
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if few else 0
+                if both == many or both >= similarity * (len(x) + len(y) - both):
+                    _join(root, np.array([j]), np.array([i]))
+                    yield i, j
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        key = rows.column(0).to_numpy()
+        key, node = (rows.column(i).to_numpy() for i in (0, 1))
+        sketch = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        out: list[tuple[int, int, int]] = []
+        out = [np.zeros((0, 2), np.int64)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if hi - lo < 2:
-                continue
-            part = rows.slice(lo, hi - lo)
-            is_text = part.column(3).is_valid().to_numpy()
-            texts, told = part.filter(pa.array(is_text)), part.filter(pa.array(~is_text)).select([4, 5, 6]).to_pylist()
-            node = texts.column(2).to_numpy()
-            names, same = np.unique(node, return_inverse=True)  # rows of one number are one text or share an id
-            first = {int(x): i for i, x in enumerate(names)}
-            root, refused = np.arange(len(names)), {}
-            yes = [(first[t["u"]], first[t["v"]]) for t in told if t["link"]]
-            if yes:
-                _join(root, *np.array(yes).T)
-            members = np.split(np.argsort(same, kind="stable"), np.cumsum(np.bincount(same))[:-1]) if told else []
-            for t in told:
-                if not t["link"]:
-                    a, b = members[first[t["u"]]].tolist(), members[first[t["v"]]].tolist()
-                    for x in a:
-                        refused.setdefault(x, []).extend(b)
-                    for x in b:
-                        refused.setdefault(x, []).extend(a)
-            sketch = np.frombuffer(b"".join(texts.column(3).to_pylist()), np.uint8).reshape(len(node), -1)
-            fp = texts.column(1).to_numpy().view(np.uint64)
-            for i, j in _proposed(root[same], sketch, fp, refused, least, radius, more):
-                out.append((key[lo], min(node[i], node[j]), max(node[i], node[j])))
-        columns = np.array(out, np.int64).reshape(-1, 3).T
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "u", "v"])
-
-    return _by_shard(links)
-
-
-def _count(similarity: float):
-    """(u, v, members of u, members of v) -> (u, v, link)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            link = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(m.as_py(), np.uint64) for m in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                link.append(both == len(x) == len(y) or both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["u", "v", "link"])
+            sets = [np.frombuffer(m, np.uint64) for m in rows.column(3).slice(lo, hi - lo).to_pylist()]
+            out += [node[[[lo + i, lo + j]]] for i, j in linked(sketch[lo:hi], sets)]
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return run
+    return _by_shard(links, 4_000)
 
 
 def _shards(radius: int):
@@ -313,11 +259,11 @@ def _shards(radius: int):
         joined = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], names=["u", "v"])
 
-    return _by_shard(links)
+    return _by_shard(links, 50_000)
 
 
-def _by_shard(links):
-    """Calls ``links`` on whole shards of the rows, which are sorted by key, some 50,000 rows at a time."""
+def _by_shard(links, least: int):
+    """Calls ``links`` on whole shards of the rows, which are sorted by key, some ``least`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -327,7 +273,7 @@ def _by_shard(links):
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n < 50_000:
+            if n < least:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             key = rows.column(0).to_numpy()
@@ -342,12 +288,10 @@ def _by_shard(links):
     return run
 
 
-def _keys(radius: int, blocks: int, agree: int | None, bands: int):
-    agree = blocks - radius if agree is None and not bands else agree or 1
+def _keys(radius: int, blocks: int, agree: int | None):
+    agree = blocks - radius if agree is None else agree
     if not 0 <= radius <= 64 or not 1 <= agree <= blocks <= 64:
         raise ValueError("0 <= radius <= 64 and 1 <= agree <= blocks <= 64")
-    if bands:
-        return F.col("bands")
     keys = []
     for k, chosen in enumerate(combinations(_block_masks(blocks), agree)):
         mask = sum(chosen)
@@ -364,15 +308,13 @@ def blocks_for(nodes: int, radius: int) -> int:
 
 
 def _split(dealt: DataFrame, most: int) -> DataFrame:
-    """``dealt`` (key, node, ...) with keys of more than ``most`` rows cut into parts; every two parts share a new key."""
-    big = written(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most))
-    if big.isEmpty():
-        return dealt
+    """``dealt`` (key, node, ...) with the rows of keys that others share; keys of more than ``most`` rows are cut into parts, and every two parts share a new key."""
+    shared = written(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     parts = F.ceil(F.col("n") / most).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda q: q != F.col("own"))
-    keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(F.transform(others, lambda q: F.xxhash64("key", F.least("own", q), F.greatest("own", q))))
-    return dealt.join(big, "key", "left").withColumn("own", own).withColumn("key", F.explode(keys)).drop("n", "own")
+    keys = F.when(F.col("n") <= most, F.array("key")).otherwise(F.transform(others, lambda q: F.xxhash64("key", F.least("own", q), F.greatest("own", q))))
+    return dealt.join(shared, "key").withColumn("own", own).withColumn("key", F.explode(keys)).drop("n", "own")
 
 
 def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, most: int = SHARD_NODES) -> DataFrame:
@@ -383,58 +325,36 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None
     agrees on that many blocks.
     """
     blocks = blocks or blocks_for(nodes.count(), radius)
-    dealt = _split(nodes.select(F.explode(_keys(radius, blocks, agree, 0)).alias("key"), "fp", "node"), most)
+    dealt = _split(nodes.select(F.explode(_keys(radius, blocks, agree)).alias("key"), "fp", "node"), most)
     return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards(radius), "u long, v long").distinct()
 
 
-def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, bands: int = 0) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node, least, fp, sketch, bands, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
+def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node, least, sketch, bands, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
 
-    Their closure links every such pair that shares a band or, without ``bands``, is
-    within the radius and shares a key of ``link_edges``.
+    Their closure links every such pair that shares a band.
     """
-    dealt = _split(nodes.select(F.explode(_keys(radius, blocks or radius + 1, agree, bands)).alias("key"), "fp", "node", "sketch"), SHARD_TEXTS)
-    told = decided = None
-    more = 0
-    while True:
-        rows = dealt.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("u", "long"), ("v", "long"), ("link", "boolean"))])
-        if told is not None:
-            active = written(told.filter("round = 1 and not link").select("key").distinct())
-            if active.isEmpty():
-                break
-            known = told.select("key", *[F.lit(None).cast(t).alias(c) for c, t in (("fp", "long"), ("node", "long"), ("sketch", "binary"))], "u", "v", "link")
-            rows = rows.unionByName(known).join(active, "key", "left_semi")
-        sorted_ = rows.repartition("key").sortWithinPartitions("key", "node")
-        proposed = written(sorted_.mapInArrow(_proposals(similarity - SLACK, 64 if bands else radius, more), "key long, u long, v long").distinct())
-        pairs = proposed.select("u", "v").distinct()
-        if decided is not None:
-            pairs = pairs.join(decided, ["u", "v"], "left_anti")
-        pairs = written(pairs)
-        if decided is None:  # a text with any candidate is in its shard's first forest, so this finds all sets that are ever counted
-            ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-            wanted = written(nodes.join(ends, "node", "left_semi").select("node", "set_id", F.col("least").alias("id")))
-            # written, so that both sides of the joins are plain shuffles, which Spark can split at a hub
-            members = written(_sets(docs, wanted, shingle))
-        each = pairs.join(members.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(members.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-        counted = each.select("u", "v", "a", "b").mapInArrow(_count(similarity), "u long, v long, link boolean").groupBy("u", "v").agg(F.max("link").alias("link"))
-        counted = written(counted)
-        decided = counted if decided is None else decided.union(counted)
-        now = written(proposed.join(decided, ["u", "v"]).select("key", "u", "v", "link", F.lit(1).alias("round")))
-        told = now if told is None else now.union(told.withColumn("round", F.lit(0)))
-        more = 4 * more or 4
-    return decided.filter("link").select("u", "v")
+    dealt = written(_split(nodes.select(F.explode("bands").alias("key"), "node", "sketch"), SHARD_TEXTS))
+    wanted = nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
+    # written, so that both sides of the join are plain shuffles, which Spark can split
+    members = written(_sets(docs, written(wanted), shingle))
+    rows = dealt.join(members, "node").select("key", "node", "sketch", "members")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
 
 
 def near_duplicate_groups(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, similarity: float | None = None, bands: int = 0
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, similarity: float | None = None, bands: int = 10
 ) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    if bands and similarity is None:
-        raise ValueError("bands need a similarity")
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
+
+    Links are fingerprints within ``radius`` bits or, with ``similarity``, texts that share
+    one of ``bands`` and are at least that similar.
+    """
+    bands = 0 if similarity is None else bands
     marked = written(fingerprints(docs, shingle, 0 if similarity is None else SKETCH, bands))
     # A node is a fingerprint or, with similarity, a set of shingles: texts of one fingerprint can be unlike each other.
     # Its number is its smallest doc_id; nodes of rows without ids get negative numbers of their own.
-    by, rest = ("fp", []) if similarity is None else ("set_id", ["fp", "sketch", "bands"])
+    by, rest = ("fp", []) if similarity is None else ("set_id", ["sketch", "bands"])
     extra = [F.min(F.struct(*rest)).alias("x")] if rest else []
     nodes = marked.groupBy(by).agg(F.min("doc_id").alias("least"), *extra)
     nodes = nodes.select(by, "least", *(["x.*"] if rest else []))
@@ -442,7 +362,7 @@ def near_duplicate_groups(
     if similarity is None:
         edges = link_edges(nodes, radius, blocks, agree)
     else:
-        edges = similar_edges(nodes, docs, shingle, similarity, radius, blocks, agree, bands)
+        edges = similar_edges(nodes, docs, shingle, similarity)
     groups = components(edges)
     named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.

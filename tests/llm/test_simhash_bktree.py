@@ -92,7 +92,7 @@ def test_representatives_keep_one_of_each_group(spark):
     near = text.split()
     near[50] = "other"
     rows = [(4, text, "en", "s", 1), (2, text, "de", "s", 2), (9, " ".join(near), "en", "s", 1), (5, words(rng, 200, 10_000), "en", "s", 1), (None, "same", None, None, None), (None, "same", None, None, None), (5, "twice", "", "", 0), (None, " ".join(near), "en", "s", 1), (None, "same", None, None, None)]
-    got = H.representatives(frame(spark, rows), shingle=5, radius=14, blocks=9, agree=2, similarity=0.77)
+    got = H.representatives(frame(spark, rows), shingle=5, similarity=0.77)
     assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
     # two rows share the id 5 and are unlike; of the rows without an id only the one of a group of its own stays
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, text), (5, rows[3][1]), (5, "twice"), (None, "same")], key=str)
@@ -153,7 +153,7 @@ def test_bands_find_pairs_of_high_similarity(spark):
             texts.append(" ".join(base))
     texts += [None, "", "few words", "few words here"]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
-    got = {r.doc_id: r.component_id for r in H.near_duplicate_groups(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), shingle=5, radius=20, similarity=0.78, bands=10).collect()}
+    got = {r.doc_id: r.component_id for r in H.near_duplicate_groups(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), shingle=5, similarity=0.78, bands=10).collect()}
     high = found = 0
     for i in range(len(texts)):
         best = 0.0
