@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FOREST = {"trees": 500, "features": "0.5", "seed": 42}
+FOREST = {"trees": 500, "depth": 30, "features": "0.5", "seed": 42}  # 30: the deepest that Spark ML grows
 
 
 def classification_metrics(rows: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
@@ -41,7 +41,7 @@ def run_summary(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("run_count"), *stats)
 
 
-def forest_predictions(train: DataFrame, rows: DataFrame, features: str, label: str, task: str = "classification", trees: int = FOREST["trees"], depth: int = 10) -> DataFrame:
+def forest_predictions(train: DataFrame, rows: DataFrame, features: str, label: str, task: str = "classification", trees: int = FOREST["trees"], depth: int = FOREST["depth"]) -> DataFrame:
     """rows with y, pred and score of a random forest with class weights (classification) fitted on train."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array

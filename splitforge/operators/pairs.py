@@ -30,6 +30,12 @@ def signature_words(bits: Column, n_bits: int, word: int = 62) -> Column:
     return F.array(*words)
 
 
+def tanimoto(x: Column, y: Column) -> Column:
+    """Shared bits over bits of either, of two arrays of words; 1 for two empty signatures."""
+    bits = lambda f: popcount(F.zip_with(x, y, f))
+    return F.coalesce(F.try_divide(bits(lambda a, b: a.bitwiseAND(b)), bits(lambda a, b: a.bitwiseOR(b))), F.lit(1.0))
+
+
 def popcount(words: Column) -> Column:
     return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda a, b: a + b)
 
@@ -170,6 +176,14 @@ def vocabulary_summary(counts: DataFrame, vocabulary: DataFrame, feature: str, i
     return vocabulary.join(hits, feature, "left").na.fill(0, ["n_entities", "total"]).withColumn("ever_hit", F.col("n_entities") > 0)
 
 
+def vocabulary(counts: DataFrame, feature: str, most: int = 10_000) -> list[str]:
+    """The features in order, to be columns; an error if there are more than a wide table can have."""
+    names = [r[0] for r in counts.select(feature).distinct().orderBy(feature).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} features; use the long form")
+    return names
+
+
 def feature_matrix(counts: DataFrame, id_: str, feature: str, cnt: str, vocabulary: list[str]) -> DataFrame:
     """One column a vocabulary entry, zeros where absent."""
     wide = counts.groupBy(id_).pivot(feature, vocabulary).agg(F.sum(cnt))

@@ -91,24 +91,6 @@ def random_split(df: DataFrame, key: str, seed: int, ratios: tuple[float, ...] =
     return rows.select(key, split.alias("split"))
 
 
-def random_split_exact(df: DataFrame, n: int, seeds: tuple[int, ...], ratios: tuple[float, ...] = RATIOS, max_rows: int = 5_000_000) -> DataFrame:
-    """(seed, idx, split) over 0 .. n-1 by the Mersenne Twister shuffle of each seed; a task a seed, n bounded by max_rows."""
-    if n > max_rows:
-        raise ValueError(f"the exact shuffle is sequential; at most {max_rows} rows, else use random_split")
-    cut = _targets(n, ratios)
-
-    def run(batches):
-        for batch in batches:
-            for seed in batch.seed:
-                idx = list(range(n))
-                random.Random(int(seed)).shuffle(idx)
-                names = [s for s, k in zip(SPLITS, cut) for _ in range(k)]
-                yield pd.DataFrame({"seed": seed, "idx": idx, "split": names})
-
-    spark = df.sparkSession
-    return spark.createDataFrame([(s,) for s in seeds], "seed long").repartition(len(seeds), "seed").mapInPandas(run, "seed long, idx long, split string")
-
-
 def split_summary(assigned: DataFrame, by: list[str]) -> DataFrame:
     """(by, split, n_rows, n_groups, fraction) from assigned groups (by, n_rows, split)."""
     sums = assigned.groupBy(*by, "split").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_groups"))

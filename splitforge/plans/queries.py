@@ -124,11 +124,6 @@ def random_split_hash(spark, d):
     return S.random_split(_t(spark, d, "documents"), "doc_id", 0)
 
 
-def random_split_mt(spark, d):
-    docs = _t(spark, d, "documents")
-    return S.random_split_exact(docs, docs.count(), (0, 1, 2, 3, 4))
-
-
 def _hash_splits(spark, d):
     docs = _t(spark, d, "documents")
     return S.random_split(docs, "doc_id", 0).withColumn("run", F.lit(0)).unionByName(S.random_split(docs, "doc_id", 1).withColumn("run", F.lit(1)))
@@ -169,11 +164,11 @@ def index_range(spark, d):
 
 
 def _signatures(spark, d):
-    return _t(spark, d, "embeddings").select("vec_id", P.signature_words(F.col("embedding"), 62).alias("words"))
+    return _t(spark, d, "embeddings").select("vec_id", P.signature_words(F.col("embedding"), 64).alias("words"))
 
 
 def signature_bits(spark, d):
-    return _signatures(spark, d).select("vec_id", F.get("words", 0).alias("word"), P.popcount(F.col("words")).alias("n_bits"))
+    return _signatures(spark, d).select("vec_id", F.get("words", 0).alias("word_0"), F.get("words", 1).alias("word_1"), P.popcount(F.col("words")).alias("n_bits"))
 
 
 def tanimoto_pairs(spark, d):
@@ -223,9 +218,9 @@ def feature_counts(spark, d):
 
 
 def feature_matrix(spark, d):
+    """The wide form; ``feature_counts`` is the long one and has no bound on features."""
     counts = saved(_user_counts(spark, d))
-    names = sorted(r[0] for r in counts.select("event_type").distinct().limit(10_000).collect())  # columns of a wide table
-    return P.feature_matrix(counts, "user_id", "event_type", "cnt", names)
+    return P.feature_matrix(counts, "user_id", "event_type", "cnt", P.vocabulary(counts, "event_type"))
 
 
 def vocabulary_summary(spark, d):
@@ -317,18 +312,17 @@ def seeded_pairs(spark, d):
 
 def pair_lookup(spark, d):
     pairs = seeded_pairs(spark, d)
-    a = _signatures(spark, d).select(F.col("vec_id").alias("i"), F.get("words", 0).alias("x"))
-    b = _signatures(spark, d).select(F.col("vec_id").alias("j"), F.get("words", 0).alias("y"))
+    a = _signatures(spark, d).select(F.col("vec_id").alias("i"), F.col("words").alias("x"))
+    b = _signatures(spark, d).select(F.col("vec_id").alias("j"), F.col("words").alias("y"))
     both = pairs.join(a, "i").join(b, "j")
-    sim = F.bit_count(F.col("x").bitwiseAND(F.col("y"))) / F.bit_count(F.col("x").bitwiseOR(F.col("y")))
-    return both.select("cursor", "i", "j", sim.alias("similarity"))
+    return both.select("cursor", "i", "j", P.tanimoto(F.col("x"), F.col("y")).alias("similarity"))
 
 
 def forest_evaluation(spark, d):
     """A forest on embeddings, label 5 or more against the rest, with the metrics of a hash split."""
     vec = _t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("target"))
     rows = saved(vec.join(S.random_split(vec, "vec_id", 0), "vec_id"))
-    out = M.forest_predictions(rows.filter("split = 'train'"), rows, "embedding", "target", trees=50, depth=5)
+    out = M.forest_predictions(rows.filter("split = 'train'"), rows, "embedding", "target")
     return M.classification_metrics(out, ["split"])
 
 
@@ -337,7 +331,7 @@ QUERIES = {
     for f in (
         normalize_text, status_counts, distinct_text, dedup_keep_first, dedup_mean, dedup_conflict_drop, dedup_multitask_merge, clean_summary, clean_summary_total,
         group_counts, group_top5, concentration, concentration_by_lang, target_counts, greedy_split_quota, greedy_split_posttarget, greedy_split_seeded, split_summary,
-        random_split_hash, random_split_mt, split_to_index, index_mapping, key_uniqueness, unmatched_rows, duplicate_targets, split_overlap, index_range,
+        random_split_hash, split_to_index, index_mapping, key_uniqueness, unmatched_rows, duplicate_targets, split_overlap, index_range,
         signature_bits, tanimoto_pairs, neighbor_counts, nearest_pairs_topk, butina_dynamic, butina_static, cluster_summary, butina_split,
         feature_counts, feature_matrix, vocabulary_summary, count_distance_pairs, active_rows, combined_distance, param_grid, sweep_summary,
         classification_metrics, mae_rmse_r2, run_summary, pivot_first, delta_vs_baseline, aligned_effect, seeded_pairs, pair_lookup, forest_evaluation,

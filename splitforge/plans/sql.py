@@ -64,9 +64,14 @@ def _hash_split(seed: int) -> str:
 
 
 _TO_INDEX = f"""(SELECT d.doc_id AS "row", split, idx FROM {_hash_split(0)} s JOIN documents d USING (doc_id) LEFT JOIN (SELECT text, lang, min(doc_id) AS idx FROM documents GROUP BY 1, 2) f ON d.text IS NOT DISTINCT FROM f.text AND d.lang IS NOT DISTINCT FROM f.lang)"""
-_SIG = "(SELECT vec_id, list_sum(list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE 0 END)) AS w FROM embeddings)"
-_SIGB = _SIG.replace("SELECT vec_id, list_sum(", "SELECT vec_id, CAST(list_sum(").replace(" ELSE 0 END)) AS w", " ELSE 0 END)) AS BIGINT) AS w")
-_SIM = "bit_count(a.w & b.w) * 1e0 / bit_count(a.w | b.w)"
+
+
+def _word(first: int, last: int) -> str:
+    return f"CAST(list_sum(list_transform(range({first}, {last + 1}), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - {first} AS INT) ELSE 0 END)) AS BIGINT)"
+
+
+_SIGB = f"(SELECT vec_id, {_word(1, 62)} AS w, {_word(63, 64)} AS x FROM embeddings)"
+_SIM = "(bit_count(a.w & b.w) + bit_count(a.x & b.x)) * 1e0 / (bit_count(a.w | b.w) + bit_count(a.x | b.x))"
 _TANIMOTO = f"(SELECT a.vec_id AS i, b.vec_id AS j, {_SIM} AS similarity FROM {_SIGB} a JOIN {_SIGB} b ON a.vec_id < b.vec_id WHERE {_SIM} >= 0.5e0)"
 _UC = "(SELECT user_id, event_type, count(*) AS cnt FROM events GROUP BY 1, 2)"
 
@@ -110,11 +115,12 @@ SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDE
     "duplicate_targets": f"SELECT idx, count(*) AS n_rows FROM {_TO_INDEX} GROUP BY 1 HAVING count(*) > 1",
     "split_overlap": f"SELECT doc_id, count(DISTINCT split) AS n_splits FROM (SELECT * FROM {_hash_split(0)} UNION ALL SELECT * FROM {_hash_split(1)}) GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "index_range": "SELECT p_partkey AS idx FROM part WHERE p_partkey < 0 OR p_partkey >= (SELECT count(*) FROM documents)",
-    "signature_bits": f"SELECT vec_id, w AS word, bit_count(w) AS n_bits FROM {_SIGB}",
+    "signature_bits": f"SELECT vec_id, w AS word_0, x AS word_1, bit_count(w) + bit_count(x) AS n_bits FROM {_SIGB}",
     "tanimoto_pairs": f"SELECT * FROM {_TANIMOTO}",
     "neighbor_counts": f"SELECT vec_id, 1 + count(i) AS n_neighbors FROM embeddings LEFT JOIN (SELECT i, j FROM {_TANIMOTO} UNION ALL SELECT j, i FROM {_TANIMOTO}) ON i = vec_id GROUP BY 1",
     "nearest_pairs_topk": f"SELECT * FROM {_TANIMOTO} ORDER BY similarity DESC, i, j LIMIT 100",
     "feature_counts": f"SELECT * FROM {_UC}",
+    "feature_matrix": "SELECT * FROM (PIVOT (SELECT user_id, event_type FROM events) ON event_type USING count(*) GROUP BY user_id)",
     "vocabulary_summary": f"SELECT event_type, count(DISTINCT user_id) AS n_entities, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total, count(user_id) > 0 AS ever_hit FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'never') LEFT JOIN {_UC} USING (event_type) GROUP BY 1",
     "count_distance_pairs": f"SELECT i, j, round(distance, 9) AS distance FROM {_count_pairs('true')} WHERE distance <= 0.1e0",
     "active_rows": f"""WITH two AS (SELECT row_number() OVER (ORDER BY user_id) AS k, user_id FROM (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 2)), c AS (SELECT k, event_type, cnt FROM {_UC} JOIN two USING (user_id)),

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import clean_text
+from ..operators.shared import saved
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -16,15 +18,22 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def read_labelled(spark: SparkSession, path: str | list[str], schema: str | StructType, key: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """CSV (also .gz, globs, several files) with an explicit schema, and ``dataset`` (file stem), ``row_idx`` and ``status``.
 
-    row_idx counts from zero within a file in an order that follows the file's; gaps
-    appear only between the parts of a split file.  status is missing where the key
-    has no value, else valid.  Blank cells, NA, nan and null are NULL.
+    row_idx counts a file's rows from zero in their order, without gaps, also where files
+    share a task or a file is read in parts; the rows are written once, so it stays the
+    same.  status is missing where the key has no value, else valid.  Blank cells, NA,
+    nan and null are NULL.
     """
     rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     require_columns(rows, key)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?(\.gz)?$", 1)
-    place = F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.select("*", stem.alias("dataset"), place.alias("row_idx"))
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = saved(rows.select("*", stem.alias("dataset"), place.alias("__at")))
+    # one row for each part of a file: where it begins, and how many rows the parts before it have
+    parts = rows.groupBy("__at.path", "__at.start").agg(F.min("__at.n").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("path").orderBy("start")) - F.col("__n")
+    parts = parts.select(F.col("path").alias("__path"), F.col("start").alias("__start"), "__first", before.alias("__before"))
+    rows = rows.join(parts, (F.col("__at.path") == F.col("__path")) & (F.col("__at.start") == F.col("__start")))
+    rows = rows.withColumn("row_idx", F.col("__at.n") - F.col("__first") + F.col("__before")).drop("__at", "__path", "__start", "__first", "__before")
     rows = rows.select(*[F.when(~F.col(c).isin("NA", "nan", "null", "NULL", "NaN"), F.col(c)).alias(c) if t == "string" and c not in (key, "dataset") else F.col(c) for c, t in rows.dtypes])
     rows = rows.withColumn(key, clean_text(F.col(key))).withColumn("status", F.when(F.col(key).isNull(), "missing").otherwise("valid"))
     return rows.filter(~F.col("dataset").isin(*exclude)) if exclude else rows

@@ -126,12 +126,19 @@ def test_random_splits(spark):
     rows = spark.range(500).withColumnRenamed("id", "k")
     got = S.random_split(rows, "k", 3)
     assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 400, "val": 50, "test": 50}
-    exact = {(r.seed, r.idx): r.split for r in S.random_split_exact(rows, 20, (0, 1)).collect()}
-    idx = list(range(20))
-    random.Random(1).shuffle(idx)
-    assert [exact[1, i] for i in idx] == ["train"] * 16 + ["val"] * 2 + ["test"] * 2
+
+
+def test_wide_signatures_and_vocabularies(spark):
+    bits = [[float(x) for x in row] for row in ([1] * 64, [0] * 62 + [1, 1], [0] * 64, [0] * 64, [1] * 62 + [0, 0])]
+    sig = spark.createDataFrame(list(enumerate(bits)), "id long, b array<double>").select("id", P.signature_words(F.col("b"), 64).alias("words"))
+    got = {(r.i, r.j): r.similarity for r in P.tanimoto_pairs(sig, "id", 0.01).collect()}
+    assert got == {(0, 1): 2 / 64, (0, 4): 62 / 64, (2, 3): 1.0}
+    pair = sig.alias("a").crossJoin(sig.alias("b")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), P.tanimoto(F.col("a.words"), F.col("b.words")).alias("s"))
+    assert {(r.i, r.j): r.s for r in pair.filter("i < j and s >= 0.01").collect()} == got
+    many = spark.range(12).select(F.col("id").cast("string").alias("f"))
+    assert P.vocabulary(many, "f", 12) == sorted(str(k) for k in range(12))
     with pytest.raises(ValueError):
-        S.random_split_exact(rows, 11, (0,), max_rows=10)
+        P.vocabulary(many, "f", 11)
 
 
 def test_ranked_spreads_groups(spark):
