@@ -47,7 +47,7 @@ from . import bytesops as B
 from .common import components, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS = 2_000, 20_000, 2_000
+TREE, SHARD_NODES, SHARD_TEXTS = 2_000, 20_000, 500
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
