@@ -14,21 +14,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset and the master is local (tests) a temporary one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='splitforge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage is cut and a lost executor costs nothing."""
+    """The frame as Parquet table in the shared folder: lineage is cut and a lost executor costs nothing.
+
+    Tables that a result still reads stay in the folder; its owner clears it when the session ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that no plan reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row even if body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

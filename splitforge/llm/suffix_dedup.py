@@ -48,13 +48,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table, written
+from .common import removed, table, written
 
 LENGTH, LEAD, CROWD, GROUP, PIECE = 100, 16, 64, 5, 256
 BLOCK_BUNDLES, RUN_ROWS = 1 << 20, 20_000
 SEGMENT = 8 << 20
 _BUNDLE = ["h", "c", "doc", "row", "lo", "code"]  # code: offset of the anchor << 8 | windows - 1; of a finished range minus its end
-_MATCH = ["h", "doc", "row", "lo", "code", "hrow", "hlo"]  # hrow: row of the first copy (code is the end), or _FIRST, or _SURE
+_MATCH = ["h", "row", "lo", "code", "hrow", "hlo"]  # hrow: row of the first copy (code is the end), or _FIRST, or _SURE
 _FIRST, _SURE = -2, -1
 _NULL_DOC = -(2**63)
 _IDX = np.uint64(0xFFFFFF)
@@ -196,7 +196,8 @@ def _resolve(length: int):
         for batch in batches:
             h, c, doc, row, lo, code = (x.to_numpy() for x in batch.columns)
             sure = code < 0
-            yield _batch(_MATCH, h[sure], doc[sure], row[sure], lo[sure], -code[sure], np.full(sure.sum(), _SURE), lo[sure])
+            none = np.zeros(len(h), np.int64)
+            yield _batch(_MATCH, none[sure], row[sure], lo[sure], -code[sure], none[sure] + _SURE, none[sure])
             columns = [x[~sure] for x in (h, c, doc, row, lo, code)]
             if not len(columns[0]):
                 continue
@@ -209,9 +210,10 @@ def _resolve(length: int):
             head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             carried = [x[head[-1]] for x in columns]
             first = np.flatnonzero(new)[int(old) :]
-            yield _batch(_MATCH, h[first], doc[first], row[first], lo[first], code[first], np.full(len(first), _FIRST), lo[first])
+            none = np.zeros(len(first), np.int64)
+            yield _batch(_MATCH, h[first], row[first], lo[first], code[first], none + _FIRST, none)
             later = np.flatnonzero(~new)
-            yield _batch(_MATCH, h[later], doc[later], row[later], lo[later], lo[later] + (code[later] & 255) + length, row[head[later]], lo[head[later]])
+            yield _batch(_MATCH, np.zeros(len(later), np.int64), row[later], lo[later], lo[later] + (code[later] & 255) + length, row[head[later]], lo[head[later]])
 
     return run
 
@@ -220,6 +222,7 @@ def _diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches and ranges, dealt by row -> longest ones (row, lo, hi, hrow, hlo), cut where the first copy crosses a multiple of ``PIECE``."""
     for batch in batches:
         row, lo, hi, hrow, hlo = (x.to_numpy() for x in batch.columns)
+        hlo = np.where(hrow == _SURE, lo, hlo)
         order = np.lexsort((hlo - lo, hrow, row))
         row, lo, hi, hrow, hlo = (x[order] for x in (row, lo, hi, hrow, hlo))
         shift = hlo - lo
@@ -413,9 +416,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, lead: int = LEAD, cro
     none = F.lit(-1).cast("long")
     asked = asked.unionByName(claims.select(F.col("hrow").alias("row"), block.alias("lo")).distinct().select("row", "lo", none.alias("code"), none.alias("n")))
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("lo", "code", "n")).alias("asked"))
-    bodies = written(texts.join(asked, "row").select("row", "doc", "text", "asked").mapInArrow(_contents(length, lead, crowd), "key binary, doc long, row long, lo long, body binary"))
+    contents = texts.join(asked, "row").select("row", "doc", "text", "asked").mapInArrow(_contents(length, lead, crowd), "key binary, doc long, row long, lo long, body binary")
+    bodies = written(contents)
 
-    buckets = bodies.filter("key is not null").repartitionByRange("key", "body").sortWithinPartitions("key", "body")
+    removed(resolved, rivals)
+
+    splitter = F.substring("body", 1, 16)  # spreads a key over several buckets
+    buckets = bodies.filter("key is not null").repartitionByRange("key", splitter).sortWithinPartitions("key", splitter)
     found = written(buckets.mapInArrow(_bucket(length), "window binary, doc long, row long, lo long, hi long"))
     edges = found.filter("window is not null").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("doc", "row", "lo"))).alias("places")).filter(F.size("places") > 1)
     across = edges.select(F.explode(F.slice("places", F.lit(2), F.size("places") - 1)).alias("p")).select("p.row", "p.lo", (F.col("p.lo") + length).alias("hi"))
