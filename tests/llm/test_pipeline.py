@@ -48,6 +48,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(str, mixed)) == sorted(map(str, sharded))
 
 
+def test_clashing_columns_repeated_ids_and_long_texts(spark, tmp_path):
+    rows = tables(spark, str(tmp_path))
+    good = [r for r in rows if r[0] is not None and r[0] < 1000]
+    # one doc_id with two texts, rows without an id, and a text of many pages
+    rows += [(0, good[1][1] + " " + good[2][1], "en", "s1", 1), (None, good[3][1] + " " + good[4][1], None, None, None), (3000, " ".join(r[1] for r in good[:200]), "en", "s2", 1)]
+    extra = [(*r, 5.0, 2, "t", "e", "d", 9, "k") for r in rows]
+    docs = spark.createDataFrame(extra, DOCS + ", score double, `__size` int, time string, epochs string, doc string, row int, key string")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert {(r.score, r["__size"], r.time, r.epochs, r.doc, r.row, r.key) for r in docs.collect()} == {(5.0, 2, "t", "e", "d", 9, "k")}
+        if k == 1:
+            kept = [(r.doc_id, r.text) for r in docs.collect()]
+            assert {t for d, t in kept if d == 0} == {good[0][1], rows[-3][1]} and (None, rows[-2][1]) in kept and (3000, rows[-1][1]) in kept
+
+
 def test_run_equals_the_stages_and_empty(spark, tmp_path):
     tables(spark, str(tmp_path / "a"))
     got = P.run(spark, str(tmp_path / "a"))
