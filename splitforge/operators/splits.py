@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,7 +57,7 @@ POLICIES = {"quota": _quota, "post_target": _nearest}
 def greedy_split(groups: DataFrame, by: list[str], group: str, policy: str = "quota", ratios: tuple[float, ...] = RATIOS, order: str | None = None, seed: int | None = None) -> DataFrame:
     """(by, group, n_rows, split) for groups (by, group, n_rows): whole groups, largest first.
 
-    Ties in size go by ``order`` (default the group key), or by a seeded shuffle.  The rule
+    Ties in size go by ``order`` (default the group key), or by the md5 of seed and key.  The rule
     is sequential, so the group table of one ``by`` (keys and sizes, never rows) is folded in one task.
     """
     check_ratios(ratios)
@@ -65,12 +65,11 @@ def greedy_split(groups: DataFrame, by: list[str], group: str, policy: str = "qu
     tie = order or group
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_rows", tie], ascending=[False, True], kind="stable")
-        if seed is not None:
-            at = list(range(len(pdf)))
-            pdf = pdf.sort_values(tie)
-            random.Random(seed).shuffle(at)
-            pdf = pdf.iloc[at].sort_values("n_rows", ascending=False, kind="stable")
+        if seed is not None:  # as hash_order
+            place = [hashlib.md5(f"{seed}:{key}".encode()).hexdigest() for key in pdf[tie]]
+            pdf = pdf.iloc[sorted(range(len(pdf)), key=place.__getitem__)].sort_values("n_rows", ascending=False, kind="stable")
+        else:
+            pdf = pdf.sort_values(["n_rows", tie], ascending=[False, True], kind="stable")
         have, target, out = [0, 0, 0], _targets(int(pdf.n_rows.sum()), ratios), []
         for size in pdf.n_rows.tolist():
             k = choose(have, target, size)

@@ -106,6 +106,7 @@ ORACLE_SQL = {
 SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY x - f DESC, ord) <= total - sum(f) OVER (PARTITION BY lang) THEN 1 ELSE 0 END AS BIGINT) AS target FROM raw""",
     "greedy_split_quota": _QUOTA,
     "greedy_split_posttarget": _NEAR,
+    "greedy_split_seeded": _QUOTA.replace("ORDER BY sz DESC, k)", "ORDER BY sz DESC, md5(concat('0:', k)))"),
     "split_summary": f"SELECT 'quota' AS run, split, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_groups, CAST(sum(n_rows) AS DOUBLE) / sum(sum(n_rows)) OVER () AS fraction FROM ({_QUOTA}) GROUP BY split",
     "random_split_hash": f"SELECT * FROM {_hash_split(0)}",
     "split_to_index": f"SELECT * FROM {_TO_INDEX}",
