@@ -1,45 +1,115 @@
-"""Butina clustering of a similarity graph in rounds of joins.
+"""Butina clustering of a similarity graph.
 
 The sequential rule takes the free entity with the most free neighbours (itself
 included; ties to the lowest id), makes it a center with those neighbours, and goes
-on until only single entities are left.  A center can only be affected by another
-one within distance two and counts only fall, so in each round every entity that is
-the greatest within distance two becomes a center at once: the clusters are the
-sequential ones.  With ``dynamic=False`` counts stay those of the whole graph.
+on until only single entities are left.  With ``dynamic=False`` counts stay those of
+the whole graph.
+
+Clusters never cross connected components.  A component of at most ``LINKS`` links is
+solved by the rule itself, in one task each; a run that small is not even cut into
+components.  What is larger shrinks in rounds of joins first: a center can only be
+affected by another one within distance two and counts only fall, so every entity that
+is the greatest within distance two becomes a center at once, and the clusters are the
+sequential ones.  Results do not depend on ``LINKS``.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import components, saved
+
+LINKS = 500_000
+
+
+def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[list[int], list[int]]:
+    """(centers, ids) of all clusters of two or more, from links in both directions (i, n, j); n is the count of i if counts are fixed."""
+    edges = edges.sort_values("i", kind="stable")
+    i, j = edges["i"].to_numpy(), edges["j"].to_numpy()
+    node, first, links = np.unique(i, return_index=True, return_counts=True)
+    near = np.searchsorted(node, j).tolist()
+    first, ends = first.tolist(), (first + links).tolist()
+    count = (links + 1).tolist() if dynamic else edges["n"].to_numpy()[first].tolist()
+    heap = [(-c, k) for k, c in enumerate(count)]
+    heapq.heapify(heap)
+    free = [True] * len(node)
+    centers, ids = [], []
+    while heap:
+        c, k = heapq.heappop(heap)
+        if not free[k] or -c != count[k]:
+            continue
+        taken = [m for m in near[first[k] : ends[k]] if free[m]]
+        if not taken:
+            continue
+        for m in (k, *taken):
+            free[m] = False
+            centers.append(k)
+            ids.append(m)
+        if dynamic:
+            touched = set()
+            for m in (k, *taken):
+                for o in near[first[m] : ends[m]]:
+                    if free[o]:
+                        count[o] -= 1
+                        touched.add(o)
+            for o in touched:
+                heapq.heappush(heap, (-count[o], o))
+    return node[centers].tolist(), node[ids].tolist()
 
 
-def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bool = True) -> DataFrame:
-    """(by, center, id, size) for ids (by, id) and linked pairs (by, i, j); size is the cluster's."""
-    edges = saved(pairs.select(*by, "i", "j").unionByName(pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct())
+def _round(edges: DataFrame, by: list[str], dynamic: bool) -> DataFrame:
+    """(by, center, id): the clusters of every entity that is the greatest within distance two."""
+    now = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n") if dynamic else F.first("n").alias("n"))
+    level = now.select(*by, "i", F.struct("n", (-F.col("i")).alias("m")).alias("own")).withColumn("top", F.col("own"))
+    for _ in range(2):
+        near = edges.select(*by, "i", "j").join(level.select(*by, F.col("i").alias("j"), "top"), [*by, "j"]).groupBy(*by, "i").agg(F.max("top").alias("far"))
+        level = level.join(near, [*by, "i"]).select(*by, "i", "own", F.greatest("top", "far").alias("top"))
+    centers = level.filter("own = top").select(*by, F.col("i").alias("center"))
+    around = edges.join(centers.withColumnRenamed("center", "i"), [*by, "i"]).select(*by, F.col("i").alias("center"), F.col("j").alias("id"))
+    return centers.select(*by, "center", F.col("center").alias("id")).unionByName(around)
+
+
+def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bool = True, most: int = LINKS) -> DataFrame:
+    """(by, center, id, size) for ids (by, id) and linked pairs (by, i, j); size is the cluster's.
+
+    Components of more than ``most`` links go through rounds of joins until less is left of them.
+    """
+    both = pairs.select(*by, "i", "j").unionByName(pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j")))
+    edges = saved(both.filter("i <> j").distinct())
+    part = [*by, "part"]
+    large = edges.groupBy(*by).count().filter(F.col("count") > 2 * most).select(*by)
+    if large.isEmpty():
+        edges = edges.withColumn("part", F.lit(0).cast("long"))
+    else:
+        parts = components(edges.join(large, by, "left_semi"), by)
+        edges = edges.join(parts.withColumnRenamed("node", "i"), [*by, "i"], "left").withColumn("part", F.coalesce(F.col("part").cast("long"), F.lit(0)))
     degree = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n"))
-    fixed = None if dynamic else saved(degree)
-    parts = []
-    while not edges.isEmpty():
-        now = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n")) if dynamic else fixed.join(edges.select(*by, "i").distinct(), [*by, "i"])
-        rank = now.select(*by, "i", F.struct("n", (-F.col("i")).alias("m")).alias("own"))
-        level = rank.withColumn("top", F.col("own"))
-        for _ in range(2):
-            near = edges.join(level.select(*by, F.col("i").alias("j"), "top"), [*by, "j"]).groupBy(*by, "i").agg(F.max("top").alias("far"))
-            level = level.join(near, [*by, "i"]).select(*by, "i", "own", F.greatest("top", "far").alias("top"))
-        centers = level.filter("own = top").select(*by, F.col("i").alias("center"))
-        around = edges.join(centers.withColumnRenamed("center", "i"), [*by, "i"]).select(*by, F.col("i").alias("center"), F.col("j").alias("id"))
-        found = saved(centers.select(*by, "center", F.col("center").alias("id")).unionByName(around))
-        parts.append(found)
+    edges = saved(edges.join(degree, [*by, "i"]).select(*part, "i", "n", "j"))
+    schema = edges.select(*by, F.col("i").alias("center"), F.col("i").alias("id")).schema
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        centers, found = _solve(pdf, dynamic)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "center": centers, "id": found})
+
+    done = []
+    while True:
+        few = edges.groupBy(*part).count().filter(F.col("count") <= 2 * most).select(*part)
+        done.append(saved(edges.join(few, part, "left_semi").groupBy(*part).applyInPandas(solve, schema)))
+        rest = edges.join(few, part, "left_anti")
+        if rest.isEmpty():
+            break
+        found = saved(_round(rest, by, dynamic))
+        done.append(found)
         gone = found.select(*by, "id")
-        edges = edges.join(gone.withColumnRenamed("id", "i"), [*by, "i"], "left_anti").join(gone.withColumnRenamed("id", "j"), [*by, "j"], "left_anti")
-        edges = saved(edges)
-    if not parts:
-        return ids.select(*by, F.col("id").alias("center"), "id", F.lit(1).cast("long").alias("size"))
-    every = parts[0]
-    for p in parts[1:]:
+        edges = rest.join(gone.withColumnRenamed("id", "i"), [*by, "i"], "left_anti").join(gone.withColumnRenamed("id", "j"), [*by, "j"], "left_anti")
+        edges = saved(edges.select(*part, "i", "n", "j"))
+    every = done[0]
+    for p in done[1:]:
         every = every.unionByName(p)
     single = ids.join(every.select(*by, "id"), [*by, "id"], "left_anti").select(*by, F.col("id").alias("center"), "id")
     every = every.unionByName(single)

@@ -41,3 +41,25 @@ def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank") -> Data
     heads = counts.select(*by, "__d", (F.sum("__n").over(W.partitionBy(*by).orderBy("__d")) - F.col("__n")).alias("__head"))
     numbered = digits.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__d").orderBy(order)))
     return numbered.join(heads, [*by, "__d"]).withColumn(name, F.col("__head") + F.col("__r")).drop("__d", "__r", "__head")
+
+
+def components(links: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, part) for links (by, i, j): part is the least node reachable within ``by``.
+
+    Large-star and small-star steps in turn until the links stand still; every step is an aggregation and a join.
+    """
+    edges = saved(links.filter("i <> j").select(*by, F.greatest("i", "j").alias("v"), F.least("i", "j").alias("u")).distinct())
+    state = None
+    while True:
+        both = edges.select(*by, "u", "v").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
+        large = both.join(least, [*by, "u"]).filter("v > u and v <> m").select(*by, "v", F.col("m").alias("u")).distinct()
+        down = large.groupBy(*by, "v").agg(F.min("u").alias("m"))
+        ends = F.array(F.struct("v"), F.struct(F.col("u").alias("v")))
+        edges = saved(large.join(down, [*by, "v"]).select(*by, F.explode(ends).alias("e"), F.col("m").alias("u")).select(*by, "e.v", "u").filter("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    roots = edges.select(*by, F.col("u").alias("node"), F.col("u").alias("part")).distinct()
+    return edges.select(*by, F.col("v").alias("node"), F.col("u").alias("part")).union(roots)

@@ -34,14 +34,15 @@ def sequential_butina(n, links, dynamic):
     return out
 
 
+@pytest.mark.parametrize("most", [0, 20, C.LINKS])
 @pytest.mark.parametrize("dynamic", [True, False])
-def test_butina_equals_the_sequential_rule(spark, dynamic):
+def test_butina_equals_the_sequential_rule(spark, dynamic, most):
     rng = random.Random(3)
     n = 70
     links = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(90)}
     ids = spark.range(n).select(F.lit(0).alias("run"), "id")
     pairs = spark.createDataFrame([(0, i, j) for i, j in links], "run int, i long, j long")
-    got = {r.id: r.center for r in C.butina_clusters(ids, pairs, ["run"], dynamic).collect()}
+    got = {r.id: r.center for r in C.butina_clusters(ids, pairs, ["run"], dynamic, most=most).collect()}
     want = sequential_butina(n, links, dynamic)
     sizes = Counter(want.values())
     same = {i: c for i, c in want.items() if sizes[c] > 1}
