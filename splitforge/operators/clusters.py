@@ -24,42 +24,40 @@ from pyspark.sql import functions as F
 
 from .shared import components, saved
 
-LINKS = 500_000
+LINKS = 2_000_000
 
 
-def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[list[int], list[int]]:
+def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
     """(centers, ids) of all clusters of two or more, from links in both directions (i, n, j); n is the count of i if counts are fixed."""
     edges = edges.sort_values("i", kind="stable")
     i, j = edges["i"].to_numpy(), edges["j"].to_numpy()
     node, first, links = np.unique(i, return_index=True, return_counts=True)
-    near = np.searchsorted(node, j).tolist()
-    first, ends = first.tolist(), (first + links).tolist()
-    count = (links + 1).tolist() if dynamic else edges["n"].to_numpy()[first].tolist()
-    heap = [(-c, k) for k, c in enumerate(count)]
+    near, ends = np.searchsorted(node, j), first + links
+    count = links + 1 if dynamic else edges["n"].to_numpy()[first]
+    heap = list(zip((-count).tolist(), range(len(node))))
     heapq.heapify(heap)
-    free = [True] * len(node)
+    free = np.ones(len(node), bool)
     centers, ids = [], []
     while heap:
         c, k = heapq.heappop(heap)
         if not free[k] or -c != count[k]:
             continue
-        taken = [m for m in near[first[k] : ends[k]] if free[m]]
-        if not taken:
+        around = near[first[k] : ends[k]]
+        taken = np.append(k, around[free[around]])
+        if len(taken) == 1:
             continue
-        for m in (k, *taken):
-            free[m] = False
-            centers.append(k)
-            ids.append(m)
+        free[taken] = False
+        centers.append(np.full(len(taken), k))
+        ids.append(taken)
         if dynamic:
-            touched = set()
-            for m in (k, *taken):
-                for o in near[first[m] : ends[m]]:
-                    if free[o]:
-                        count[o] -= 1
-                        touched.add(o)
-            for o in touched:
-                heapq.heappush(heap, (-count[o], o))
-    return node[centers].tolist(), node[ids].tolist()
+            touched = np.concatenate([near[first[m] : ends[m]] for m in taken.tolist()])
+            touched, lost = np.unique(touched[free[touched]], return_counts=True)
+            count[touched] -= lost
+            for entry in zip((-count[touched]).tolist(), touched.tolist()):
+                heapq.heappush(heap, entry)
+    if not ids:
+        return node[:0], node[:0]
+    return node[np.concatenate(centers)], node[np.concatenate(ids)]
 
 
 def _round(edges: DataFrame, by: list[str], dynamic: bool) -> DataFrame:

@@ -27,17 +27,17 @@ SELECT {by}, CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS total_groups, rou
 
 
 _RAW = "raw AS (SELECT s, ord, sum(sz) * r AS x, floor(sum(sz) * r) AS f, sum(sz) AS n FROM g, (VALUES ('train', 0, 0.8e0), ('val', 1, 0.1e0), ('test', 2, 0.1e0)) v(s, ord, r) GROUP BY s, ord, r)"
-_FOLD = f"""
-WITH RECURSIVE g AS (SELECT p_name AS k, count(*) AS sz FROM part GROUP BY 1),
-o AS (SELECT k, sz, row_number() OVER (ORDER BY sz DESC, k) AS rn FROM g), {_RAW},
-tgt AS (SELECT s, ord, CAST(f AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY x - f DESC, ord) <= n - sum(f) OVER () THEN 1 ELSE 0 END AS t FROM raw),
-tt AS (SELECT max(CASE WHEN ord = 0 THEN t END) AS t0, max(CASE WHEN ord = 1 THEN t END) AS t1, max(CASE WHEN ord = 2 THEN t END) AS t2 FROM tgt),
-w(rn, k, sz, p, c0, c1, c2) AS (
-  SELECT CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+_FOLD = """
+WITH RECURSIVE g AS (__GROUPS__), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY sz DESC, __ORDER__) AS rn FROM g),
+raw AS (SELECT run, s, ord, sum(sz) * r AS x, floor(sum(sz) * r) AS f, sum(sz) AS n FROM g, (VALUES ('train', 0, 0.8e0), ('val', 1, 0.1e0), ('test', 2, 0.1e0)) v(s, ord, r) GROUP BY run, s, ord, r),
+tgt AS (SELECT run, ord, CAST(f AS BIGINT) + CASE WHEN row_number() OVER (PARTITION BY run ORDER BY x - f DESC, ord) <= n - sum(f) OVER (PARTITION BY run) THEN 1 ELSE 0 END AS t FROM raw),
+tt AS (SELECT run, max(CASE WHEN ord = 0 THEN t END) AS t0, max(CASE WHEN ord = 1 THEN t END) AS t1, max(CASE WHEN ord = 2 THEN t END) AS t2 FROM tgt GROUP BY run),
+w(rn, run, k, sz, p, c0, c1, c2) AS (
+  SELECT CAST(0 AS BIGINT), run, CAST(NULL AS __KEY__), CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tt
   UNION ALL
-  SELECT rn, k, sz, p, c0 + CASE WHEN p = 0 THEN sz ELSE 0 END, c1 + CASE WHEN p = 1 THEN sz ELSE 0 END, c2 + CASE WHEN p = 2 THEN sz ELSE 0 END FROM (
-    SELECT o.rn, o.k, o.sz, w.c0, w.c1, w.c2, __CHOICE__ AS p FROM w JOIN o ON o.rn = w.rn + 1, tt))
-SELECT k AS p_name, sz AS n_rows, CASE p WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM w WHERE rn > 0"""
+  SELECT rn, run, k, sz, p, c0 + CASE WHEN p = 0 THEN sz ELSE 0 END, c1 + CASE WHEN p = 1 THEN sz ELSE 0 END, c2 + CASE WHEN p = 2 THEN sz ELSE 0 END FROM (
+    SELECT o.rn, o.run, o.k, o.sz, w.c0, w.c1, w.c2, __CHOICE__ AS p FROM w JOIN o ON o.run = w.run AND o.rn = w.rn + 1 JOIN tt ON tt.run = w.run))
+SELECT run, k, sz AS n_rows, CASE p WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM w WHERE rn > 0"""
 
 
 def _tuple(kind: str, k: int) -> str:
@@ -52,7 +52,13 @@ def _choice(kind: str) -> str:
     return f"CASE WHEN {a} {op} {b} AND {a} {op} {c} THEN 0 WHEN {b} {op} {c} THEN 1 ELSE 2 END"
 
 
-_QUOTA, _NEAR = _FOLD.replace("__CHOICE__", _choice("quota")), _FOLD.replace("__CHOICE__", _choice("near"))
+def _fold(groups: str, order: str, kind: str, key: str = "VARCHAR") -> str:
+    """(run, k, n_rows, split): the greedy rule, one group a run and step, for groups (run, k, sz, ...)."""
+    return _FOLD.replace("__CHOICE__", _choice(kind)).replace("__GROUPS__", groups).replace("__ORDER__", order).replace("__KEY__", key)
+
+
+_PARTS = "SELECT 0 AS run, p_name AS k, count(*) AS sz FROM part GROUP BY 2"
+_QUOTA, _NEAR, _SEEDED_QUOTA = (f"SELECT k AS p_name, n_rows, split FROM ({_fold(_PARTS, order, kind)})" for order, kind in (("k", "quota"), ("k", "near"), ("md5(concat('0:', k))", "quota")))
 
 
 def _hash_split(seed: int) -> str:
@@ -83,6 +89,40 @@ def _count_pairs(ids: str) -> str:
   FROM m a JOIN m b ON a.user_id < b.user_id AND a.event_type = b.event_type GROUP BY 1, 2)"""
 
 
+
+def _butina(links: str, ids: str, dynamic: bool) -> str:
+    """(run, center, id, size): one center a run and step, as the sequential rule has it; links (run, i, j) go both ways."""
+    n = "1 + count(l.j) FILTER (WHERE o.id IS NOT NULL)" if dynamic else "1 + coalesce(any_value(d.n), 0)"
+    return f"""(WITH RECURSIVE links AS MATERIALIZED {links}, ids AS {ids}, d AS MATERIALIZED (SELECT run, i AS id, count(*) AS n FROM links GROUP BY 1, 2),
+w(step, run, id, center) AS (
+  SELECT 0, run, id, CAST(NULL AS BIGINT) FROM ids
+  UNION ALL
+  SELECT w.step + 1, w.run, w.id, CASE WHEN w.id = c.id OR l.j IS NOT NULL THEN c.id END FROM w
+  JOIN (SELECT DISTINCT ON (run) run, id FROM (SELECT f.run, f.id, {n} AS n FROM w f LEFT JOIN links l ON l.run = f.run AND l.i = f.id LEFT JOIN w o ON o.run = l.run AND o.id = l.j AND o.center IS NULL LEFT JOIN d ON d.run = f.run AND d.id = f.id WHERE f.center IS NULL GROUP BY 1, 2) ORDER BY run, n DESC, id) c ON c.run = w.run
+  LEFT JOIN links l ON l.run = c.run AND l.i = c.id AND l.j = w.id WHERE w.center IS NULL)
+SELECT run, center, id, count(*) OVER (PARTITION BY run, center) AS size FROM w WHERE center IS NOT NULL)"""
+
+
+_NEAR_VECTORS = f"(SELECT 0 AS run, i, j FROM {_TANIMOTO} UNION ALL SELECT 0, j, i FROM {_TANIMOTO})"
+_VECTORS = "(SELECT 0 AS run, vec_id AS id FROM embeddings)"
+_DYNAMIC, _STATIC = _butina(_NEAR_VECTORS, _VECTORS, True), _butina(_NEAR_VECTORS, _VECTORS, False)
+
+
+def _clusters(of: str) -> str:
+    return f"SELECT run, center AS k, count(*) AS sz, min(id) AS least FROM {of} GROUP BY 1, 2"
+
+
+_BUTINA_SPLIT = f"""WITH c AS MATERIALIZED ({_clusters(_DYNAMIC)})
+SELECT k AS center, n_rows, least, split FROM ({_fold("SELECT * FROM c", "md5(concat('0:', least))", "quota", "BIGINT")}) JOIN (SELECT k, least FROM c) USING (k)"""
+
+_GRID = "(SELECT row_number() OVER () AS run, weight, cutoff FROM (VALUES (0e0), (0.5e0), (1e0)) a(weight), (VALUES (0.35e0), (0.45e0), (0.55e0)) b(cutoff))"
+_BOTH = f"""(SELECT d.i, d.j, 1e0 - {_SIM} AS ds, distance AS dc FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN {_SIGB} a ON a.vec_id = d.i JOIN {_SIGB} b ON b.vec_id = d.j)"""
+_SWEEP_LINKS = f"(SELECT run, unnest([i, j]) AS i, unnest([j, i]) AS j FROM {_BOTH}, {_GRID} WHERE CAST(CAST(least(1e0, weight * ds + (1 - weight) * dc) AS FLOAT) AS DOUBLE) <= cutoff)"
+_SWEEP_IDS = f"(SELECT run, vec_id AS id FROM {_GRID}, embeddings WHERE vec_id IN (SELECT user_id FROM events))"
+_SWEEP = f"""WITH c AS MATERIALIZED ({_clusters(_butina(_SWEEP_LINKS, _SWEEP_IDS, False))}), f AS MATERIALIZED ({_fold("SELECT * FROM c", "least", "near", "BIGINT")}),
+a AS (SELECT run, count(*) AS n_clusters, max(sz) AS largest, min(sz) AS smallest, count(*) FILTER (WHERE sz = 1) AS n_singletons FROM c GROUP BY 1)
+SELECT weight, cutoff, n_clusters, largest, smallest, n_singletons, {", ".join(f"CAST(coalesce((SELECT sum(n_rows) FROM f WHERE f.run = a.run AND split = '{s}'), 0) AS BIGINT) AS {s}" for s in ("train", "val", "test"))} FROM a JOIN {_GRID} USING (run)"""
+
 _CELLS = "(SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2)"
 _DELTAS = f"(SELECT c.o_orderpriority, c.o_orderstatus, c.value - b.value AS delta FROM {_CELLS} c LEFT JOIN {_CELLS} b ON b.o_orderpriority = '1-URGENT' AND b.o_orderstatus = c.o_orderstatus WHERE c.o_orderpriority <> '1-URGENT')"
 _ALIGNED = "(o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' OR o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' OR o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P')"
@@ -106,7 +146,7 @@ ORACLE_SQL = {
 SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY x - f DESC, ord) <= total - sum(f) OVER (PARTITION BY lang) THEN 1 ELSE 0 END AS BIGINT) AS target FROM raw""",
     "greedy_split_quota": _QUOTA,
     "greedy_split_posttarget": _NEAR,
-    "greedy_split_seeded": _QUOTA.replace("ORDER BY sz DESC, k)", "ORDER BY sz DESC, md5(concat('0:', k)))"),
+    "greedy_split_seeded": _SEEDED_QUOTA,
     "split_summary": f"SELECT 'quota' AS run, split, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_groups, CAST(sum(n_rows) AS DOUBLE) / sum(sum(n_rows)) OVER () AS fraction FROM ({_QUOTA}) GROUP BY split",
     "random_split_hash": f"SELECT * FROM {_hash_split(0)}",
     "split_to_index": f"SELECT * FROM {_TO_INDEX}",
@@ -120,6 +160,10 @@ SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDE
     "tanimoto_pairs": f"SELECT * FROM {_TANIMOTO}",
     "neighbor_counts": f"SELECT vec_id, 1 + count(i) AS n_neighbors FROM embeddings LEFT JOIN (SELECT i, j FROM {_TANIMOTO} UNION ALL SELECT j, i FROM {_TANIMOTO}) ON i = vec_id GROUP BY 1",
     "nearest_pairs_topk": f"SELECT * FROM {_TANIMOTO} ORDER BY similarity DESC, i, j LIMIT 100",
+    "butina_dynamic": f"SELECT center, id, size FROM {_DYNAMIC}",
+    "butina_static": f"SELECT center, id, size FROM {_STATIC}",
+    "cluster_summary": f"SELECT run, count(*) AS n_clusters, max(size) AS largest, min(size) AS smallest, count(*) FILTER (WHERE size = 1) AS n_singletons FROM (SELECT DISTINCT run, center, size FROM {_DYNAMIC}) GROUP BY 1",
+    "butina_split": _BUTINA_SPLIT,
     "feature_counts": f"SELECT * FROM {_UC}",
     "feature_matrix": "SELECT * FROM (PIVOT (SELECT user_id, event_type FROM events) ON event_type USING count(*) GROUP BY user_id)",
     "vocabulary_summary": f"SELECT event_type, count(DISTINCT user_id) AS n_entities, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total, count(user_id) > 0 AS ever_hit FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'never') LEFT JOIN {_UC} USING (event_type) GROUP BY 1",
@@ -129,6 +173,7 @@ p AS (SELECT event_type, CAST(coalesce(sum(cnt) FILTER (WHERE k = 1), 0) AS BIGI
 SELECT *, CASE WHEN count_b = 0 THEN 'a_only' WHEN count_a = 0 THEN 'b_only' ELSE 'shared' END AS membership, round(abs(count_a - count_b) * 1e0 / greatest(count_a, count_b), 9) AS gap FROM p""",
     "combined_distance": f"""WITH s AS (SELECT * FROM {_SIGB} WHERE vec_id IN (SELECT user_id FROM events)), p AS (SELECT d.i, d.j, CAST(CAST(least(1e0, 0.5e0 * (1e0 - {_SIM}) + 0.5e0 * distance) AS FLOAT) AS DOUBLE) AS total
 FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN s a ON a.vec_id = d.i JOIN s b ON b.vec_id = d.j) SELECT i, j, round(total, 6) AS total FROM p WHERE total <= 0.45e0""",
+    "sweep_summary": _SWEEP,
     "param_grid": "SELECT w AS weight, c AS cutoff FROM (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) a(w), (VALUES (0.35e0), (0.45e0), (0.55e0)) b(c)",
     "classification_metrics": """WITH b AS (SELECT lang, quality, n_chars AS sc, (n_chars > 1000) = (quality = 1) AS same FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT lang, sc, count(*) FILTER (WHERE quality = 1) AS p, count(*) AS n, count(*) FILTER (WHERE same) AS same FROM b GROUP BY 1, 2),
