@@ -28,12 +28,12 @@ LINKS = 2_000_000
 
 
 def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(centers, ids) of all clusters of two or more, from links in both directions (i, n, j); n is the count of i if counts are fixed."""
+    """(centers, ids) of all clusters of two or more, from links in both directions (i, j); fixed counts come as n where links have gone already."""
     edges = edges.sort_values("i", kind="stable")
     i, j = edges["i"].to_numpy(), edges["j"].to_numpy()
     node, first, links = np.unique(i, return_index=True, return_counts=True)
     near, ends = np.searchsorted(node, j), first + links
-    count = links + 1 if dynamic else edges["n"].to_numpy()[first]
+    count = links + 1 if dynamic or "n" not in edges else edges["n"].to_numpy()[first]
     heap = list(zip((-count).tolist(), range(len(node))))
     heapq.heapify(heap)
     free = np.ones(len(node), bool)
@@ -77,25 +77,25 @@ def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bo
 
     Components of more than ``most`` links go through rounds of joins until less is left of them.
     """
-    both = pairs.select(*by, "i", "j").unionByName(pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j")))
-    edges = saved(both.filter("i <> j").distinct())
-    part = [*by, "part"]
-    large = edges.groupBy(*by).count().filter(F.col("count") > 2 * most).select(*by)
-    if large.isEmpty():
-        edges = edges.withColumn("part", F.lit(0).cast("long"))
-    else:
-        parts = components(edges.join(large, by, "left_semi"), by)
-        edges = edges.join(parts.withColumnRenamed("node", "i"), [*by, "i"], "left").withColumn("part", F.coalesce(F.col("part").cast("long"), F.lit(0)))
-    degree = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n"))
-    edges = saved(edges.join(degree, [*by, "i"]).select(*part, "i", "n", "j"))
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    edges = saved(pairs.filter("i <> j").select(*by, F.explode(ends).alias("e")).select(*by, "e.i", "e.j").distinct())
     schema = edges.select(*by, F.col("i").alias("center"), F.col("i").alias("id")).schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         centers, found = _solve(pdf, dynamic)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "center": centers, "id": found})
 
-    done = []
-    while True:
+    large = edges.groupBy(*by).count().filter(F.col("count") > 2 * most).select(*by)
+    if large.isEmpty():
+        done, rest = [saved(edges.groupBy(*by).applyInPandas(solve, schema))], None
+    else:
+        degree = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n"))
+        parts = components(edges.join(large, by, "left_semi"), by).withColumnRenamed("node", "i")
+        rest = edges.join(degree, [*by, "i"]).join(parts, [*by, "i"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+        done = []
+    part = [*by, "part"]
+    while rest is not None:
+        edges = saved(rest.select(*part, "i", "n", "j"))
         few = edges.groupBy(*part).count().filter(F.col("count") <= 2 * most).select(*part)
         done.append(saved(edges.join(few, part, "left_semi").groupBy(*part).applyInPandas(solve, schema)))
         rest = edges.join(few, part, "left_anti")
@@ -104,8 +104,7 @@ def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bo
         found = saved(_round(rest, by, dynamic))
         done.append(found)
         gone = found.select(*by, "id")
-        edges = rest.join(gone.withColumnRenamed("id", "i"), [*by, "i"], "left_anti").join(gone.withColumnRenamed("id", "j"), [*by, "j"], "left_anti")
-        edges = saved(edges.select(*part, "i", "n", "j"))
+        rest = rest.join(gone.withColumnRenamed("id", "i"), [*by, "i"], "left_anti").join(gone.withColumnRenamed("id", "j"), [*by, "j"], "left_anti")
     every = done[0]
     for p in done[1:]:
         every = every.unionByName(p)
