@@ -3,7 +3,7 @@
 All pairs of a dataset cannot be avoided where the distance allows no key, but
 they can be dealt evenly: entities are cut into blocks, each pair of blocks is
 compared by one task with numpy, and only pairs within the cutoff leave it.
-Signature blocks hold one popcount each, and pairs of blocks whose popcounts rule
+Signature blocks hold neighbouring popcounts, and pairs of blocks whose popcounts rule
 out the similarity (it is at most least / greatest popcount) are never made.
 """
 
@@ -74,18 +74,25 @@ def _tanimoto(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.where(either == 0, 1.0, both / np.maximum(either, 1))
 
 
-def tanimoto_pairs(signatures: DataFrame, id_: str, threshold: float, block: int = BLOCK) -> DataFrame:
+def tanimoto_pairs(signatures: DataFrame, id_: str, threshold: float, block: int = BLOCK // 4) -> DataFrame:
     """(i, j, similarity), i < j, of all pairs with Tanimoto similarity >= threshold; two empty signatures are alike.
 
     ``signatures``: id, words array<bigint>.
     """
     rows = signatures.select(id_, "words", popcount(F.col("words")).alias("pop"))
     sizes = {r.pop: r.n for r in rows.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # one row a popcount
-    blocks, first = [], {}
+    # (least, greatest popcount) of each block; rare neighbouring popcounts share one, a frequent one is cut into several
+    blocks, first, held = [], {}, 0
     for p in sorted(sizes):
-        first[p] = len(blocks)
-        blocks += [p] * -(-sizes[p] // block)
-    pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks)) if blocks[a] >= threshold * blocks[b]]
+        if blocks and held + sizes[p] <= block:
+            blocks[-1], held = (blocks[-1][0], p), held + sizes[p]
+            first[p] = len(blocks) - 1
+        else:
+            first[p] = len(blocks)
+            parts = -(-sizes[p] // block)
+            blocks += [(p, p)] * parts
+            held = sizes[p] if parts == 1 else block
+    pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks)) if blocks[a][1] >= threshold * blocks[b][0]]
     head = F.lit(-1)
     for p, k in first.items():
         head = F.when(F.col("pop") == p, F.lit(k) + F.pmod(F.xxhash64(id_), F.lit(-(-sizes[p] // block))).cast("int")).otherwise(head)
