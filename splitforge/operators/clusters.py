@@ -3,14 +3,15 @@
 The sequential rule takes the free entity with the most free neighbours (itself
 included; ties to the lowest id), makes it a center with those neighbours, and goes
 on until only single entities are left.  With ``dynamic=False`` counts stay those of
-the whole graph.
-
-Clusters never cross connected components.  A component of at most ``LINKS`` links is
-solved by the rule itself, in one task each; a run that small is not even cut into
-components.  What is larger shrinks in rounds of joins first: a center can only be
-affected by another one within distance two and counts only fall, so every entity that
-is the greatest within distance two becomes a center at once, and the clusters are the
-sequential ones.  Results do not depend on ``LINKS``.
+the whole graph.  An id may stand for ``size`` entities that are alike: they have the
+same neighbours and each other, so they join a cluster together and count ``size`` times.
+
+Clusters never cross connected components.  Components of at most ``LINKS`` links are
+solved by the rule itself: those over ``BUNDLE`` links in a task each, smaller ones by
+hash in bundles of about that many links.  A larger component shrinks in rounds of joins
+first: a center can only be affected by another one within distance two and counts only
+fall, so every id that is the greatest within distance two becomes a center at once,
+and the clusters are the sequential ones.  Results do not depend on ``LINKS``.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ from pyspark.sql import functions as F
 
 from .shared import components, saved
 
-LINKS = 2_000_000
+LINKS, BUNDLE = 2_000_000, 100_000
 
 
 def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(centers, ids) of all clusters of two or more, from links in both directions (i, j); fixed counts come as n where links have gone already."""
-    edges = edges.sort_values("i", kind="stable")
+    """(centers, ids) of all clusters of two ids or more, from links in both directions (i, j, size of i); fixed counts come as n where links have gone already."""
+    edges = edges.drop_duplicates(["i", "j"]).sort_values("i", kind="stable")
     i, j = edges["i"].to_numpy(), edges["j"].to_numpy()
     node, first, links = np.unique(i, return_index=True, return_counts=True)
     near, ends = np.searchsorted(node, j), first + links
-    count = links + 1 if dynamic or "n" not in edges else edges["n"].to_numpy()[first]
+    size = edges["size"].to_numpy()[first]
+    fixed = not dynamic and edges["n"].notna().all()
+    count = edges["n"].to_numpy(np.int64)[first] if fixed else size + np.add.reduceat(size[near], first)
     heap = list(zip((-count).tolist(), range(len(node))))
     heapq.heapify(heap)
     free = np.ones(len(node), bool)
@@ -51,8 +54,9 @@ def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
         ids.append(taken)
         if dynamic:
             touched = np.concatenate([near[first[m] : ends[m]] for m in taken.tolist()])
-            touched, lost = np.unique(touched[free[touched]], return_counts=True)
-            count[touched] -= lost
+            lost = np.repeat(size[taken], links[taken])
+            np.subtract.at(count, touched, lost)
+            touched = np.unique(touched[free[touched]])
             for entry in zip((-count[touched]).tolist(), touched.tolist()):
                 heapq.heappush(heap, entry)
     if not ids:
@@ -61,8 +65,10 @@ def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _round(edges: DataFrame, by: list[str], dynamic: bool) -> DataFrame:
-    """(by, center, id): the clusters of every entity that is the greatest within distance two."""
-    now = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n") if dynamic else F.first("n").alias("n"))
+    """(by, center, id): the clusters of every id that is the greatest within distance two."""
+    sizes = edges.select(*by, F.col("i").alias("j"), F.col("size").alias("of")).distinct()
+    counted = (F.sum("of") + F.first("size")) if dynamic else F.first("n")
+    now = edges.join(sizes, [*by, "j"]).groupBy(*by, "i").agg(counted.alias("n"))
     level = now.select(*by, "i", F.struct("n", (-F.col("i")).alias("m")).alias("own")).withColumn("top", F.col("own"))
     for _ in range(2):
         near = edges.select(*by, "i", "j").join(level.select(*by, F.col("i").alias("j"), "top"), [*by, "j"]).groupBy(*by, "i").agg(F.max("top").alias("far"))
@@ -72,52 +78,84 @@ def _round(edges: DataFrame, by: list[str], dynamic: bool) -> DataFrame:
     return centers.select(*by, "center", F.col("center").alias("id")).unionByName(around)
 
 
-def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bool = True, most: int = LINKS) -> DataFrame:
-    """(by, center, id, size) for ids (by, id) and linked pairs (by, i, j); size is the cluster's.
+def _bundled(nodes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """nodes (by, i, part, links, ...) of components of at most ``most`` links, with where they are solved: alone, or in a bundle of small ones."""
+    few = nodes.groupBy(*by, "part").agg(F.sum("links").alias("all")).filter(F.col("all") <= 2 * most)
+    small = few.filter(F.col("all") <= BUNDLE)
+    bundles = small.groupBy(*by).agg(F.ceil(F.sum("all") / BUNDLE).alias("bundles"))
+    small = small.join(bundles, by).select(*by, "part", F.lit(None).cast("long").alias("alone"), F.pmod(F.xxhash64("part"), "bundles").alias("bundle"))
+    alone = few.filter(F.col("all") > BUNDLE).select(*by, "part", F.col("part").alias("alone"), F.lit(None).cast("long").alias("bundle"))
+    return nodes.join(small.unionByName(alone), [*by, "part"])
+
+
+def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bool = True, most: int = LINKS, parts: DataFrame | None = None) -> DataFrame:
+    """(by, center, id, size) for ids (by, id[, size]) and linked pairs (by, i, j); size is the cluster's, in entities.
 
     Components of more than ``most`` links go through rounds of joins until less is left of them.
+    ``parts`` (some of by, node, part) are known sets that no link leaves, such as components
+    for a wider cutoff; only where one is larger than ``most``, components are looked for.
+    Links are moved once to where they are solved: all that is decided before is decided on ids.
     """
+    ids = ids if "size" in ids.columns else ids.withColumn("size", F.lit(1).cast("long"))
     ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    edges = saved(pairs.filter("i <> j").select(*by, F.explode(ends).alias("e")).select(*by, "e.i", "e.j").distinct())
-    schema = edges.select(*by, F.col("i").alias("center"), F.col("i").alias("id")).schema
+    rest = pairs.filter("i <> j").select(*by, F.explode(ends).alias("e")).select(*by, "e.i", "e.j")
+    sizes = ids.select(*by, F.col("id").alias("i"), "size")
+    schema = rest.select(*by, F.col("i").alias("center"), F.col("i").alias("id")).schema
+    fixed = None  # n of every id in the whole graph, where links have gone already
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         centers, found = _solve(pdf, dynamic)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(found) for c in by}, "center": centers, "id": found})
 
-    large = edges.groupBy(*by).count().filter(F.col("count") > 2 * most).select(*by)
-    if large.isEmpty():
-        done, rest = [saved(edges.groupBy(*by).applyInPandas(solve, schema))], None
-    else:
-        degree = edges.groupBy(*by, "i").agg((F.count("*") + 1).alias("n"))
-        parts = components(edges.join(large, by, "left_semi"), by).withColumnRenamed("node", "i")
-        rest = edges.join(degree, [*by, "i"]).join(parts, [*by, "i"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
-        done = []
-    part = [*by, "part"]
-    while rest is not None:
-        edges = saved(rest.select(*part, "i", "n", "j"))
-        few = edges.groupBy(*part).count().filter(F.col("count") <= 2 * most).select(*part)
-        done.append(saved(edges.join(few, part, "left_semi").groupBy(*part).applyInPandas(solve, schema)))
-        rest = edges.join(few, part, "left_anti")
-        if rest.isEmpty():
+    done = []
+    while True:
+        known, parts = components(rest, by) if parts is None else parts, None
+        on = [c for c in by if c in known.columns]
+        nodes = rest.groupBy(*by, "i").agg(F.count("*").alias("links")).join(known.withColumnRenamed("node", "i"), [*on, "i"])
+        nodes = saved(nodes.join(sizes, [*by, "i"]))
+        dealt = _bundled(nodes, by, most)
+        dealt = dealt.withColumn("n", F.lit(None).cast("long")) if fixed is None else dealt.join(fixed, [*by, "i"])
+        each = rest.join(dealt.select(*by, "i", "size", "n", "alone", "bundle"), [*by, "i"])
+        done.append(saved(each.groupBy(*by, "alone", "bundle").applyInPandas(solve, schema)))
+        large = nodes.groupBy(*by, "part").agg(F.sum("links").alias("all")).filter(F.col("all") > 2 * most)
+        left = nodes.join(large, [*by, "part"], "left_semi").select(*by, "i", "size")
+        if left.isEmpty():
             break
-        found = saved(_round(rest, by, dynamic))
+        rest = saved(rest.join(left, [*by, "i"]).select(*by, "i", "j").distinct())
+        if len(on) < len(by):
+            continue
+        sized = rest.join(sizes, [*by, "i"])
+        if not dynamic:
+            if fixed is None:
+                of = sizes.select(*by, F.col("i").alias("j"), F.col("size").alias("of"))
+                fixed = saved(sized.join(of, [*by, "j"]).groupBy(*by, "i").agg((F.sum("of") + F.first("size")).alias("n")))
+            sized = sized.join(fixed, [*by, "i"])
+        found = saved(_round(sized, by, dynamic))
         done.append(found)
         gone = found.select(*by, "id")
         rest = rest.join(gone.withColumnRenamed("id", "i"), [*by, "i"], "left_anti").join(gone.withColumnRenamed("id", "j"), [*by, "j"], "left_anti")
+        rest = saved(rest)
+        if rest.isEmpty():
+            break
     every = done[0]
     for p in done[1:]:
         every = every.unionByName(p)
     single = ids.join(every.select(*by, "id"), [*by, "id"], "left_anti").select(*by, F.col("id").alias("center"), "id")
-    every = every.unionByName(single)
-    return every.join(every.groupBy(*by, "center").agg(F.count("*").alias("size")), [*by, "center"]).select(*by, "center", "id", "size")
+    every = every.unionByName(single).join(ids.select(*by, "id", "size"), [*by, "id"])
+    return every.join(every.groupBy(*by, "center").agg(F.sum("size").alias("whole")), [*by, "center"]).select(*by, "center", "id", F.col("whole").alias("size"))
+
+
+def of_members(clusters: DataFrame, of: DataFrame, id_: str) -> DataFrame:
+    """Clusters of classes as clusters of their members (id, of)."""
+    each = clusters.join(of.select(F.col(id_).alias("__id"), F.col("of").alias("id")), "id")
+    return each.drop("id").withColumnRenamed("__id", "id").select(*clusters.columns)
 
 
 def summarize_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
-    sizes = clusters.groupBy(*by, "center").agg(F.count("*").alias("size"))
+    sizes = clusters.groupBy(*by, "center").agg(F.max("size").alias("size"))
     return sizes.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.max("size").alias("largest"), F.min("size").alias("smallest"), F.count_if(F.col("size") == 1).alias("n_singletons"))
 
 
 def cluster_groups(clusters: DataFrame, by: list[str]) -> DataFrame:
     """Clusters as groups for the greedy split: (by, center, n_rows, least)."""
-    return clusters.groupBy(*by, "center").agg(F.count("*").alias("n_rows"), F.min("id").alias("least"))
+    return clusters.groupBy(*by, "center").agg(F.max("size").alias("n_rows"), F.min("id").alias("least"))

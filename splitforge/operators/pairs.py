@@ -1,22 +1,11 @@
-"""Pairwise distances below a cutoff, from bit signatures and from count vectors.
-
-All pairs of a dataset cannot be avoided where the distance allows no key, but
-they can be dealt evenly: entities are cut into blocks, each pair of blocks is
-compared by one task with numpy, and only pairs within the cutoff leave it.
-Signature blocks hold neighbouring popcounts, and pairs of blocks whose popcounts rule
-out the similarity (it is at most least / greatest popcount) are never made.
-"""
+"""Bit signatures, count vectors and what describes single pairs of them; joins by a threshold are in ``similarity``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from .similarity import popcount
 
 
 def signature_words(bits: Column, n_bits: int, word: int = 62) -> Column:
@@ -36,127 +25,11 @@ def tanimoto(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(bits(lambda a, b: a.bitwiseAND(b)), bits(lambda a, b: a.bitwiseOR(b))), F.lit(1.0))
 
 
-def popcount(words: Column) -> Column:
-    return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda a, b: a + b)
-
-
-def _block_pairs(rows: DataFrame, id_: str, pairs: list[tuple[int, int]], compare: Callable, schema: str) -> DataFrame:
-    """rows have ``block``; ``compare`` gets two frames and yields pairs (index in a, index in b, values...)."""
-    spark = rows.sparkSession
-    # side 2: a block against itself
-    sides = [(a, k, 0 if a != b else 2) for k, (a, b) in enumerate(pairs)] + [(b, k, 1) for k, (a, b) in enumerate(pairs) if a != b]
-    plan = spark.createDataFrame(sides or [(-1, -1, 0)], "block int, pair int, side int")
-    dealt = rows.join(plan, "block")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.side.iloc[0] == 2
-        a = pdf[pdf.side != 1].sort_values(id_).reset_index(drop=True)
-        b = a if own else pdf[pdf.side == 1].sort_values(id_).reset_index(drop=True)
-        if a.empty or b.empty:  # no rows were dealt to one of the blocks
-            return pd.DataFrame(columns=names)
-        i, j, *values = compare(a, b)
-        left, right = a[id_].to_numpy()[i], b[id_].to_numpy()[j]
-        keep = left < right if own else left != right
-        lo, hi = np.minimum(left, right)[keep], np.maximum(left, right)[keep]
-        return pd.DataFrame({"i": lo, "j": hi} | {f"v{k}": v[keep] for k, v in enumerate(values)})
-
-    return dealt.groupBy("pair").applyInPandas(run, schema)
-
-
-def _tanimoto(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = (np.array(f.words.tolist(), np.int64).reshape(len(f), -1).view(np.uint64) for f in (a, b))
-    both = np.zeros((len(x), len(y)), np.int64)
-    either = both.copy()
-    for k in range(x.shape[1]):
-        both += np.bitwise_count(x[:, k, None] & y[None, :, k])
-        either += np.bitwise_count(x[:, k, None] | y[None, :, k])
-    return np.where(either == 0, 1.0, both / np.maximum(either, 1))
-
-
-def tanimoto_pairs(signatures: DataFrame, id_: str, threshold: float, block: int = BLOCK // 4) -> DataFrame:
-    """(i, j, similarity), i < j, of all pairs with Tanimoto similarity >= threshold; two empty signatures are alike.
-
-    ``signatures``: id, words array<bigint>.
-    """
-    rows = signatures.select(id_, "words", popcount(F.col("words")).alias("pop"))
-    sizes = {r.pop: r.n for r in rows.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # one row a popcount
-    # (least, greatest popcount) of each block; rare neighbouring popcounts share one, a frequent one is cut into several
-    blocks, first, held = [], {}, 0
-    for p in sorted(sizes):
-        if blocks and held + sizes[p] <= block:
-            blocks[-1], held = (blocks[-1][0], p), held + sizes[p]
-            first[p] = len(blocks) - 1
-        else:
-            first[p] = len(blocks)
-            parts = -(-sizes[p] // block)
-            blocks += [(p, p)] * parts
-            held = sizes[p] if parts == 1 else block
-    pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks)) if blocks[a][1] >= threshold * blocks[b][0]]
-    head = F.lit(-1)
-    for p, k in first.items():
-        head = F.when(F.col("pop") == p, F.lit(k) + F.pmod(F.xxhash64(id_), F.lit(-(-sizes[p] // block))).cast("int")).otherwise(head)
-
-    def compare(a, b):
-        sim = _tanimoto(a, b)
-        i, j = np.nonzero(sim >= threshold)
-        return i, j, sim[i, j]
-
-    return _block_pairs(rows.withColumn("block", head.cast("int")), id_, pairs, compare, "i long, j long, v0 double").withColumnRenamed("v0", "similarity")
-
-
 def count_vectors(counts: DataFrame, id_: str, feature: str, cnt: str) -> DataFrame:
     """(id, counts map): one map an entity, zeros left out."""
     return counts.filter(F.col(cnt) > 0).groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct(F.col(feature).cast("string"), F.col(cnt).cast("double")))).alias("counts"))
 
 
-def _count_distance(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    names = sorted({k for f in (a, b) for m in f.counts for k, _ in (m.items() if isinstance(m, dict) else m)})
-    x, y = (pd.DataFrame([dict(m) for m in f.counts], columns=names).fillna(0.0).to_numpy() for f in (a, b))
-    gap, active = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
-    for k in range(len(names)):
-        u, v = x[:, k, None], y[None, :, k]
-        top = np.maximum(u, v)
-        active += top > 0
-        gap += np.abs(u - v) / np.where(top > 0, top, 1.0)
-    return np.clip(gap / np.maximum(active, 1.0), 0.0, 1.0)
-
-
-def _hash_blocks(rows: DataFrame, id_: str, block: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    n = max(1, -(-rows.count() // block))
-    return rows.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")), [(a, b) for a in range(n) for b in range(a, n)]
-
-
-def count_distance_pairs(vectors: DataFrame, id_: str, cutoff: float, block: int = BLOCK) -> DataFrame:
-    """(i, j, distance), i < j: mean over features that either has of abs(a - b) / max(a, b), where <= cutoff; 0 without features."""
-
-    def compare(a, b):
-        d = _count_distance(a, b)
-        i, j = np.nonzero(d <= cutoff)
-        return i, j, d[i, j]
-
-    rows, pairs = _hash_blocks(vectors, id_, block)
-    return _block_pairs(rows, id_, pairs, compare, "i long, j long, v0 double").withColumnRenamed("v0", "distance")
-
-
-def two_distances(entities: DataFrame, id_: str, cutoff: float, block: int = BLOCK) -> DataFrame:
-    """(i, j, d_structure, d_counts) of pairs of which some weighting can come within the cutoff; entities: id, words, counts."""
-
-    def compare(a, b):
-        ds, df = 1.0 - _tanimoto(a, b), _count_distance(a, b)
-        i, j = np.nonzero(np.minimum(ds, df) <= cutoff + 1e-6)
-        return i, j, ds[i, j], df[i, j]
-
-    rows, pairs = _hash_blocks(entities, id_, block)
-    out = _block_pairs(rows, id_, pairs, compare, "i long, j long, v0 double, v1 double")
-    return out.withColumnsRenamed({"v0": "d_structure", "v1": "d_counts"})
-
-
-def combine_distances(a: Column, b: Column, weight: Column) -> Column:
-    """weight * a + (1 - weight) * b within [0, 1], as single precision."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight * a + (1 - weight) * b)).cast("float")
-
-
 def generate_param_grid(low: float, high: float, gap: float) -> list[float]:
     """low, low + gap, ... and high, in decimal steps, both ends included."""
     from decimal import Decimal

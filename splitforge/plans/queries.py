@@ -10,6 +10,7 @@ from ..operators import effects as E
 from ..operators import groups as G
 from ..operators import metrics as M
 from ..operators import pairs as P
+from ..operators import similarity as N
 from ..operators import splits as S
 from ..operators import validate as V
 from ..operators.shared import hash_order, saved
@@ -168,18 +169,27 @@ def _signatures(spark, d):
 
 
 def signature_bits(spark, d):
-    return _signatures(spark, d).select("vec_id", F.get("words", 0).alias("word_0"), F.get("words", 1).alias("word_1"), P.popcount(F.col("words")).alias("n_bits"))
+    return _signatures(spark, d).select("vec_id", F.get("words", 0).alias("word_0"), F.get("words", 1).alias("word_1"), N.popcount(F.col("words")).alias("n_bits"))
 
 
 def tanimoto_pairs(spark, d):
-    return P.tanimoto_pairs(_signatures(spark, d), "vec_id", SIMILARITY)
+    return N.tanimoto_pairs(_signatures(spark, d), "vec_id", SIMILARITY)
+
+
+def _near_classes(spark, d):
+    """Classes of equal signatures, the pairs of classes that are linked, and the class of every vector."""
+    rows = _signatures(spark, d)
+    found = saved(N.classes(rows, "vec_id", ["words"]))
+    return found, saved(N.similar(found, "vec_id", SIMILARITY)), N.members(rows, found, "vec_id", ["words"])
 
 
 def neighbor_counts(spark, d):
-    pairs = tanimoto_pairs(spark, d)
-    both = pairs.select("i").unionByName(pairs.select(F.col("j").alias("i"))).groupBy("i").agg(F.count("*").alias("n"))
-    ids = _t(spark, d, "embeddings").select("vec_id")
-    return ids.join(both, ids.vec_id == both.i, "left").select("vec_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_neighbors"))
+    found, pairs, of = _near_classes(spark, d)
+    both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    sizes = found.select(F.col("vec_id").alias("j"), "size")
+    near = both.join(sizes, "j").groupBy(F.col("i").alias("of")).agg(F.sum("size").alias("n"))
+    own = found.select(F.col("vec_id").alias("of"), "size").join(near, "of", "left")
+    return of.join(own, "of").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("size")).alias("n_neighbors"))
 
 
 def nearest_pairs_topk(spark, d):
@@ -187,9 +197,10 @@ def nearest_pairs_topk(spark, d):
 
 
 def _butina(spark, d, dynamic):
-    ids = _t(spark, d, "embeddings").select(F.lit(0).alias("run"), F.col("vec_id").alias("id"))
-    pairs = tanimoto_pairs(spark, d).select(F.lit(0).alias("run"), "i", "j")
-    return C.butina_clusters(ids, pairs, ["run"], dynamic)
+    found, pairs, of = _near_classes(spark, d)
+    ids = found.select(F.lit(0).alias("run"), F.col("vec_id").alias("id"), "size")
+    clusters = C.butina_clusters(ids, pairs.select(F.lit(0).alias("run"), "i", "j"), ["run"], dynamic)
+    return C.of_members(clusters, of, "vec_id")
 
 
 def butina_dynamic(spark, d):
@@ -229,7 +240,7 @@ def vocabulary_summary(spark, d):
 
 
 def count_distance_pairs(spark, d):
-    out = P.count_distance_pairs(P.count_vectors(_user_counts(spark, d), "user_id", "event_type", "cnt"), "user_id", COUNT_CUTOFF)
+    out = N.count_distance_pairs(P.count_vectors(_user_counts(spark, d), "user_id", "event_type", "cnt"), "user_id", COUNT_CUTOFF)
     return out.withColumn("distance", sql_round(F.col("distance"), 9))
 
 
@@ -246,9 +257,11 @@ def _entities(spark, d):
 
 
 def combined_distance(spark, d):
-    pairs = P.two_distances(_entities(spark, d), "vec_id", 0.45)
-    total = P.combine_distances(F.col("d_structure"), F.col("d_counts"), F.lit(0.5)).cast("double")
-    return pairs.withColumn("total", total).filter("total <= 0.45").select("i", "j", sql_round(F.col("total"), 6).alias("total"))
+    found, of = N.entity_classes(_entities(spark, d), "vec_id")
+    pairs = N.two_distances(found, "vec_id", 0.45, [0.5])
+    total = N.combine_distances(F.col("d_structure"), F.col("d_counts"), F.lit(0.5)).cast("double")
+    near = pairs.withColumn("total", total).filter("total <= 0.45")
+    return N.with_members(near, of, "vec_id", "total", 0.0).withColumn("total", sql_round(F.col("total"), 6))
 
 
 def param_grid(spark, d):

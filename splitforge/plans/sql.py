@@ -78,7 +78,10 @@ def _word(first: int, last: int) -> str:
 
 _SIGB = f"(SELECT vec_id, {_word(1, 62)} AS w, {_word(63, 64)} AS x FROM embeddings)"
 _SIM = "(bit_count(a.w & b.w) + bit_count(a.x & b.x)) * 1e0 / (bit_count(a.w | b.w) + bit_count(a.x | b.x))"
-_TANIMOTO = f"(SELECT a.vec_id AS i, b.vec_id AS j, {_SIM} AS similarity FROM {_SIGB} a JOIN {_SIGB} b ON a.vec_id < b.vec_id WHERE {_SIM} >= 0.5e0)"
+_ALL_TANIMOTO = f"(SELECT a.vec_id AS i, b.vec_id AS j, {_SIM} AS similarity FROM {_SIGB} a JOIN {_SIGB} b ON a.vec_id < b.vec_id WHERE {_SIM} >= 0.5e0)"
+#: Pairs between classes of equal entities (named by their least id), and each other member with its class.
+_SIG_CLASS = f"(SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY w, x) AS of FROM {_SIGB})"
+_TANIMOTO = f"(SELECT i, j, similarity FROM {_ALL_TANIMOTO} JOIN {_SIG_CLASS} p ON p.id = i JOIN {_SIG_CLASS} q ON q.id = j WHERE p.of = i AND (q.of = i OR q.of = j))"
 #: The event types of the test tables, in order; the query finds them itself.
 _EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 _UC = "(SELECT user_id, event_type, count(*) AS cnt FROM events GROUP BY 1, 2)"
@@ -105,7 +108,7 @@ w(step, run, id, center) AS (
 SELECT run, center, id, count(*) OVER (PARTITION BY run, center) AS size FROM w WHERE center IS NOT NULL)"""
 
 
-_NEAR_VECTORS = f"(SELECT 0 AS run, i, j FROM {_TANIMOTO} UNION ALL SELECT 0, j, i FROM {_TANIMOTO})"
+_NEAR_VECTORS = f"(SELECT 0 AS run, i, j FROM {_ALL_TANIMOTO} UNION ALL SELECT 0, j, i FROM {_ALL_TANIMOTO})"
 _VECTORS = "(SELECT 0 AS run, vec_id AS id FROM embeddings)"
 _DYNAMIC, _STATIC = _butina(_NEAR_VECTORS, _VECTORS, True), _butina(_NEAR_VECTORS, _VECTORS, False)
 
@@ -117,6 +120,9 @@ def _clusters(of: str) -> str:
 _BUTINA_SPLIT = f"""WITH c AS MATERIALIZED ({_clusters(_DYNAMIC)})
 SELECT k AS center, n_rows, least, split FROM ({_fold("SELECT * FROM c", "md5(concat('0:', least))", "quota", "BIGINT")}) JOIN (SELECT k, least FROM c) USING (k)"""
 
+_COUNT_LIST = f"(SELECT user_id AS id, list(struct_pack(f := event_type, c := cnt) ORDER BY event_type) AS k FROM {_UC} GROUP BY 1)"
+_COUNT_CLASS = f"(SELECT id, min(id) OVER (PARTITION BY k) AS of FROM {_COUNT_LIST})"
+_BOTH_CLASS = f"(SELECT id, min(id) OVER (PARTITION BY k, w, x) AS of FROM {_COUNT_LIST} JOIN {_SIGB} ON vec_id = id)"
 _GRID = "(SELECT row_number() OVER () AS run, weight, cutoff FROM (VALUES (0e0), (0.5e0), (1e0)) a(weight), (VALUES (0.35e0), (0.45e0), (0.55e0)) b(cutoff))"
 _BOTH = f"""(SELECT d.i, d.j, 1e0 - {_SIM} AS ds, distance AS dc FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN {_SIGB} a ON a.vec_id = d.i JOIN {_SIGB} b ON b.vec_id = d.j)"""
 _SWEEP_LINKS = f"(SELECT run, unnest([i, j]) AS i, unnest([j, i]) AS j FROM {_BOTH}, {_GRID} WHERE CAST(CAST(least(1e0, weight * ds + (1 - weight) * dc) AS FLOAT) AS DOUBLE) <= cutoff)"
@@ -160,7 +166,7 @@ SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDE
     "index_range": "SELECT p_partkey AS idx FROM part WHERE p_partkey < 0 OR p_partkey >= (SELECT count(*) FROM documents)",
     "signature_bits": f"SELECT vec_id, w AS word_0, x AS word_1, bit_count(w) + bit_count(x) AS n_bits FROM {_SIGB}",
     "tanimoto_pairs": f"SELECT * FROM {_TANIMOTO}",
-    "neighbor_counts": f"SELECT vec_id, 1 + count(i) AS n_neighbors FROM embeddings LEFT JOIN (SELECT i, j FROM {_TANIMOTO} UNION ALL SELECT j, i FROM {_TANIMOTO}) ON i = vec_id GROUP BY 1",
+    "neighbor_counts": f"SELECT vec_id, 1 + count(i) AS n_neighbors FROM embeddings LEFT JOIN (SELECT i, j FROM {_ALL_TANIMOTO} UNION ALL SELECT j, i FROM {_ALL_TANIMOTO}) ON i = vec_id GROUP BY 1",
     "nearest_pairs_topk": f"SELECT * FROM {_TANIMOTO} ORDER BY similarity DESC, i, j LIMIT 100",
     "butina_dynamic": f"SELECT center, id, size FROM {_DYNAMIC}",
     "butina_static": f"SELECT center, id, size FROM {_STATIC}",
@@ -169,12 +175,12 @@ SELECT lang, split, CAST(f + CASE WHEN row_number() OVER (PARTITION BY lang ORDE
     "feature_counts": f"SELECT * FROM {_UC}",
     "feature_matrix": f"SELECT user_id, {', '.join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in _EVENT_TYPES)} FROM events GROUP BY user_id",
     "vocabulary_summary": f"SELECT event_type, count(DISTINCT user_id) AS n_entities, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total, count(user_id) > 0 AS ever_hit FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'never') LEFT JOIN {_UC} USING (event_type) GROUP BY 1",
-    "count_distance_pairs": f"SELECT i, j, round(distance, 9) AS distance FROM {_count_pairs('true')} WHERE distance <= 0.1e0",
+    "count_distance_pairs": f"SELECT i, j, round(distance, 9) AS distance FROM {_count_pairs('true')} JOIN {_COUNT_CLASS} p ON p.id = i JOIN {_COUNT_CLASS} q ON q.id = j WHERE distance <= 0.1e0 AND p.of = i AND (q.of = i OR q.of = j)",
     "active_rows": f"""WITH two AS (SELECT row_number() OVER (ORDER BY user_id) AS k, user_id FROM (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 2)), c AS (SELECT k, event_type, cnt FROM {_UC} JOIN two USING (user_id)),
 p AS (SELECT event_type, CAST(coalesce(sum(cnt) FILTER (WHERE k = 1), 0) AS BIGINT) AS count_a, CAST(coalesce(sum(cnt) FILTER (WHERE k = 2), 0) AS BIGINT) AS count_b FROM c GROUP BY 1)
 SELECT *, CASE WHEN count_b = 0 THEN 'a_only' WHEN count_a = 0 THEN 'b_only' ELSE 'shared' END AS membership, round(abs(count_a - count_b) * 1e0 / greatest(count_a, count_b), 9) AS gap FROM p""",
     "combined_distance": f"""WITH s AS (SELECT * FROM {_SIGB} WHERE vec_id IN (SELECT user_id FROM events)), p AS (SELECT d.i, d.j, CAST(CAST(least(1e0, 0.5e0 * (1e0 - {_SIM}) + 0.5e0 * distance) AS FLOAT) AS DOUBLE) AS total
-FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN s a ON a.vec_id = d.i JOIN s b ON b.vec_id = d.j) SELECT i, j, round(total, 6) AS total FROM p WHERE total <= 0.45e0""",
+FROM {_count_pairs('user_id IN (SELECT vec_id FROM embeddings)')} d JOIN s a ON a.vec_id = d.i JOIN s b ON b.vec_id = d.j) SELECT i, j, round(total, 6) AS total FROM p JOIN {_BOTH_CLASS} r ON r.id = i JOIN {_BOTH_CLASS} t ON t.id = j WHERE total <= 0.45e0 AND r.of = i AND (t.of = i OR t.of = j)""",
     "sweep_summary": _SWEEP,
     "param_grid": "SELECT w AS weight, c AS cutoff FROM (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) a(w), (VALUES (0.35e0), (0.45e0), (0.55e0)) b(c)",
     "classification_metrics": """WITH b AS (SELECT lang, quality, n_chars AS sc, (n_chars > 1000) = (quality = 1) AS same FROM documents JOIN labels USING (doc_id)),

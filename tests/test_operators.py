@@ -16,6 +16,7 @@ from splitforge.operators import greedy
 from splitforge.operators import groups as G
 from splitforge.operators import metrics as M
 from splitforge.operators import pairs as P
+from splitforge.operators import similarity as N
 from splitforge.operators import splits as S
 from splitforge.operators.shared import ranked
 from splitforge.operators.sweep import sweep_tunable_splits
@@ -52,6 +53,27 @@ def test_butina_equals_the_sequential_rule(spark, dynamic, most):
     assert {i: got[i] for i in same} == same
 
 
+@pytest.mark.parametrize("most", [0, C.LINKS])
+@pytest.mark.parametrize("dynamic", [True, False])
+def test_butina_of_classes(spark, dynamic, most):
+    """Ids that stand for several alike entities give the clusters of the entities."""
+    rng = random.Random(4)
+    size = [rng.choice((1, 1, 2, 5)) for _ in range(30)]
+    first = [sum(size[:k]) for k in range(30)]
+    links = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(35)}
+    every = [(first[a] + p, first[b] + q) for a, b in links for p in range(size[a]) for q in range(size[b])]
+    every += [(first[k] + p, first[k] + q) for k in range(30) for p in range(size[k]) for q in range(p)]
+    want = sequential_butina(sum(size), every, dynamic)
+    ids = spark.createDataFrame([(0, first[k], size[k]) for k in range(30)], "run int, id long, size long")
+    pairs = spark.createDataFrame([(0, first[a], first[b]) for a, b in links], "run int, i long, j long")
+    known = spark.createDataFrame([(first[k], 0) for k in range(30)], "node long, part long")
+    of = spark.createDataFrame([(first[k] + p, first[k]) for k in range(30) for p in range(size[k])], "id long, of long")
+    for parts in (None, known):
+        found = C.of_members(C.butina_clusters(ids, pairs, ["run"], dynamic, most, parts), of, "id")
+        sizes = Counter(want.values())
+        assert {r.id: (r.center, r["size"]) for r in found.collect() if r["size"] > 1} == {i: (c, sizes[c]) for i, c in want.items() if sizes[c] > 1}
+
+
 def test_butina_without_links(spark):
     ids = spark.range(3).select(F.lit(0).alias("run"), "id")
     none = spark.createDataFrame([], "run int, i long, j long")
@@ -63,30 +85,59 @@ def tanimoto(a, b):
     return bin(a & b).count("1") / either if either else 1.0
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_tanimoto_pairs(spark, block):
+@pytest.mark.parametrize("threshold", [0.05, 0.35, 1.0])
+def test_tanimoto_pairs(spark, threshold):
     rng = random.Random(5)
-    sig = [(k, [rng.getrandbits(30) & rng.getrandbits(30)]) for k in range(60)] + [(100, [0]), (101, [0])]
+    sig = [(k, [rng.getrandbits(30) & rng.getrandbits(30), rng.getrandbits(3)]) for k in range(60)] + [(100, [0, 0]), (101, [0, 0]), (102, [0]), (103, [7, 3]), (104, [7, 3])]
+    sig += [(200 + k, [rng.getrandbits(62) & rng.getrandbits(62) & rng.getrandbits(62), -(1 << 63)]) for k in range(20)]
     df = spark.createDataFrame(sig, "id long, words array<long>")
-    got = {(r.i, r.j): r.similarity for r in P.tanimoto_pairs(df, "id", 0.35, block).collect()}
-    want = {(i, j): tanimoto(a[0], b[0]) for i, a in sig for j, b in sig if i < j and tanimoto(a[0], b[0]) >= 0.35}
-    assert got == want and (100, 101) in want
+    got = {(r.i, r.j): r.similarity for r in N.tanimoto_pairs(df, "id", threshold).collect()}
+    least = {i: min(k for k, b in sig if b == a) for i, a in sig}
+    value = lambda a, b: tanimoto(*(sum((w & (2**64 - 1)) << 64 * k for k, w in enumerate(x)) for x in (a, b)))
+    want = {(i, j): value(a, b) for i, a in sig for j, b in sig if i < j and value(a, b) >= threshold and least[i] == i and least[j] in (i, j)}
+    assert got == want and (100, 101) in want and (100, 102) in want and (103, 104) in want
+    with pytest.raises(ValueError):
+        N.tanimoto_pairs(df, "id", 0.0)
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_count_distance_pairs(spark, block):
-    rng = random.Random(6)
-    counts = {k: {f: rng.randrange(0, 4) for f in "abcd"} for k in range(40)}
-    df = spark.createDataFrame([(k, f, c) for k, m in counts.items() for f, c in m.items()], "id long, f string, cnt long")
+def test_few_signature_pairs_are_counted(spark):
+    """Sparse and dense bits: far fewer pairs than there are pass the bounds, and none twice."""
+    rng = random.Random(9)
+    for width, most in ((400, 0.02), (64, 0.1)):
+        sig = [(k, [sum(1 << b for b in range(62 if width > 64 else 32) if rng.random() < (0.04 if width > 64 else 0.5)) for _ in range(width // (62 if width > 64 else 32))]) for k in range(400)]
+        found = N.signature_candidates(spark.createDataFrame(sig, "id long, words array<long>"), "id", 0.5)
+        n = found.count()
+        assert n == found.select("i", "j").distinct().count() and n < most * 400 * 399 / 2
+
 
-    def distance(x, y):
-        active = [f for f in "abcd" if x[f] or y[f]]
-        return sum(abs(x[f] - y[f]) / max(x[f], y[f]) for f in active) / max(len(active), 1)
+def count_gap(x, y):
+    active = [f for f in {*x, *y} if x.get(f) or y.get(f)]
+    return sum(abs(x.get(f, 0) - y.get(f, 0)) / max(x.get(f, 0), y.get(f, 0)) for f in active) / max(len(active), 1)
 
-    have = {k for k, m in counts.items() if any(m.values())}
-    want = {(i, j): distance(counts[i], counts[j]) for i in have for j in have if i < j and distance(counts[i], counts[j]) <= 0.3}
-    got = {(r.i, r.j): r.distance for r in P.count_distance_pairs(P.count_vectors(df, "id", "f", "cnt"), "id", 0.3, block).collect()}
-    assert got == pytest.approx(want)
+
+@pytest.mark.parametrize(("features", "cutoff"), [(4, 0.0), (4, 0.3), (4, 0.7), (40, 0.12), (40, 0.49)])
+def test_count_distance_pairs(spark, features, cutoff):
+    """Few features have a sum each; more share sums, which then are a bound only."""
+    rng = random.Random(6)
+    draw = (lambda: rng.randrange(0, 4)) if features == 4 else (lambda: rng.choice((0, 0, 0, 0, 0, 1, 2, 9)))
+    counts = {k: {f"f{f}": c for f in range(features) if (c := draw())} for k in range(45)}
+    counts |= {100 + k: {f: c + (k > 2 and f == min(counts[k])) for f, c in counts[k].items()} for k in range(12)} | {200: {}, 201: {}}
+    df = spark.createDataFrame([(k, {f: float(c) for f, c in m.items()}) for k, m in counts.items()], "id long, counts map<string,double>")
+    least = {k: min(j for j, n in counts.items() if n == m) for k, m in counts.items()}
+    want = {(i, j): d for i, x in counts.items() for j, y in counts.items() if i < j and (d := count_gap(x, y)) <= cutoff and least[i] == i and least[j] in (i, j)}
+    got = {(r.i, r.j): r.distance for r in N.count_distance_pairs(df, "id", cutoff).collect()}
+    assert got == pytest.approx(want) and got.keys() == want.keys() and any(j == 201 for _, j in got)
+
+
+def test_two_distances_admit_what_a_weight_brings_near(spark):
+    rng = random.Random(12)
+    rows = [(k, [rng.getrandbits(14)], {f: float(rng.randrange(1, 4)) for f in "abc" if rng.random() < 0.8}) for k in range(40)] + [(99, [0], {}), (98, [0], {"a": 1.0})]
+    df = spark.createDataFrame(rows, "id long, words array<long>, counts map<string,double>")
+    for weights, cutoff in (([0.5], 0.4), ([0.0, 1.0], 0.3), ([0.2, 0.9], 0.6)):
+        pair = lambda a, b: (1 - tanimoto(a[1][0], b[1][0]), count_gap(a[2], b[2]))
+        want = {(a[0], b[0]): pair(a, b) for a in rows for b in rows if a[0] < b[0] and any(w * pair(a, b)[0] + (1 - w) * pair(a, b)[1] <= cutoff for w in weights)}
+        got = {(r.i, r.j): (r.d_structure, r.d_counts) for r in N.two_distances(df, "id", cutoff, weights).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_sweep_gives_every_combination(spark):
@@ -176,7 +227,7 @@ def test_random_splits(spark):
 def test_wide_signatures_and_vocabularies(spark):
     bits = [[float(x) for x in row] for row in ([1] * 64, [0] * 62 + [1, 1], [0] * 64, [0] * 64, [1] * 62 + [0, 0])]
     sig = spark.createDataFrame(list(enumerate(bits)), "id long, b array<double>").select("id", P.signature_words(F.col("b"), 64).alias("words"))
-    got = {(r.i, r.j): r.similarity for r in P.tanimoto_pairs(sig, "id", 0.01).collect()}
+    got = {(r.i, r.j): r.similarity for r in N.tanimoto_pairs(sig, "id", 0.01).collect()}
     assert got == {(0, 1): 2 / 64, (0, 4): 62 / 64, (2, 3): 1.0}
     pair = sig.alias("a").crossJoin(sig.alias("b")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), P.tanimoto(F.col("a.words"), F.col("b.words")).alias("s"))
     assert {(r.i, r.j): r.s for r in pair.filter("i < j and s >= 0.01").collect()} == got
