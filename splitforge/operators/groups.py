@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, safe_ratio
@@ -21,23 +20,39 @@ def top_groups(counts: DataFrame, group: str, k: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("n_rows"), F.asc(group)).limit(k)
 
 
-def concentration(counts: DataFrame, group: str, by: list[str]) -> DataFrame:
-    """Totals, share of the empty group, top-1 and top-5 shares, shares of groups of size 1 to 3, and Gini, per ``by``."""
-    down = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n_rows"), group))
-    up = F.row_number().over(W.partitionBy(*by).orderBy("n_rows", F.desc(group)))
-    x = counts.select(*by, group, "n_rows", down.alias("down"), up.alias("up"))
-    total, n = F.sum("n_rows"), F.count("*")
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_rows"))), F.lit(0))
-    size = lambda k: safe_ratio(F.count_if(F.col("n_rows") == k), n)
-    gini = F.try_divide(2.0 * F.sum(F.col("up") * F.col("n_rows")), n * total) - (n + 1) / n
-    return x.groupBy(*by).agg(
+def concentration(counts: DataFrame, group: str, by: list[str], top: int = 5) -> DataFrame:
+    """Totals, share of the empty group, top-1 and top-5 shares, shares of groups of size 1 to 3, and Gini, per ``by``.
+
+    All of it follows from the histogram of sizes, of which n rows have at most sqrt(2 n): k
+    groups of one size hold k places in a row, whose ranks sum up in closed form.
+    """
+    empty = F.coalesce(F.sum(F.when(F.col(group) == NO_GROUP, F.col("n_rows"))), F.lit(0))
+    sizes = counts.groupBy(*by, "n_rows").agg(F.count("*").alias("k"), empty.alias("empty"))
+    n, total = F.sum("k"), F.sum(F.col("k") * F.col("n_rows"))
+    of_size = lambda k: safe_ratio(F.coalesce(F.sum(F.when(F.col("n_rows") == k, F.col("k"))), F.lit(0)), n)
+    x = sizes.groupBy(*by).agg(
         total.alias("total_rows"),
         n.alias("total_groups"),
-        safe_ratio(part(F.col(group) == NO_GROUP), total).alias("no_group_ratio"),
-        safe_ratio(part(F.col("down") <= 1), total).alias("top1_ratio"),
-        safe_ratio(part(F.col("down") <= 5), total).alias("top5_ratio"),
-        size(1).alias("singleton_ratio"),
-        size(2).alias("doubleton_ratio"),
-        size(3).alias("tripleton_ratio"),
-        F.coalesce(gini, F.lit(0.0)).alias("gini"),
+        safe_ratio(F.sum("empty"), total).alias("no_group_ratio"),
+        safe_ratio(F.max("n_rows"), total).alias("top1_ratio"),
+        of_size(1).alias("singleton_ratio"),
+        of_size(2).alias("doubleton_ratio"),
+        of_size(3).alias("tripleton_ratio"),
+        F.sort_array(F.collect_list(F.struct(F.col("n_rows").alias("size"), "k"))).alias("up"),
     )
+
+    def largest(acc: Column, s: Column) -> Column:
+        taken = F.least(s["k"], F.lit(top) - acc["groups"])
+        return F.struct((acc["groups"] + taken).alias("groups"), (acc["rows"] + taken * s["size"]).alias("rows"))
+
+    def ranks(acc: Column, s: Column) -> Column:
+        """Adds the ranks acc.below + 1 ... acc.below + k, each times the size."""
+        k = s["k"].cast("double")
+        return F.struct((acc["below"] + k).alias("below"), (acc["sum"] + s["size"] * (k * acc["below"] + k * (k + 1) / 2)).alias("sum"))
+
+    zero = F.lit(0).cast("long")
+    most = F.aggregate(F.reverse("up"), F.struct(zero.alias("groups"), zero.alias("rows")), largest)["rows"]
+    weighted = F.aggregate("up", F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("sum")), ranks)["sum"]
+    gini = F.try_divide(2.0 * weighted, F.col("total_groups") * F.col("total_rows").cast("double")) - (F.col("total_groups") + 1) / F.col("total_groups")
+    names = ["total_rows", "total_groups", "no_group_ratio", "top1_ratio", "top5_ratio", "singleton_ratio", "doubleton_ratio", "tripleton_ratio", "gini"]
+    return x.withColumns({"top5_ratio": safe_ratio(most, F.col("total_rows")), "gini": F.coalesce(gini, F.lit(0.0))}).select(*by, *names)

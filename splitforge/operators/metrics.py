@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .shared import matched, running
 
 FOREST = {"trees": 500, "depth": 30, "features": "0.5", "seed": 42}  # 30: the deepest that Spark ML grows
 
@@ -12,19 +16,20 @@ FOREST = {"trees": 500, "depth": 30, "features": "0.5", "seed": 42}  # 30: the d
 def classification_metrics(rows: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
     """(by, n, accuracy, roc_auc, pr_auc) of rows y, pred, score; both areas are NULL with one class.
 
-    Rows are first combined to one a score, and only these are ordered.
+    Rows are first combined to one a score, and only these are ordered; their running sums
+    are made range by range, so one key may have any number of scores.  A NULL score is the least.
     """
     hit = F.col("y") == positive
     g = rows.groupBy(*by, "score").agg(F.count_if(hit).alias("p"), F.count("*").alias("n"), F.count_if(F.col("y") == F.col("pred")).alias("same"))
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*by)
-    t = g.select(
-        *by, "p", "n", "same", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(all_).alias("pos"), F.sum(F.col("n") - F.col("p")).over(all_).alias("neg"),
-        F.coalesce(F.sum(F.col("n") - F.col("p")).over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"),
-    )
-    roc = F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * (F.col("n") - F.col("p")))), F.max(F.col("pos") * F.col("neg")))
-    ap = F.sum(F.try_divide(F.col("p").cast("double"), F.col("pos")) * (F.col("tp") / F.col("k")))
-    two = (F.max("pos") > 0) & (F.max("neg") > 0)
+    sums = running(g, by, "score", ["p", "n"])
+    totals = g.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("all"))
+    t = matched(sums, totals, by)
+    neg, below = F.col("all") - F.col("pos"), F.col("n_before") - F.col("p_before")
+    roc = F.try_divide(F.sum(F.col("p") * (below + 0.5 * (F.col("n") - F.col("p")))), F.max(F.col("pos") * neg))
+    # scores from the highest down: hits and rows so far, this score included
+    hits, seen = F.col("pos") - F.col("p_before"), F.col("all") - F.col("n_before")
+    ap = F.sum(F.try_divide(F.col("p").cast("double"), F.col("pos")) * (hits / seen))
+    two = (F.max("pos") > 0) & (F.max(neg) > 0)
     return t.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("same") / F.sum("n")).alias("accuracy"), F.when(two, roc).alias("roc_auc"), F.when(two, ap).alias("pr_auc"))
 
 
@@ -41,6 +46,16 @@ def run_summary(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("run_count"), *stats)
 
 
+def hyperparameters_text(task: str) -> str:
+    """The forest's parameters as JSON with sorted keys; classification has class weights."""
+    return json.dumps(FOREST | ({"class_weight": "balanced"} if task == "classification" else {}), sort_keys=True)
+
+
+def numeric_columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
+    """The columns of numbers, by the schema."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in but]
+
+
 def forest_predictions(train: DataFrame, rows: DataFrame, features: str, label: str, task: str = "classification", trees: int = FOREST["trees"], depth: int = FOREST["depth"]) -> DataFrame:
     """rows with y, pred and score of a random forest with class weights (classification) fitted on train."""
     from pyspark.ml.classification import RandomForestClassifier

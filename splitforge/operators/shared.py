@@ -42,12 +42,13 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
     return left.join(named, cond, how).drop(*[f"__{c}" for c in on])
 
 
-def _within(rows: DataFrame, by: list[str], part: str, order: str, name: str) -> DataFrame:
-    """Ranks within ``by``: those within ``part``, plus the counts of the smaller parts."""
-    counts = rows.groupBy(*by, part).agg(F.count("*").alias("__n"))
-    heads = counts.select(*by, part, (F.sum("__n").over(W.partitionBy(*by).orderBy(part)) - F.col("__n")).alias("__head"))
-    ranks = rows.withColumn("__r", F.row_number().over(W.partitionBy(*by, part).orderBy(order)))
-    return matched(ranks, heads, [*by, part]).withColumn(name, F.col("__head") + F.col("__r")).drop(part, "__r", "__head")
+def _summed(rows: DataFrame, by: list[str], part: str, order: str, values: list[str]) -> DataFrame:
+    """rows with ``<value>_before``: the sums of the rows before within ``part``, plus those of the smaller parts."""
+    sums = rows.groupBy(*by, part).agg(*[F.sum(v).alias(v) for v in values])
+    heads = sums.select(*by, part, *[(F.sum(v).over(W.partitionBy(*by).orderBy(part)) - F.col(v)).alias(f"__{v}") for v in values])
+    inside = W.partitionBy(*by, part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return matched(own, heads, [*by, part]).withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"__{v}") for v in values}).drop(part, *[f"__{v}" for v in values])
 
 
 def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank") -> DataFrame:
@@ -56,17 +57,24 @@ def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank") -> Data
     Rows are numbered within their first three digits, plus the counts of smaller
     digits, so that no task sees a whole group.
     """
-    return _within(df.withColumn("__d", F.substring(order, 1, 3)), by, "__d", order, name)
+    rows = df.withColumns({"__d": F.substring(order, 1, 3), "__one": F.lit(1).cast("long")})
+    return _summed(rows, by, "__d", order, ["__one"]).withColumn(name, F.col("__one_before") + 1).drop("__one", "__one_before")
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 in the order of any column within ``by``; ``order`` goes.
+def running(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """df with ``<value>_before``: the sums of the values of the rows before, in the order of any column within ``by``.
 
     Rows are range-partitioned by ``by`` and ``order``, so that a large group is spread over
-    tasks, and numbered within their part.  They are written before, so parts stay as they are.
+    tasks, and summed within their part.  They are written before, so parts stay as they are.
     """
     parts = saved(df.repartitionByRange(*by, order).withColumn("__d", F.spark_partition_id()))
-    return _within(parts, by, "__d", order, name).drop(order)
+    return _summed(parts, by, "__d", order, values)
+
+
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "rank") -> DataFrame:
+    """Ranks from 1 in the order of any column within ``by``; ``order`` goes."""
+    rows = running(df.withColumn("__one", F.lit(1).cast("long")), by, order, ["__one"])
+    return rows.withColumn(name, F.col("__one_before") + 1).drop("__one", "__one_before", order)
 
 
 def _contracted(links: DataFrame, by: list[str]) -> DataFrame:

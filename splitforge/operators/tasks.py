@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metric_column
 from . import dedup as D
 
-METRICS = {"classification": ("roc_auc", "pr_auc", "accuracy"), "regression": ("mae", "rmse", "r2")}
+# Fixed names: the metrics that are compared for a task, the splits they must be known of, and the kinds of known datasets.
+METRICS = {"classification": ("roc_auc", "pr_auc"), "regression": ("mae", "rmse")}
+COMPARED = ("val", "test")
+KINDS = {"bbbp": "classification", "freesolv": "regression", "hiv": "classification", "lipophilicity": "regression", "qm9_smiles": "text_only", "solv": "regression", "tox21": "multitask"}
 
 
 def resolve_duplicates(df: DataFrame, kind: str, key: str, idx: str, labels: list[str]) -> DataFrame:
@@ -28,13 +34,40 @@ def target(value: Column, task: str) -> Column:
     return number.cast("int") if task == "classification" else number
 
 
+def dataset_kind(name: str, kinds: dict[str, str] = KINDS) -> str:
+    """The kind of a dataset by its name or file name; an unknown one is an error."""
+    stem = name.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".csv")
+    if stem not in kinds:
+        raise ValueError(f"kind of dataset {stem} is not known; known are {', '.join(sorted(kinds))}")
+    return kinds[stem]
+
+
+def choices(wanted: list[str] | None, known: list[str], what: str = "values") -> list[str]:
+    """What is wanted, or all that is known where nothing is; unknown names are an error."""
+    if unknown := sorted(set(wanted or []) - set(known)):
+        raise ValueError(f"unknown {what}: {', '.join(unknown)}")
+    return list(wanted or known)
+
+
 def metrics_for(task: str, columns: list[str]) -> list[str]:
-    """The task's metrics that the columns have; an error if there are none."""
+    """The task's metrics whose means the columns have for both compared splits; the others are warned of, none left is an error."""
     if task not in METRICS:
         raise ValueError(f"unknown task: {task}")
-    if not (found := [m for m in METRICS[task] if m in columns]):
+    lacking = {m: [c for s in COMPARED if (c := metric_column(s, m)) not in columns] for m in METRICS[task]}
+    for m, absent in lacking.items():
+        if absent:
+            warnings.warn(f"{task} metric {m} is left out: no column {', '.join(absent)}", stacklevel=2)
+    if all(lacking.values()):
         raise ValueError(f"no {task} metrics among the columns")
-    return found
+    return [m for m, absent in lacking.items() if not absent]
+
+
+def summary_long(wide: DataFrame, keys: list[str], task: str, splits: tuple[str, ...] = ("train", "val", "test"), stats: tuple[str, ...] = ("mean", "std")) -> DataFrame:
+    """(keys, split, metric, stat, value) from columns <split>_<metric>_<stat>, for the metrics of the task that can be compared."""
+    named = [(s, m, t, c) for s in splits for m in metrics_for(task, wide.columns) for t in stats if (c := f"{s}_{m}_{t}") in wide.columns]
+    long = wide.unpivot(keys, [F.col(c).cast("double").alias(c) for *_, c in named], "name", "value")
+    part = lambda k: F.create_map(*[F.lit(x) for row in named for x in (row[3], row[k])])[F.col("name")]
+    return long.select(*keys, part(0).alias("split"), part(1).alias("metric"), part(2).alias("stat"), "value")
 
 
 def task_types(rows: DataFrame, dataset: str, task: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import similarity as N
 from ..operators import splits as S
+from ..operators import tasks as T
 from ..operators import validate as V
 from ..operators.shared import hash_order, saved
 from ..operators.sweep import sweep_tunable_splits
@@ -291,6 +292,16 @@ def run_summary(spark, d):
     return out.select("o_orderpriority", "o_orderstatus", "run_count", sql_round(F.col("o_totalprice_mean"), 3).alias("mean"), sql_round(F.col("o_totalprice_std"), 3).alias("std"))
 
 
+def summary_long(spark, d):
+    """Metrics of runs (three a return flag and line status), summed up by mean and deviation, as a long table."""
+    split = F.when(F.col("l_orderkey") % 10 == 0, "test").when(F.col("l_orderkey") % 10 == 1, "val").otherwise("train")
+    keys = ["l_returnflag", "l_linestatus"]
+    rows = _t(spark, d, "lineitem").select(*keys, (F.col("l_linenumber") % 3).alias("run"), split.alias("split"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("pred"))
+    runs = T.result_rows(M.regression_metrics(rows, [*keys, "run", "split"]), [*keys, "run"], ["mae", "rmse", "r2"])
+    wide = M.run_summary(runs, keys, M.numeric_columns(runs, ("run",)))
+    return T.summary_long(wide, keys, "regression").withColumn("value", sql_round(F.col("value"), 3))
+
+
 def _cells(spark, d):
     return _t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
 
@@ -347,6 +358,6 @@ QUERIES = {
         random_split_hash, split_to_index, index_mapping, key_uniqueness, unmatched_rows, duplicate_targets, split_overlap, index_range,
         signature_bits, tanimoto_pairs, neighbor_counts, nearest_pairs_topk, butina_dynamic, butina_static, cluster_summary, butina_split,
         feature_counts, feature_matrix, vocabulary_summary, count_distance_pairs, active_rows, combined_distance, param_grid, sweep_summary,
-        classification_metrics, mae_rmse_r2, run_summary, pivot_first, delta_vs_baseline, aligned_effect, seeded_pairs, pair_lookup, forest_evaluation,
+        classification_metrics, mae_rmse_r2, run_summary, summary_long, pivot_first, delta_vs_baseline, aligned_effect, seeded_pairs, pair_lookup, forest_evaluation,
     )
 }

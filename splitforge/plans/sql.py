@@ -189,6 +189,9 @@ t AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY sc DESC ROWS UNBOUNDED P
 SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(same) * 1e0 / sum(n), 9) AS accuracy, round(sum(p * (below + 0.5e0 * (n - p))) / max(pp * nn), 9) AS roc_auc, CASE WHEN max(pp) > 0 AND max(nn) > 0 THEN round(sum(CAST(p AS DOUBLE) / pp * (CAST(tp AS DOUBLE) / k)), 9) END AS pr_auc FROM t GROUP BY lang""",
     "mae_rmse_r2": "SELECT l_returnflag, count(*) AS n, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM (SELECT l_returnflag, l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY 1",
     "run_summary": "SELECT o_orderpriority, o_orderstatus, count(*) AS run_count, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std FROM orders GROUP BY 1, 2",
+    "summary_long": f"""WITH m AS (SELECT l_returnflag, l_linestatus, l_linenumber % 3 AS run, CASE l_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse
+  FROM (SELECT *, l_extendedprice - l_quantity * 1500 AS e FROM lineitem) GROUP BY ALL)
+{" UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, s AS split, '{m}' AS metric, '{t}' AS stat, round({f}({m}) FILTER (WHERE split = s), 3) AS value FROM m, (VALUES ('train'), ('val'), ('test')) v(s) GROUP BY 1, 2, 3" for m in ("mae", "rmse") for t, f in (("mean", "avg"), ("std", "stddev_samp")))}""",
     "pivot_first": f"SELECT p AS o_orderpriority, max(value) FILTER (WHERE o_orderstatus = 'F') AS \"F\", max(value) FILTER (WHERE o_orderstatus = 'O') AS \"O\", max(value) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) v(p) LEFT JOIN {_CELLS} ON o_orderpriority = p GROUP BY p",
     "delta_vs_baseline": f"SELECT o_orderpriority, o_orderstatus, round(delta, 2) AS delta FROM {_DELTAS}",
     "aligned_effect": f"""WITH m AS (SELECT avg(delta) FILTER (WHERE {_ALIGNED}) AS a, avg(delta) FILTER (WHERE NOT {_ALIGNED}) AS u FROM {_DELTAS})

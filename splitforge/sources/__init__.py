@@ -1,17 +1,22 @@
 """Readers and writers: labelled CSV, split files, run catalogs, distance caches."""
 
-from .readers import file_signatures, input_signature, read_catalog, read_labelled, read_split_indices, require_columns
-from .writers import read_cache, write_cache, write_labelled, write_split_indices, write_splits
+from .readers import file_signatures, input_signature, load_table, read_catalog, read_labelled, read_split_indices, read_summary, require_columns
+from .writers import read_cache, read_failures, read_json, write_cache, write_json, write_labelled, write_split_indices, write_splits
 
 __all__ = [
     "file_signatures",
     "input_signature",
+    "load_table",
     "read_cache",
     "read_catalog",
+    "read_failures",
+    "read_json",
     "read_labelled",
     "read_split_indices",
+    "read_summary",
     "require_columns",
     "write_cache",
+    "write_json",
     "write_labelled",
     "write_split_indices",
     "write_splits",

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +25,41 @@ def write_split_indices(assigned: DataFrame, path: str) -> None:
     wide.select("run", *[F.col(s).alias(f"{s}_idx") for s in ("train", "val", "test")]).write.partitionBy("run").json(path)
 
 
-def write_cache(df: DataFrame, path: str, source: DataFrame) -> None:
-    """The frame as Parquet, with the signature of the input it was made from beside it."""
+def write_cache(df: DataFrame, path: str, source: DataFrame, failures: DataFrame | None = None) -> None:
+    """The frame as Parquet, with the signature of the input it was made from, and what failed on the way, beside it."""
     df.write.mode("overwrite").parquet(f"{path}/data")
-    df.sparkSession.createDataFrame([(input_signature(source),)], "signature string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    if failures is not None:
+        failures.write.mode("overwrite").parquet(f"{path}/failures")
+    df.sparkSession.createDataFrame([(input_signature(source), failures is not None)], "signature string, failures boolean").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def read_cache(spark: SparkSession, path: str, source: DataFrame) -> DataFrame | None:
-    """The cached frame if it was made from the same input rows, else None."""
+def _meta(spark: SparkSession, path: str, source: DataFrame):
     try:
-        found = spark.read.schema("signature string").json(f"{path}/meta").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        found = spark.read.schema("signature string, failures boolean").json(f"{path}/meta").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return spark.read.parquet(f"{path}/data") if found and found[0] == input_signature(source) else None
+    return found if found and found.signature == input_signature(source) else None
+
+
+def read_cache(spark: SparkSession, path: str, source: DataFrame) -> DataFrame | None:
+    """The cached frame if it was made from the same input rows, else None."""
+    return spark.read.parquet(f"{path}/data") if _meta(spark, path, source) else None
+
+
+def read_failures(spark: SparkSession, path: str, source: DataFrame) -> DataFrame | None:
+    """What failed when the cached frame was made; None without a cache of the same input, or if nothing was kept."""
+    found = _meta(spark, path, source)
+    return spark.read.parquet(f"{path}/failures") if found and found.failures else None
+
+
+def write_json(row: dict, spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """One record as JSON with sorted keys."""
+    text = spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string")
+    text.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One record of any form, from a JSON file or a folder that ``write_json`` made."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])

@@ -135,7 +135,7 @@ def test_two_distances_admit_what_a_weight_brings_near(spark):
     df = spark.createDataFrame(rows, "id long, words array<long>, counts map<string,double>")
     for weights, cutoff in (([0.5], 0.4), ([0.0, 1.0], 0.3), ([0.2, 0.9], 0.6)):
         pair = lambda a, b: (1 - tanimoto(a[1][0], b[1][0]), count_gap(a[2], b[2]))
-        want = {(a[0], b[0]): pair(a, b) for a in rows for b in rows if a[0] < b[0] and any(w * pair(a, b)[0] + (1 - w) * pair(a, b)[1] <= cutoff for w in weights)}
+        want = {(a[0], b[0]): pair(a, b) for a in rows for b in rows if a[0] < b[0] and any(w * pair(a, b)[0] + (1 - w) * pair(a, b)[1] <= cutoff + 1e-6 for w in weights)}
         got = {(r.i, r.j): (r.d_structure, r.d_counts) for r in N.two_distances(df, "id", cutoff, weights).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
@@ -268,6 +268,32 @@ def test_concentration_of_one_group_and_of_equal_groups(spark):
     assert (got["even"].doubleton_ratio, got["even"].top1_ratio, got["even"].gini) == (1.0, 0.25, pytest.approx(0.0))
 
 
+def test_concentration_equals_ranked_groups(spark):
+    rng = random.Random(13)
+    sizes = {f"d{d}": [rng.choice((1, 1, 1, 2, 2, 3, 9, 40)) for _ in range(rng.randrange(1, 60))] for d in range(6)}
+    counts = spark.createDataFrame([(d, f"g{k}" if k else G.NO_GROUP, n) for d, ns in sizes.items() for k, n in enumerate(ns)], "d string, g string, n_rows long")
+    out = G.concentration(counts, "g", ["d"])
+    assert "Window" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        x = sorted(sizes[r.d])
+        n, total = len(x), sum(x)
+        assert (r.total_rows, r.total_groups, r.no_group_ratio) == (total, n, sizes[r.d][0] / total)
+        assert (r.top1_ratio, r.top5_ratio, r.tripleton_ratio) == pytest.approx((x[-1] / total, sum(x[-5:]) / total, x.count(3) / n))
+        assert r.gini == pytest.approx(2 * sum((k + 1) * v for k, v in enumerate(x)) / (n * total) - (n + 1) / n)
+
+
+def test_areas_equal_the_plain_sums_on_ties(spark):
+    rng = random.Random(14)
+    rows = [(f"k{k % 3}", int(rng.random() < 0.4), rng.randrange(2), rng.choice((None, 0.1, 0.2, 0.2, 0.7, rng.random()))) for k in range(600)]
+    got = {r.g: r for r in M.classification_metrics(spark.createDataFrame(rows, "g string, y int, pred int, score double"), ["g"]).collect()}
+    for g in ("k0", "k1", "k2"):
+        own = [(y, -1.0 if s is None else s) for k, y, _, s in rows if k == g]
+        pos, neg = [s for y, s in own if y], [s for y, s in own if not y]
+        roc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+        ap = sum(sum(p >= s for p in pos) / sum(t >= s for _, t in own) for s in pos) / len(pos)
+        assert (got[g].roc_auc, got[g].pr_auc) == pytest.approx((roc, ap))
+
+
 def test_metrics_of_one_class_are_null(spark):
     rows = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 1, 0, 0.2), ("b", 1, 1, 0.9), ("b", 0, 0, 0.9), ("b", 0, 0, 0.1)], "g string, y int, pred int, score double")
     got = {r.g: r for r in M.classification_metrics(rows, ["g"]).collect()}
