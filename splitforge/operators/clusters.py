@@ -29,14 +29,20 @@ LINKS, BUNDLE = 2_000_000, 100_000
 
 
 def _solve(edges: pd.DataFrame, dynamic: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(centers, ids) of all clusters of two ids or more, from links in both directions (i, j, size of i); fixed counts come as n where links have gone already."""
-    edges = edges.drop_duplicates(["i", "j"]).sort_values("i", kind="stable")
-    i, j = edges["i"].to_numpy(), edges["j"].to_numpy()
+    """(centers, ids) of all clusters of two ids or more, from links (i, j, size of i, size of j); fixed counts come as n and n_j where links have gone already."""
+    ends = [edges[c].to_numpy() for c in ("i", "j", "size", "size_j")]
+    i, j, size_i = (np.concatenate([ends[a], ends[b]]) for a, b in ((0, 1), (1, 0), (2, 3)))
+    order = np.lexsort((j, i))
+    new = np.append(True, (i[order[1:]] != i[order[:-1]]) | (j[order[1:]] != j[order[:-1]]))[: len(i)]
+    order = order[new]
+    i, j = i[order], j[order]
     node, first, links = np.unique(i, return_index=True, return_counts=True)
     near, ends = np.searchsorted(node, j), first + links
-    size = edges["size"].to_numpy()[first]
-    fixed = not dynamic and edges["n"].notna().all()
-    count = edges["n"].to_numpy(np.int64)[first] if fixed else size + np.add.reduceat(size[near], first)
+    size = size_i[order][first]
+    if not dynamic and "n" in edges:
+        count = np.concatenate([edges["n"].to_numpy(), edges["n_j"].to_numpy()])[order][first]
+    else:
+        count = size + np.add.reduceat(size[near], first)
     heap = list(zip((-count).tolist(), range(len(node))))
     heapq.heapify(heap)
     free = np.ones(len(node), bool)
@@ -97,8 +103,8 @@ def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bo
     Links are moved once to where they are solved: all that is decided before is decided on ids.
     """
     ids = ids if "size" in ids.columns else ids.withColumn("size", F.lit(1).cast("long"))
-    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    rest = pairs.filter("i <> j").select(*by, F.explode(ends).alias("e")).select(*by, "e.i", "e.j")
+    both = lambda links: links.select(*by, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e")).select(*by, "e.i", "e.j")
+    rest = pairs.filter("i <> j").select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     sizes = ids.select(*by, F.col("id").alias("i"), "size")
     schema = rest.select(*by, F.col("i").alias("center"), F.col("i").alias("id")).schema
     fixed = None  # n of every id in the whole graph, where links have gone already
@@ -111,11 +117,13 @@ def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bo
     while True:
         known, parts = components(rest, by) if parts is None else parts, None
         on = [c for c in by if c in known.columns]
-        nodes = rest.groupBy(*by, "i").agg(F.count("*").alias("links")).join(known.withColumnRenamed("node", "i"), [*on, "i"])
+        nodes = both(rest).groupBy(*by, "i").agg(F.count("*").alias("links")).join(known.withColumnRenamed("node", "i"), [*on, "i"])
         nodes = saved(nodes.join(sizes, [*by, "i"]))
-        dealt = _bundled(nodes, by, most)
-        dealt = dealt.withColumn("n", F.lit(None).cast("long")) if fixed is None else dealt.join(fixed, [*by, "i"])
-        each = rest.join(dealt.select(*by, "i", "size", "n", "alone", "bundle"), [*by, "i"])
+        more = nodes.select(*by, "i", "size") if fixed is None else nodes.select(*by, "i", "size").join(fixed, [*by, "i"])
+        ends = [c for c in more.columns if c not in (*by, "i")]
+        far = more.select(*by, F.col("i").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ends])
+        near = _bundled(nodes, by, most).select(*by, "i", "alone", "bundle").join(more, [*by, "i"])
+        each = rest.join(near, [*by, "i"]).join(far, [*by, "j"])
         done.append(saved(each.groupBy(*by, "alone", "bundle").applyInPandas(solve, schema)))
         large = nodes.groupBy(*by, "part").agg(F.sum("links").alias("all")).filter(F.col("all") > 2 * most)
         left = nodes.join(large, [*by, "part"], "left_semi").select(*by, "i", "size")
@@ -124,7 +132,7 @@ def butina_clusters(ids: DataFrame, pairs: DataFrame, by: list[str], dynamic: bo
         rest = saved(rest.join(left, [*by, "i"]).select(*by, "i", "j").distinct())
         if len(on) < len(by):
             continue
-        sized = rest.join(sizes, [*by, "i"])
+        sized = both(rest).join(sizes, [*by, "i"])
         if not dynamic:
             if fixed is None:
                 of = sizes.select(*by, F.col("i").alias("j"), F.col("size").alias("of"))
