@@ -20,10 +20,16 @@ no size bound for a broadcast can be proven.
 pair of texts whose sets of shingles have at least that Jaccard similarity, counted
 exactly on the sets of 64-bit shingle hashes.  Shards are then the values of ``bands``
 groups of ``BAND_ROWS`` min-wise hashes instead of blocks of bits: ten bands miss 1
-pair in 200 at 0.8, and unlike texts seldom meet.  Shards with two texts or more get
-their texts' sets; within a shard every pair whose min-wise sketches (``SKETCH`` bytes,
-standard error 0.025 at 0.8) agree to within ``SLACK`` of the limit is counted, the most
-alike first, unless the two are linked already.
+pair in 200 at 0.8, and unlike texts seldom meet.  Within a shard every pair whose
+min-wise sketches (``SKETCH`` bytes, standard error 0.025 at 0.8) agree to within
+``SLACK`` of the limit is counted, the most alike first, unless the two are linked already.
+A band of more than ``SHARD_TEXTS`` texts (or ``SHARD_BYTES`` of their sets) is cut into
+parts, each linked by itself; then one text a component and part stands for it in the
+next round, until a band fits or no round joins more.  Texts of one component need no
+more comparison, so a band of near copies, however large, is done: each text was dealt
+once.  Where texts of several components are left in such a band, those outside its
+largest component are compared with all parts of it and with each other, by sketches
+alone; sets are fetched only for pairs whose sketches agree.
 
 Nulls: a null or empty text has fingerprint zero and links like any other; rows
 with a null doc_id get fingerprints, take part in linking and are never a
@@ -47,7 +53,7 @@ from . import bytesops as B
 from .common import components, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS = 2_000, 20_000, 500
+TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES = 2_000, 20_000, 500, 64 << 20
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -126,11 +132,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, members) for ``wanted`` (node, set_id, id): the distinct shingle hashes in order, from the documents of these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                sets = [np.unique(_hashes(t.as_py().lower() if t.is_valid else b"", shingle)).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "members"])
+        for part, _, _ in B.chunks(batches, "text"):
+            sets = [np.unique(_hashes(t.as_py().lower() if t.is_valid else b"", shingle)).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     some = texts.join(wanted.select("id").distinct(), "id", "left_semi").union(texts.filter("id is null"))
@@ -217,6 +221,24 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have that Jaccard similarity."""
+    few, many = sorted((len(x), len(y)))
+    if few < similarity * many:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if few else 0
+    return both == many or both >= similarity * (len(x) + len(y) - both)
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+
+
+def _pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+
 def _alike(similarity: float):
     """Sorted (key, node, sketch, members) -> edges (u, v) of the similarity or more, by the sets of members; each run of equal keys is one shard."""
 
@@ -225,29 +247,41 @@ def _alike(similarity: float):
         for i in range(1, len(sets)):
             agree = np.count_nonzero(sketch[:i] == sketch[i], axis=1) / sketch.shape[1]
             near = np.flatnonzero(agree >= similarity - SLACK)
-            x = sets[i]
             for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                y = sets[j]
-                few, many = sorted((len(x), len(y)))
-                if root[i] == root[j] or few < similarity * many:
-                    continue
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if few else 0
-                if both == many or both >= similarity * (len(x) + len(y) - both):
+                if root[i] != root[j] and _similar(sets[i], sets[j], similarity):
                     _join(root, np.array([j]), np.array([i]))
                     yield i, j
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         key, node = (rows.column(i).to_numpy() for i in (0, 1))
-        sketch = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(len(node), -1)
+        sketch = _sketches(rows)
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        out = [np.zeros((0, 2), np.int64)]
+        out = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             sets = [np.frombuffer(m, np.uint64) for m in rows.column(3).slice(lo, hi - lo).to_pylist()]
             out += [node[[[lo + i, lo + j]]] for i, j in linked(sketch[lo:hi], sets)]
-        pairs = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        return _pairs(out)
+
+    return _by_shard(links, 32 << 20)
+
+
+def _near_sketches(similarity: float):
+    """Sorted (key, node, sketch, component, side) -> pairs (u, v) of one shard in different components whose sketches agree; of side 0 only with side 1."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, node, component, side = (rows.column(i).to_numpy() for i in (0, 1, 3, 4))
+        sketch = _sketches(rows)
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        out = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i in (lo + np.flatnonzero(side[lo:hi] == 1)).tolist():
+                others = lo + np.flatnonzero((component[lo:hi] != component[i]) & ((side[lo:hi] == 0) | (node[lo:hi] < node[i])))
+                agree = np.count_nonzero(sketch[others] == sketch[i], axis=1) / sketch.shape[1]
+                near = others[agree >= similarity - SLACK]
+                out.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
+        return _pairs(out)
 
-    return _by_shard(links, 4_000)
+    return _by_shard(links, 8 << 20)
 
 
 def _shards(radius: int):
@@ -259,11 +293,11 @@ def _shards(radius: int):
         joined = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], names=["u", "v"])
 
-    return _by_shard(links, 50_000)
+    return _by_shard(links, 1 << 20)
 
 
 def _by_shard(links, least: int):
-    """Calls ``links`` on whole shards of the rows, which are sorted by key, some ``least`` rows at a time."""
+    """Calls ``links`` on whole shards of the rows, which are sorted by key, some ``least`` bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -272,7 +306,7 @@ def _by_shard(links, least: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            n += batch.num_rows
+            n += batch.nbytes
             if n < least:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
@@ -329,17 +363,75 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None
     return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards(radius), "u long, v long").distinct()
 
 
+def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, bands): the links found within bands, and the (key) of those that had to be cut.
+
+    ``dealt`` (key, node, sketch, bytes) has the texts of bands that others share.
+    """
+    edges, alive, before, first = None, dealt, None, None
+    while True:
+        sizes = alive.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
+        parts = written(sizes.select("key", F.ceil(F.greatest(F.col("n") / SHARD_TEXTS, F.col("all") / SHARD_BYTES)).cast("int").alias("parts")))
+        cut = alive.join(parts, "key").withColumn("part", F.when(F.col("parts") <= 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))))
+        # written, so that both sides of the join are plain shuffles, which Spark can split
+        rows = written(cut.select(F.col("part").alias("key"), "node", "sketch")).join(members, "node").select("key", "node", "sketch", "members")
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
+        edges = written(found) if edges is None else written(edges.unionByName(found).distinct())
+        hot = parts.filter("parts > 1").select("key")
+        first = hot if first is None else first
+        if hot.isEmpty():
+            return edges, first
+        named = components(edges)
+        standing = alive.join(hot, "key", "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        alive = written(standing.groupBy("key", "component").agg(F.min_by(F.struct("node", "sketch", "bytes"), "node").alias("x")).select("key", "x.*"))
+        n = alive.count()
+        if before is not None and n > 0.9 * before:
+            return edges, first
+        before = n
+
+
 def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v) edges between ``nodes`` (node, least, sketch, bands, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
 
     Their closure links every such pair that shares a band.
     """
-    dealt = written(_split(nodes.select(F.explode("bands").alias("key"), "node", "sketch"), SHARD_TEXTS))
-    wanted = nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
-    # written, so that both sides of the join are plain shuffles, which Spark can split
+    each = nodes.select(F.explode("bands").alias("key"), "node", "sketch")
+    shared = written(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    each = written(each.join(shared.select("key"), "key", "left_semi"))
+    wanted = nodes.join(each.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
     members = written(_sets(docs, written(wanted), shingle))
-    rows = dealt.join(members, "node").select("key", "node", "sketch", "members")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
+    dealt = written(each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node"))
+    edges, large = _linked_bands(dealt, members, similarity)
+    if large.isEmpty():
+        return edges
+    # bands that were cut: texts of different components may still be alike
+    named = dealt.join(large, "key", "left_semi").join(components(edges), "node", "left")
+    left = written(named.select("key", "node", "sketch", F.coalesce("component", "node").alias("component")))
+    groups = left.groupBy("key", "component").agg(F.count("*").alias("m"))
+    tops = written(groups.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.max("m").alias("main"), F.sum("m").alias("n")).filter("n > main"))
+    sided = left.join(tops, "key").withColumn("main_parts", F.ceil(F.col("main") / SHARD_TEXTS).cast("int"))
+    main = sided.filter("component = top").select(F.xxhash64("key", F.lit(0), F.pmod(F.xxhash64("node", F.lit(6)), F.col("main_parts")).cast("int")).alias("key"), "node", "sketch", "component", F.lit(0).alias("side"))
+    rest = sided.filter("component <> top")
+    to_main = F.transform(F.sequence(F.lit(0), F.col("main_parts") - 1), lambda q: F.xxhash64("key", F.lit(0), q))
+    against = rest.select(F.explode(to_main).alias("key"), "node", "sketch", "component", F.lit(1).alias("side"))
+    own = rest.select("key", "node", "sketch", "component", F.lit(1).alias("side"))
+    among = _split(own, SHARD_TEXTS)
+    rows = main.unionByName(against).unionByName(among.select("key", "node", "sketch", "component", "side"))
+    near = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_sketches(similarity), "u long, v long").distinct())
+    return edges.unionByName(_confirmed(near, members, similarity)).distinct()
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2), batch.column(3))
+            keep = [_similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in both]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(members.withColumnsRenamed({"node": "u", "members": "a"}), "u").join(members.withColumnsRenamed({"node": "v", "members": "b"}), "v")
+    return one.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_duplicate_groups(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from splitforge.llm import simhash_bktree as H
@@ -141,6 +142,33 @@ def test_texts_of_a_large_band_are_split(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def drifting(seed: int) -> list[tuple]:
+    """Chains of texts in which only neighbours are alike, beside near copies of one text and texts that share half of it."""
+    rng = random.Random(seed)
+    base, rows = words(rng, 200, 10_000).split(), []
+    for chain in range(3):
+        text = base[:]
+        for k in range(25):
+            text[rng.randrange(200)] = f"c{chain}x{k}"
+            text[rng.randrange(200)] = f"d{chain}x{k}"
+            rows.append(" ".join(text))
+    rows += [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(0, 120, 3)] + [" ".join(base[:100] + words(rng, 100, 10_000).split()) for _ in range(12)]
+    rng.shuffle(rows)
+    return [(k, t, "en", "s", 1) for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("size", [{"SHARD_TEXTS": 7}, {"SHARD_BYTES": 9_000}])
+def test_cut_bands_lose_no_link(spark, monkeypatch, size):
+    """Bands cut into parts, by texts or by bytes, give the groups of whole bands, also where only others than the representatives are alike."""
+    docs = frame(spark, drifting(31))
+    monkeypatch.setattr(H, "BAND_ROWS", 1)  # bands that unlike texts share
+    groups_of = lambda: {r.doc_id: r.component_id for r in H.near_duplicate_groups(docs, shingle=5, similarity=0.8, bands=4).collect()}
+    want = groups_of()
+    for name, value in size.items():
+        monkeypatch.setattr(H, name, value)
+    assert groups_of() == want and 3 < len(set(want.values())) < len(want)
+
+
 def test_bands_find_pairs_of_high_similarity(spark):
     rng = random.Random(9)
     texts = []
