@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import saved
 from .readers import input_signature, require_columns
 
 
@@ -54,6 +56,40 @@ def read_failures(spark: SparkSession, path: str, source: DataFrame) -> DataFram
     return spark.read.parquet(f"{path}/failures") if found and found.failures else None
 
 
+def cached_pairs(rows: DataFrame, path: str, id_: str, compute: Callable[[DataFrame, str], DataFrame], width: int = 100_000) -> tuple[DataFrame, int]:
+    """(pairs, blocks that were computed) of ``compute``, from a cache that follows changes of its input block by block.
+
+    A block is ``width`` neighbouring ids, so appended rows fall into the last ones; a
+    signature of its rows tells whether a block has changed.  Pairs (i, j, ...) of two
+    unchanged blocks are kept; ``compute(rows, only)`` makes those of which one end has the boolean
+    column ``only``.  A new state is a folder of its own, which its description, written last, points to.
+    """
+    spark = rows.sparkSession
+    block = lambda c: F.floor(F.col(c) / width)
+    content = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string")
+    now = saved(rows.groupBy(block(id_).alias("block")).agg(F.concat_ws("-", F.count("*"), content).alias("signature")))
+    try:
+        state = read_json(spark, f"{path}/state")["state"]
+        before, old = spark.read.parquet(f"{path}/{state}/blocks"), spark.read.parquet(f"{path}/{state}/pairs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        state, before, old = -1, now.limit(0), None
+    same = saved(now.join(before, ["block", "signature"]).select("block"))
+    changed = now.join(same, "block", "left_anti").count()
+    if old is not None and not changed and before.count() == now.count():
+        return old, 0
+    fresh = rows.withColumn("__block", block(id_)).join(same.select(F.col("block").alias("__block"), F.lit(True).alias("__same")), "__block", "left")
+    pairs = compute(fresh.withColumn("only", F.col("__same").isNull()).drop("__block", "__same"), "only")
+    if old is not None:
+        kept = old.withColumn("block", block("i")).join(same, "block", "left_semi").withColumn("block", block("j")).join(same, "block", "left_semi")
+        pairs = pairs.unionByName(kept.drop("block"))
+    pairs.write.mode("overwrite").parquet(f"{path}/{state + 1}/pairs")
+    now.write.mode("overwrite").parquet(f"{path}/{state + 1}/blocks")
+    write_json({"state": state + 1}, spark, f"{path}/state", overwrite=True)
+    return spark.read.parquet(f"{path}/{state + 1}/pairs"), changed
+
+
 def write_json(row: dict, spark: SparkSession, path: str, overwrite: bool = False) -> None:
     """One record as JSON with sorted keys."""
     text = spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string")
