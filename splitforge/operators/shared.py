@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+FINISH = 200_000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder and read again; iterations keep short plans and survive lost executors.
 
@@ -114,20 +117,25 @@ def _contracted(links: DataFrame, by: list[str]) -> DataFrame:
 def components(links: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, part) for links (by, i, j): part is the least node reachable within ``by``.
 
-    Large-star and small-star steps in turn until the links stand still; every step is an aggregation and a join.
+    Links are contracted where they are read, then large-star and small-star steps follow in
+    turn until the links stand still; every step is an aggregation and a join.  As soon as
+    no more than ``FINISH`` links are left, one task contracts them to the end.
     """
     edges = saved(_contracted(links.filter("i <> j"), by).distinct())
     state = None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        if now[0] <= FINISH:
+            edges = saved(_contracted(edges.select(*by, F.col("v").alias("i"), F.col("u").alias("j")).coalesce(1), by))
+            break
+        state = now
         both = edges.select(*by, "u", "v").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
         large = both.join(least, [*by, "u"]).filter("v > u and v <> m").select(*by, "v", F.col("m").alias("u")).distinct()
         down = large.groupBy(*by, "v").agg(F.min("u").alias("m"))
         ends = F.array(F.struct("v"), F.struct(F.col("u").alias("v")))
         edges = saved(large.join(down, [*by, "v"]).select(*by, F.explode(ends).alias("e"), F.col("m").alias("u")).select(*by, "e.v", "u").filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(*by, F.col("u").alias("node"), F.col("u").alias("part")).distinct()
     return edges.select(*by, F.col("v").alias("node"), F.col("u").alias("part")).union(roots)

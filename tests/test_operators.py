@@ -16,6 +16,7 @@ from splitforge.operators import greedy
 from splitforge.operators import groups as G
 from splitforge.operators import metrics as M
 from splitforge.operators import pairs as P
+from splitforge.operators import shared
 from splitforge.operators import similarity as N
 from splitforge.operators import splits as S
 from splitforge.operators.shared import ranked
@@ -80,6 +81,29 @@ def test_butina_without_links(spark):
     assert {(r.center, r.id, r["size"]) for r in C.butina_clusters(ids, none, ["run"]).collect()} == {(k, k, 1) for k in range(3)}
 
 
+@pytest.mark.parametrize("finish", [0, shared.FINISH])
+def test_components_name_the_least_node(spark, monkeypatch, finish):
+    monkeypatch.setattr(shared, "FINISH", finish)
+    rng = random.Random(15)
+    links = [(g, *rng.sample(range(60), 2)) for g in "ab" for _ in range(35)] + [("c", k, k + 1) for k in range(40)] + [("c", 7, 7)]
+    want = {}
+    for g in "abc":
+        near = {}
+        for h, i, j in links:
+            if h == g and i != j:
+                near.setdefault(i, set()).add(j)
+                near.setdefault(j, set()).add(i)
+        for n in sorted(near):
+            todo = [n] if (g, n) not in want else []
+            while todo:
+                k = todo.pop()
+                if (g, k) not in want:
+                    want[g, k] = n
+                    todo += near[k]
+    got = shared.components(spark.createDataFrame(links, "g string, i long, j long").repartition(4), ["g"]).collect()
+    assert {(r.g, r.node): r.part for r in got} == want and len(got) == len(want)
+
+
 def tanimoto(a, b):
     either = bin(a | b).count("1")
     return bin(a & b).count("1") / either if either else 1.0
