@@ -23,7 +23,8 @@ groups of ``BAND_ROWS`` min-wise hashes instead of blocks of bits: ten bands mis
 pair in 200 at 0.8, and unlike texts seldom meet.  Within a shard every pair whose
 min-wise sketches (``SKETCH`` bytes, standard error 0.025 at 0.8) agree to within
 ``SLACK`` of the limit is counted, the most alike first, unless the two are linked already.
-A band of more than ``SHARD_TEXTS`` texts (or ``SHARD_BYTES`` of their sets) is cut into
+The first ``FIRST_BANDS`` bands come first; of the others only those that hold texts of
+several components are looked at.  A band of more than ``SHARD_TEXTS`` texts (or ``SHARD_BYTES`` of their sets) is cut into
 parts, each linked by itself; then one text a component and part stands for it in the
 next round, until a band fits or no round joins more.  Texts of one component need no
 more comparison, so a band of near copies, however large, is done: each text was dealt
@@ -53,7 +54,7 @@ from . import bytesops as B
 from .common import components, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES = 2_000, 20_000, 500, 64 << 20
+TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, FIRST_BANDS = 2_000, 20_000, 500, 64 << 20, 2
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -395,13 +396,20 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
 
     Their closure links every such pair that shares a band.
     """
-    each = nodes.select(F.explode("bands").alias("key"), "node", "sketch")
+    each = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "sketch")
     shared = written(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     each = written(each.join(shared.select("key"), "key", "left_semi"))
     wanted = nodes.join(each.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
     members = written(_sets(docs, written(wanted), shingle))
     dealt = written(each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node"))
-    edges, large = _linked_bands(dealt, members, similarity)
+    edges, large = _linked_bands(dealt.filter(F.col("band") < FIRST_BANDS).drop("band"), members, similarity)
+    # the first bands link most copies; of the others only those with texts of several components are left to look at
+    rest = dealt.filter(F.col("band") >= FIRST_BANDS).join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    more = written(rest.join(open_, "key", "left_semi").select("key", "node", "sketch", "bytes"))
+    if not more.isEmpty():
+        later, cut = _linked_bands(more, members, similarity)
+        edges, large = written(edges.unionByName(later).distinct()), large.unionByName(cut)
     if large.isEmpty():
         return edges
     # bands that were cut: texts of different components may still be alike
