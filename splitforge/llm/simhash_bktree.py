@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import components, table, written
+from .common import components, removed, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
 TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, FIRST_BANDS = 2_000, 20_000, 500, 64 << 20, 2
@@ -375,9 +375,11 @@ def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tu
         parts = written(sizes.select("key", F.ceil(F.greatest(F.col("n") / SHARD_TEXTS, F.col("all") / SHARD_BYTES)).cast("int").alias("parts")))
         cut = alive.join(parts, "key").withColumn("part", F.when(F.col("parts") <= 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))))
         # written, so that both sides of the join are plain shuffles, which Spark can split
-        rows = written(cut.select(F.col("part").alias("key"), "node", "sketch")).join(members, "node").select("key", "node", "sketch", "members")
+        of_parts = written(cut.select(F.col("part").alias("key"), "node", "sketch"))
+        rows = of_parts.join(members, "node").select("key", "node", "sketch", "members")
         found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
         edges = written(found) if edges is None else written(edges.unionByName(found).distinct())
+        removed(of_parts)
         hot = parts.filter("parts > 1").select("key")
         first = hot if first is None else first
         if hot.isEmpty():
@@ -411,6 +413,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
         later, cut = _linked_bands(more, members, similarity)
         edges, large = written(edges.unionByName(later).distinct()), large.unionByName(cut)
     if large.isEmpty():
+        removed(shared, each, dealt, members, more)
         return edges
     # bands that were cut: texts of different components may still be alike
     named = dealt.join(large, "key", "left_semi").join(components(edges), "node", "left")
@@ -426,7 +429,9 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     among = _split(own, SHARD_TEXTS)
     rows = main.unionByName(against).unionByName(among.select("key", "node", "sketch", "component", "side"))
     near = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_sketches(similarity), "u long, v long").distinct())
-    return edges.unionByName(_confirmed(near, members, similarity)).distinct()
+    edges = written(edges.unionByName(_confirmed(near, members, similarity)).distinct())
+    removed(shared, each, dealt, members, more, left, tops, near)
+    return edges
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
