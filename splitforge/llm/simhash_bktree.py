@@ -285,6 +285,25 @@ def _near_sketches(similarity: float):
     return _by_shard(links, 8 << 20)
 
 
+def _near_others(similarity: float):
+    """Sorted (key, node, sketch, component) -> (key, node) of texts that have one of another component in their shard whose sketch agrees."""
+
+    def kept(rows: pa.Table) -> pa.RecordBatch:
+        key, node, component = (rows.column(i).to_numpy() for i in (0, 1, 3))
+        sketch = _sketches(rows)
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        near = np.zeros(len(key), bool)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i in range(lo + 1, hi):
+                agree = np.count_nonzero(sketch[lo:i] == sketch[i], axis=1) / sketch.shape[1]
+                others = (agree >= similarity - SLACK) & (component[lo:i] != component[i])
+                near[lo:i] |= others
+                near[i] |= others.any()
+        return pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(node[near])], names=["key", "node"])
+
+    return _by_shard(kept, 8 << 20)
+
+
 def _shards(radius: int):
     """Sorted (key, fp, node) -> edges (u, v): each run of equal keys is one shard."""
 
@@ -407,8 +426,14 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     edges, large = _linked_bands(dealt.filter(F.col("band") < FIRST_BANDS).drop("band"), members, similarity)
     # the first bands link most copies; of the others only those with texts of several components are left to look at
     rest = dealt.filter(F.col("band") >= FIRST_BANDS).join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    more = written(rest.join(open_, "key", "left_semi").select("key", "node", "sketch", "bytes"))
+    open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
+    still = written(rest.join(open_, "key").select("key", "node", "sketch", "bytes", "component", "n"))
+    # sets are fetched only for texts whose sketch agrees with one of another component; bands over the bound go to the rounds whole
+    small = still.filter(F.col("n") <= SHARD_TEXTS).select("key", "node", "sketch", "component")
+    near_others = small.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_others(similarity), "key long, node long")
+    columns = ["key", "node", "sketch", "bytes"]
+    more = written(still.join(near_others, ["key", "node"], "left_semi").select(columns).unionByName(still.filter(F.col("n") > SHARD_TEXTS).select(columns)))
+    removed(still)
     if not more.isEmpty():
         later, cut = _linked_bands(more, members, similarity)
         edges, large = written(edges.unionByName(later).distinct()), large.unionByName(cut)
