@@ -11,7 +11,7 @@ probabilities.
 Bound: the model is fitted on at most ``max_train`` labelled rows, the ones with
 the least hash of doc_id among all labelled rows outside the held-out fold
 (crc32(doc_id) mod ``folds`` = 0), and on as many of these, in this order, as hold
-``max_indicators`` indicators together (80 MB on the driver).  Scoring covers every
+``max_indicators`` indicators together (80 MB in the task that fits; the driver gets the model alone).  Scoring covers every
 document and every word, very long texts one at a time.
 The model is a vector of ``buckets`` floats, broadcast at a size fixed in advance.
 
@@ -24,6 +24,7 @@ labelled doc_id with several texts the least text is learned from.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_train: int, max_indicators: int, buckets: int) -> pa.Table:
+def _training_sample(docs: DataFrame, labels: DataFrame, folds: int, max_train: int, max_indicators: int, buckets: int) -> DataFrame:
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     clear = usable.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).filter("y = y2")
     chosen = clear.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_train).select("doc_id", "y", "rank")
@@ -94,7 +95,12 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_train: in
     fit = int((np.cumsum(sizes.column("n").to_numpy()) <= max_indicators).sum())
     if fit < len(sizes):
         rows = rows.filter(F.col("rank") < sizes.column("rank")[fit].as_py())
-    return rows.toArrow().sort_by("rank")
+    return rows
+
+
+def _training_rows(*args) -> pa.Table:
+    """The sample on the driver, in order of rank: to look at, the fit does not use it."""
+    return _training_sample(*args).toArrow().sort_by("rank")
 
 
 def dual_coordinate_descent(x: list[np.ndarray], scale: np.ndarray, norm: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +155,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int = MAX_TRAIN, max_indicators: int = MAX_INDICATORS, buckets: int = BUCKETS, min_rows: int = 3, epochs: int = 20, cost: float = 1.0) -> Model:
-    """The model; labels has doc_id and quality (0 or 1)."""
-    rows = _training_rows(docs, labels, folds, max_train, max_indicators, buckets)
+def _fitted(rows: pa.Table, buckets: int, min_rows: int, epochs: int, cost: float) -> Model:
+    """The model of training rows (rank, y, x) in order of rank."""
     y = rows.column("y").to_numpy()
     flat = rows.column("x").combine_chunks() if len(y) else None
     x = [flat[i].values.to_numpy() for i in range(len(y))]
@@ -175,6 +180,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int =
     return Model(scale, w[:-1], float(w[-1]), a, b)
 
 
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_train: int = MAX_TRAIN, max_indicators: int = MAX_INDICATORS, buckets: int = BUCKETS, min_rows: int = 3, epochs: int = 20, cost: float = 1.0) -> Model:
+    """The model; labels has doc_id and quality (0 or 1)."""
+    rows = _training_sample(docs, labels, folds, max_train, max_indicators, buckets)
+    schema = pa.schema([("rank", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.int32()))])
+
+    def model_of(sample: pa.Table) -> Model:
+        return _fitted(sample.sort_by("rank"), buckets, min_rows, epochs, cost)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
+
+    # one task fits the bounded sample: its memory is not the driver's, and a lost executor only costs another attempt
+    found = rows.select("rank", "y", "x").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else model_of(schema.empty_table())
+
+
 def _scored(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
     """(doc, score): whole rows as structs, so no column of the caller can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
