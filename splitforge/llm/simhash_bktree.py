@@ -480,6 +480,13 @@ def near_duplicate_groups(
     Links are fingerprints within ``radius`` bits or, with ``similarity``, texts that share
     one of ``bands`` and are at least that similar.
     """
+    return _groups(docs, shingle, radius, blocks, agree, similarity, bands)[0]
+
+
+def _groups(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, similarity: float | None = None, bands: int = 10
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups and the tables that they read."""
     bands = 0 if similarity is None else bands
     marked = written(fingerprints(docs, shingle, 0 if similarity is None else SKETCH, bands))
     # A node is a fingerprint or, with similarity, a set of shingles: texts of one fingerprint can be unlike each other.
@@ -495,13 +502,14 @@ def near_duplicate_groups(
         edges = similar_edges(nodes, docs, shingle, similarity)
     groups = components(edges)
     named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
+    removed(nodes)
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
     # Only below 0 the least real id is looked for: no stand-in ever is a component_id.
     below = named.filter("component < 0")
     names = below.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = named.filter("component >= 0").select(by, F.col("component").alias("component_id"))
     by_node = by_node.union(below.join(names, "component").select(by, "component_id"))
-    return marked.select(*{"doc_id": 0, "fp": 0, by: 0}).join(by_node, by).select("doc_id", "fp", "component_id")
+    return marked.select(*{"doc_id": 0, "fp": 0, by: 0}).join(by_node, by).select("doc_id", "fp", "component_id"), [marked, named]
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
@@ -512,10 +520,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     scanned stays; rows without one stay only if no member of the group has one.
     """
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
-    groups = near_duplicate_groups(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options)
+    groups, tables = _groups(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options)
     place = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "row")
     named = rows.select("row", place.alias("place")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
-    keep = named.groupBy("component_id").agg(F.min_by("row", "place").alias("row")).select("row")
+    keep = written(named.groupBy("component_id").agg(F.min_by("row", "place").alias("row")).select("row"))
+    removed(*tables)
     return rows.join(keep, "row", "left_semi").select("doc.*")
 
 
