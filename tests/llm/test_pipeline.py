@@ -77,5 +77,5 @@ def test_run_equals_the_stages_and_empty(spark, tmp_path):
 
 
 def test_registry():
-    assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
