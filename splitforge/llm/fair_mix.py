@@ -31,6 +31,7 @@ from .common import table, written
 
 SHARE, MAX_EPOCHS, WEIGHTS, SEED = 1.5, 2, (3, 1, 2), "mix-1"
 BINS, LAST_ROWS, GROUP_ROWS, LEVELS = 4096, 50_000, 250_000, 6
+BROADCAST_BYTES = 8_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,7 +52,25 @@ def source_targets(sizes: DataFrame, share: float = SHARE, max_epochs: int = MAX
 
 def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, epochs): how often the mix takes each row of docs; row numbers those of the scan."""
-    return _mix(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source"), share, max_epochs, weights, seed)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source")
+    return _mix(rows, share, max_epochs, weights, seed)
+
+
+def _measures(at: str, seed: str) -> list:
+    """doc_id, source, size and shuffle key of a document whose columns are found at ``at``."""
+    doc_id, text = F.col(f"{at}doc_id"), F.col(f"{at}text")
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return [
+        doc_id.cast("long").alias("doc_id"),
+        F.col(f"{at}source").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary")).alias("key"),
+    ]
+
+
+def _order() -> list:
+    """The columns by which a source is queued, as fields of a struct."""
+    return [F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"), F.col("row")]
 
 
 def _cut(entries: DataFrame, budget: float, last_rows: int):
@@ -93,10 +112,11 @@ def _cut(entries: DataFrame, budget: float, last_rows: int):
 
 
 def _mix(docs: DataFrame, share: float, max_epochs: int, weights: tuple, seed: str, last_rows: int = LAST_ROWS) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    key = F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary"))
-    rows = written(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key")))
+    return _queue(docs.select("row", *_measures("", seed)), share, max_epochs, weights, last_rows).drop("key")
+
+
+def _queue(measured: DataFrame, share: float, max_epochs: int, weights: tuple, last_rows: int = LAST_ROWS) -> DataFrame:
+    rows = written(measured)
     targets = written(source_targets(rows, share, max_epochs, weights))
     budget, digits = targets.agg(F.sum("__share")).first()[0] or 0.0, 3
     while rows.count() > GROUP_ROWS * 16**digits:
@@ -114,21 +134,36 @@ def _mix(docs: DataFrame, share: float, max_epochs: int, weights: tuple, seed: s
     def place(epoch):
         finish = F.coalesce(F.try_divide(F.col("reached") + epoch * F.col("source_size"), F.col("target")), F.lit(0.0))
         return F.struct(
-            finish.alias("v"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"), F.col("row"), epoch.cast("int").alias("epoch")
+            finish.alias("v"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), *_order(), epoch.cast("int").alias("epoch")
         )
 
     epochs = [F.lit(e) for e in range(max_epochs)]
     taken = _cut(queued.select("size", F.explode(F.array(*map(place, epochs))).alias("at")), budget, last_rows)
     times = sum((taken(place(e)).cast("int") for e in epochs[1:]), taken(place(epochs[0])).cast("int"))
-    return queued.select("row", "doc_id", "source", "size", "source_size", "target", times.alias("epochs"))
-
-
-def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them; columns as in docs."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
-    plan = _mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), share, max_epochs, weights, seed).filter("epochs > 0").select("row", "epochs")
-    often = rows.join(plan, "row").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("epochs"))).alias("time"))
-    return often.select("doc.*")
+    return queued.select("row", "doc_id", "source", "size", "key", "source_size", "target", times.alias("epochs"))
+
+
+def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes them; columns as in docs.
+
+    What an epoch takes of a source is a head of its queue, so its last entry tells
+    for every document whether it is taken.  These ends, a row a source, go to the
+    documents, whose texts stay where they are; where the ends could pass
+    ``broadcast_bytes``, the documents are joined with the mix by row instead.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    rows = written(rows.select("row", "doc", *_measures("doc.", seed)))
+    plan = _queue(rows.drop("doc"), share, max_epochs, weights).filter("epochs > 0")
+    at = F.struct(*_order())
+    ends = written(plan.groupBy("source").agg(*(F.max(F.when(F.col("epochs") > e, at)).alias(f"end_{e}") for e in range(max_epochs))))
+    names = ends.agg(F.count("*").alias("n"), F.sum(F.octet_length("source")).alias("bytes")).first()
+    if names["n"] * 128 * (1 + max_epochs) + (names["bytes"] or 0) <= broadcast_bytes:
+        last = F.broadcast(ends)
+        taken = sum((F.coalesce(at <= F.col(f"end_{e}"), F.lit(False)).cast("int") for e in range(max_epochs)), F.lit(0))
+        often = rows.join(last.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("doc", taken.alias("epochs"))
+    else:
+        often = rows.select("row", "doc").join(plan.select("row", "epochs"), "row")
+    return often.filter("epochs > 0").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("epochs"))).alias("time")).select("doc.*")
 
 
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

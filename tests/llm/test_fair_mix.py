@@ -66,6 +66,15 @@ def test_mixed_repeats_documents(spark):
     assert {k: v for k, v in plan.items() if v} == dict(count)
 
 
+def test_ends_of_sources_equal_the_join_by_row(spark):
+    rng = random.Random(9)
+    equal = [(7, "a b c d e f g", "en", "s", 1)] * 60 + [(None, "a b c d e f g", None, "s", 1)] * 40 + [(None, None, None, "s", 0), (None, "", None, None, 1), (-(2**63), "x", "en", None, 1)] * 5
+    rows = awkward(4) + equal + [(2000 + k, words(rng, rng.randrange(0, 60)), "en", rng.choice(["a", "a", "b", "ä", "", None]), 1) for k in range(300)]
+    for max_epochs, share in ((2, 1.5), (1, 0.4), (3, 2.2)):
+        a, b = (sorted(map(str, M.mixed(frame(spark, rows, extra=True), share, max_epochs, broadcast_bytes=n).collect())) for n in (8_000_000, -1))
+        assert a == b and len(a) > 50
+
+
 def test_ties_at_the_cut_and_finer_histograms(spark):
     # 400 equal rows, and rows without an id: all of one source, so the budget ends among them
     text = "a b c d e f g"
