@@ -15,6 +15,9 @@ path from it to the body is the threshold, and from the body down each element a
 or over the threshold gives the element of greatest sum below it; the walk then goes
 on into its children.  As in the method, a part whose density is below the
 threshold goes: on a page without any link that may be a short part beside a long one.
+Headlines are short by nature: a heading before the core whose parent holds the core stays,
+unless links make up half of it or more.  So does, within an ``article`` or ``main``, a
+part named for related or recommended reading: only as a list of links is it clutter.
 
 The logarithm's base in the density is shifted by e - 1, so that pages without
 links have a defined density.
@@ -59,16 +62,18 @@ _DROP = set("nav footer aside form menu dialog".split())
 _DROP_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar comment comments commentlist disqus respond replies related recommended share sharing social pagination pager skip complementary search".split()
 )
+_IF_LINKS = set("related recommended".split())
 _DROP_OUTSIDE = set("header footer masthead contentinfo copyright".split())
 _BESIDE = set("area bar block bottom box container left list primary right secondary section site top widget".split())
 #: Phrase elements: their text counts as their parent's, and they are no tags to the density.
 _PHRASE = set("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 _IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 _MAIN = ("article", "main")
 
 
 class _Tree:
-    """Elements in page order: parent, tag, clutter (1 by its marks, 2 always), dropped; pieces of text by element, None where a block starts or ends."""
+    """Elements in page order: parent, tag, clutter (1 by its marks, 2 always, 3 if it is mostly links), dropped; pieces of text by element, None where a block starts or ends."""
 
     def __init__(self, page: str) -> None:
         self.parent, self.tag, self.clutter, self.last = [-1], [""], [0], [0]
@@ -99,6 +104,8 @@ class _Tree:
         for i in range(len(self.parent) - 1, 0, -1):
             self.last[i] = max(self.last[i], i)
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
+        if 3 in self.clutter:
+            self._settle()
         self.dropped = self._dropped()
 
     def _cut(self, stack: list[int], k: int) -> None:
@@ -133,7 +140,7 @@ class _Tree:
         self.parent.append(up)
         self.tag.append(name)
         self.inside.append(self.inside[up] or name in _MAIN)
-        self.clutter.append(2 if name in _NEVER else int(self._is_clutter(self.inside[up], name, attrs)))
+        self.clutter.append(2 if name in _NEVER else self._mark(self.inside[up], name, attrs))
         self.last.append(node)
         if name == "br":
             self.pieces.append((up, " "))
@@ -142,22 +149,39 @@ class _Tree:
             self.open[name] += 1
 
     @staticmethod
-    def _is_clutter(inside: bool, name: str, attrs: str) -> bool:
+    def _mark(inside: bool, name: str, attrs: str) -> int:
         if name in _DROP or name == "header" and not inside:
-            return True
+            return 1
         if name in ("html", "body", "article", "main") or not attrs.strip():
-            return False
-        words = _DROP_WORDS if inside else _DROP_WORDS | _DROP_OUTSIDE
+            return 0
+        mark, words = 0, _DROP_WORDS if inside else _DROP_WORDS | _DROP_OUTSIDE
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
                 for token in value.split():
                     parts = set(re.findall(r"[a-z]+", token))
                     if parts & words and parts <= (words | _BESIDE if key == "class" else words):
-                        return True
+                        if not inside or parts & words - _IF_LINKS:
+                            return 1
+                        mark = 3
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return 1
+        return mark
+
+    def _settle(self) -> None:
+        """Parts with mark 3 are clutter if links make up half of their characters or more."""
+        n = len(self.parent)
+        gone, link, excess = [False] * n, [False] * n, [0] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.clutter[i] in (1, 2)
+            link[i] = link[self.parent[i]] or self.tag[i] == "a"
+        for piece in self.pieces:
+            if piece and not gone[piece[0]]:
+                excess[piece[0]] += len("".join(piece[1].split())) * (-1 if link[piece[0]] else 1)
+        for i in range(n - 1, 0, -1):
+            excess[self.parent[i]] += excess[i]
+            if self.clutter[i] == 3:
+                self.clutter[i] = int(excess[i] <= 0)
 
     def _dropped(self) -> list[bool]:
         """Whether an element goes: clutter and all below it, but for clutter that stands for the main text."""
@@ -273,6 +297,14 @@ def main_text(page: str) -> str:
         while k <= tree.last[node]:
             todo.append(k)
             k = tree.last[k] + 1
+    around = set()
+    k = tree.parent[core]
+    while k >= 0:
+        around.add(k)
+        k = tree.parent[k]
+    for i in range(1, core):
+        if tree.tag[i] in _HEADINGS and tree.parent[i] in around and not tree.dropped[i] and 2 * links[i] < chars[i]:
+            marked[i : tree.last[i] + 1] = [True] * (tree.last[i] + 1 - i)
     blocks, current = [], []
     for piece in [*tree.pieces, None]:
         if piece is None:

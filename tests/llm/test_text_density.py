@@ -158,6 +158,29 @@ def test_related_work_and_phrases_stay():
         assert D.main_text(page(f"<article>{inner}</article>")) == D.main_text(page(f"<div class=text>{inner}</div>")) == want
 
 
+def test_headlines_before_the_core_stay():
+    body = "".join(f"<p>{BODY}</p>" for _ in range(5))
+    want = "\n".join(["Head line"] + [BODY.strip()] * 5)
+    assert D.main_text(f"<body><h1>Head line</h1><div>{body}</div></body>") == want
+    assert D.main_text(f"<body><div><h2>Head <b>line</b></h2><div><div>{body}</div></div></div></body>") == want
+    assert D.main_text(page(f"<div><h1>Head line</h1><div class=text>{body}</div></div>")) == want
+    linked = f"<body><h1><a href=/>Site name</a></h1><div>{body}</div></body>"
+    beside = f"<body><div class=x><h3>More</h3><a href=1>One</a> <a href=2>Two</a></div><h1>Head line</h1><div>{body}</div></body>"
+    assert D.main_text(linked) == "\n".join([BODY.strip()] * 5)
+    assert D.main_text(beside) == want
+    assert D.main_text("<h1>" * 50_000 + BODY) == BODY.strip()
+
+
+def test_related_parts_of_an_article_go_only_as_links():
+    prose = f"<article><p>{BODY}</p><div class='related'><p>{BODY}</p> <a href=1>more</a></div></article>"
+    links = f"<article><p>{BODY}</p><div class='related'><h3>More</h3><ul><li><a href=1>One other story</a><li><a href=2>Two other stories</a></ul></div></article>"
+    assert D.main_text(page(prose)) == f"{BODY.strip()}\n{BODY.strip()}\nmore"
+    assert D.main_text(page(links)) == BODY.strip()
+    for name in ("related share", "related-comments", "recommended hidden' hidden='"):
+        assert D.main_text(page(f"<article><p>{BODY}</p><div class='{name}'><p>{BODY}</p></div></article>")) == BODY.strip()
+    assert D.main_text(page(f"<article><p>{BODY}</p></article><div class=related><p>{BODY}</p></div>")) == BODY.strip()
+
+
 def test_long_and_deep_pages_take_linear_time():
     n = 100_000
     began = time.time()
