@@ -21,10 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group.
 
-    Documents that share one of ten min-wise bands are candidates; they are linked
-    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Candidates are found by SimHash fingerprints through BK-trees, within ten bits;
+    they are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    return simhash_bktree.representatives(docs, shingle=5, similarity=0.8, bands=10)
+    return simhash_bktree.representatives(docs, shingle=5, radius=10, blocks=9, agree=2, similarity=0.8, bands=0)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

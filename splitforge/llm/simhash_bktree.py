@@ -18,7 +18,9 @@ no size bound for a broadcast can be proven.
 
 64 bits cannot tell a similarity of 0.8 from 0.7.  With ``similarity`` a link is a
 pair of texts whose sets of shingles have at least that Jaccard similarity, counted
-exactly on the sets of 64-bit shingle hashes.  Shards are then the values of ``bands``
+exactly on the sets of 64-bit shingle hashes.  With ``bands=0`` the fingerprints and their
+trees find who may be alike, at a wide radius, and sets are fetched and counted only
+within the components that they make.  Otherwise shards are the values of ``bands``
 groups of ``BAND_ROWS`` min-wise hashes instead of blocks of bits: ten bands miss 1
 pair in 200 at 0.8, and unlike texts seldom meet.  Within a shard every pair whose
 min-wise sketches (``SKETCH`` bytes, standard error 0.025 at 0.8) agree to within
@@ -99,8 +101,8 @@ def _bands(least: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands: int = 0) -> DataFrame:
-    """(doc_id, fp long[, sketch binary, bands array<long>, set_id binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands: int = 0, sets: bool = False) -> DataFrame:
+    """(doc_id, fp long[, sketch binary, bands array<long>][, set_id binary]): A-Z lower-cased, words between ASCII white space, XXH64 of word shingles with repeats.
 
     ``set_id`` is the XXH128 of the distinct shingle hashes in order.
     """
@@ -109,23 +111,26 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sets, least = [], [], np.zeros((batch.num_rows, sketch), np.uint64)
+            fps, ids, least = [], [], np.zeros((batch.num_rows, sketch), np.uint64)
             for i, t in enumerate(batch.column(1)):
                 hashes = _hashes(t.as_py().lower() if t.is_valid else b"", shingle)
                 fps.append(_fingerprint(hashes))
-                if sketch:
+                if sketch or sets:
                     distinct = np.unique(hashes)
-                    sets.append(xxhash.xxh128_digest(distinct.tobytes()))
+                    ids.append(xxhash.xxh128_digest(distinct.tobytes()))
+                if sketch:
                     least[i] = _least(distinct, sketch)
             columns, names = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
             if sketch:
                 columns.append(pa.array([row.tobytes() for row in (B.mix(least) & np.uint64(255)).astype(np.uint8)], pa.binary()))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(_bands(least, bands).reshape(-1))))
-                columns.append(pa.array(sets, pa.binary()))
-                names += ["sketch", "bands", "set_id"]
+                names += ["sketch", "bands"]
+            if sketch or sets:
+                columns.append(pa.array(ids, pa.binary()))
+                names.append("set_id")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>, set_id binary" if sketch else "")
+    schema = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "") + (", set_id binary" if sketch or sets else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -440,7 +445,42 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     if large.isEmpty():
         removed(shared, each, dealt, members, more)
         return edges
-    # bands that were cut: texts of different components may still be alike
+    edges = _across(dealt, large, edges, members, similarity)
+    removed(shared, each, dealt, members, more)
+    return edges
+
+
+def fingerprint_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int, blocks: int | None, agree: int | None) -> DataFrame:
+    """(u, v) edges between ``nodes`` (node, least, fp, set_id), each of the similarity or more by the sets of shingles of their texts in ``docs``.
+
+    BK-trees link fingerprints within the radius; their closure links every similar pair of one
+    component.  The bits of a fingerprint serve as the sketch by which pairs are chosen.
+    """
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    near = components(link_edges(fps, radius, blocks, agree))
+    of = fps.join(near, "node", "left").select("fp", F.coalesce("component", "node").alias("key"))
+    each = nodes.join(of, "fp")
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    each = written(each.join(shared, "key", "left_semi").select("key", "node", "least", "set_id", "fp"))
+    members = written(_sets(docs, each.select("node", "set_id", F.col("least").alias("id")), shingle))
+    sized = each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node")
+    dealt = written(sized.select("key", "node", "fp", "bytes").mapInArrow(_bit_sketches, "key long, node long, sketch binary, bytes long"))
+    edges, large = _linked_bands(dealt, members, similarity)
+    if not large.isEmpty():
+        edges = _across(dealt, large, edges, members, similarity)
+    removed(fps, each, dealt, members)
+    return edges
+
+
+def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, fp, bytes) with a byte for each bit of the fingerprint in its place."""
+    for batch in batches:
+        bits = np.unpackbits(batch.column(2).to_numpy().view(np.uint8).reshape(-1, 8), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in bits], pa.binary()), batch.column(3)], names=["key", "node", "sketch", "bytes"])
+
+
+def _across(dealt: DataFrame, large: DataFrame, edges: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """``edges`` and those that are missing in the bands ``large`` (key) that were cut: texts of different components may still be alike."""
     named = dealt.join(large, "key", "left_semi").join(components(edges), "node", "left")
     left = written(named.select("key", "node", "sketch", F.coalesce("component", "node").alias("component")))
     groups = left.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -455,7 +495,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     rows = main.unionByName(against).unionByName(among.select("key", "node", "sketch", "component", "side"))
     near = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_sketches(similarity), "u long, v long").distinct())
     edges = written(edges.unionByName(_confirmed(near, members, similarity)).distinct())
-    removed(shared, each, dealt, members, more, left, tops, near)
+    removed(left, tops, near)
     return edges
 
 
@@ -477,8 +517,8 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
-    Links are fingerprints within ``radius`` bits or, with ``similarity``, texts that share
-    one of ``bands`` and are at least that similar.
+    Links are fingerprints within ``radius`` bits or, with ``similarity``, texts that are at least
+    that similar and share one of ``bands`` or, with ``bands=0``, a component of fingerprints.
     """
     return _groups(docs, shingle, radius, blocks, agree, similarity, bands)[0]
 
@@ -488,18 +528,20 @@ def _groups(
 ) -> tuple[DataFrame, list[DataFrame]]:
     """The groups and the tables that they read."""
     bands = 0 if similarity is None else bands
-    marked = written(fingerprints(docs, shingle, 0 if similarity is None else SKETCH, bands))
+    marked = written(fingerprints(docs, shingle, SKETCH if bands else 0, bands, similarity is not None))
     # A node is a fingerprint or, with similarity, a set of shingles: texts of one fingerprint can be unlike each other.
     # Its number is its smallest doc_id; nodes of rows without ids get negative numbers of their own.
-    by, rest = ("fp", []) if similarity is None else ("set_id", ["sketch", "bands"])
+    by, rest = ("fp", []) if similarity is None else ("set_id", ["sketch", "bands"] if bands else ["fp"])
     extra = [F.min(F.struct(*rest)).alias("x")] if rest else []
     nodes = marked.groupBy(by).agg(F.min("doc_id").alias("least"), *extra)
     nodes = nodes.select(by, "least", *(["x.*"] if rest else []))
     nodes = written(nodes.withColumn("node", F.coalesce("least", F.xxhash64(by).bitwiseOR(F.lit(-(2**63))))))
     if similarity is None:
         edges = link_edges(nodes, radius, blocks, agree)
-    else:
+    elif bands:
         edges = similar_edges(nodes, docs, shingle, similarity)
+    else:
+        edges = fingerprint_edges(nodes, docs, shingle, similarity, radius, blocks, agree)
     groups = components(edges)
     named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
     removed(nodes)

@@ -79,3 +79,19 @@ def test_run_equals_the_stages_and_empty(spark, tmp_path):
 def test_registry():
     assert [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_near_duplicates_come_from_fingerprints_and_trees(spark, monkeypatch):
+    """Candidates of the stage come from BK-trees over fingerprints; an exact check follows, so equal fingerprints alone drop nothing."""
+    from splitforge.llm import simhash_bktree as H
+
+    calls, link = [], H.link_edges
+    monkeypatch.setattr(H, "link_edges", lambda *a, **k: calls.append(a) or link(*a, **k))
+    monkeypatch.setattr(H, "SHARD_TEXTS", 7)  # groups are cut
+    rng = random.Random(5)
+    base, line = words(rng, 400, 10_000).split(), "this one line comes again "
+    own = [line * 400 + " ".join(f"{c}{i}" for i in range(150)) for c in "abcd"]
+    rows = [(k, " ".join([*base[: 9 * k], f"n{k}", *base[9 * k + 1 :]]), "en", "s", 1) for k in range(40)]
+    rows += [(100 + k, t, "en", "s", 1) for k, t in enumerate(own)] + [(200, own[2].replace("c70 ", "changed "), "en", "s", 1)]
+    kept = {r.doc_id for r in P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert calls and kept == {0, 100, 101, 102, 103}
