@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -323,3 +324,32 @@ def test_metrics_of_one_class_are_null(spark):
     got = {r.g: r for r in M.classification_metrics(rows, ["g"]).collect()}
     assert got["a"].roc_auc is None and got["a"].pr_auc is None and got["a"].accuracy == 0.5
     assert got["b"].roc_auc == pytest.approx(0.75)  # a tie counts half
+
+
+def test_pairs_in_blocks_equal_pairs_by_index(spark, monkeypatch):
+    """Where indexes prune nothing, pairs come from blocks, with the pairs and values of the index; several blocks, empty rows, no hot key."""
+    from splitforge.operators import blocks
+    from splitforge.operators import similarity as N
+
+    rng = random.Random(31)
+    rows = [(k, [rng.getrandbits(24) | rng.getrandbits(24) if k % 40 else 0, rng.getrandbits(3) if k % 40 else 0], {f"f{f}": float(rng.randrange(1, 12)) for f in range(4) if rng.random() < 0.8}, k % 3 == 0) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, words array<long>, counts map<string,double>, new boolean")
+    monkeypatch.setattr(blocks, "BLOCK", 50)
+    monkeypatch.setattr(blocks, "TILE", 700)
+
+    def results(pruned):
+        monkeypatch.setattr(N, "PRUNED", pruned)
+        # the key of a block pair, unlike a frequent bit, never holds all rows
+        found = [N.similar(df, "id", 0.6), N.similar(df, "id", 0.6, only="new"), N.near(df, "id", 0.25), N.near(df, "id", 0.6), N.two_distances(df, "id", 0.4, [0.0, 0.5, 1.0])]
+        return [sorted(map(tuple, x.select(sorted(x.columns)).collect())) for x in found]
+
+    made = []
+    whole = N.block_pairs
+    monkeypatch.setattr(N, "block_pairs", lambda *a, **k: made.append(1) or whole(*a, **k))
+    dense = results(10**9)
+    assert len(made) == 5
+    index = results(0)
+    assert len(made) == 5 and all(map(len, dense))
+    for a, b in zip(dense, index):
+        assert [r[-2:] if len(r) > 3 else r[1:] for r in a] == [r[-2:] if len(r) > 3 else r[1:] for r in b] and len(a) == len(b)
+        assert all(math.isclose(x, y, abs_tol=1e-12) for p, q in zip(a, b) for x, y in zip(p, q))
