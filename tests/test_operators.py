@@ -353,3 +353,18 @@ def test_pairs_in_blocks_equal_pairs_by_index(spark, monkeypatch):
     for a, b in zip(dense, index):
         assert [r[-2:] if len(r) > 3 else r[1:] for r in a] == [r[-2:] if len(r) > 3 else r[1:] for r in b] and len(a) == len(b)
         assert all(math.isclose(x, y, abs_tol=1e-12) for p, q in zip(a, b) for x, y in zip(p, q))
+
+
+@pytest.mark.parametrize("lead", [1, 150])
+def test_large_components_take_many_centers_a_round(spark, monkeypatch, lead):
+    """A dense graph is one component with hubs within two steps of all: rounds by distance found one center each."""
+    monkeypatch.setattr(C, "LEAD", lead)
+    rounds, own = [], C._leaders
+    monkeypatch.setattr(C, "_leaders", lambda *a: rounds.append(1) or own(*a))
+    rng, n = random.Random(8), 30
+    links = [(i, j) for i in range(n) for j in range(i) if rng.random() < 0.15]
+    ids = spark.createDataFrame([(0, i) for i in range(n)], "run int, id long")
+    pairs = spark.createDataFrame([(0, i, j) for i, j in links], "run int, i long, j long")
+    got = {r.id: r.center for r in C.butina_clusters(ids, pairs, ["run"], True, most=0).collect()}
+    assert got == sequential_butina(n, links, True)
+    assert 1 <= len(rounds) <= len(set(got.values())) and (lead == 1 or len(rounds) < len(set(got.values())))
