@@ -56,7 +56,7 @@ from . import bytesops as B
 from .common import components, removed, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, FIRST_BANDS = 2_000, 20_000, 500, 64 << 20, 2
+TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, FIRST_BANDS, FEW_BYTES = 2_000, 20_000, 500, 64 << 20, 2, 8 << 20
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -566,7 +566,10 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     place = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "row")
     named = rows.select("row", place.alias("place")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
     keep = written(named.groupBy("component_id").agg(F.min_by("row", "place").alias("row")).select("row"))
+    dropped = written(named.join(keep, "row", "left_anti").select("row"))
     removed(*tables)
+    if 8 * dropped.count() <= FEW_BYTES:  # texts stay where they are
+        return rows.join(F.broadcast(dropped), "row", "left_anti").select("doc.*")
     return rows.join(keep, "row", "left_semi").select("doc.*")
 
 

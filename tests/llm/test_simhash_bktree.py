@@ -249,3 +249,18 @@ def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert H.near_duplicate_groups(empty).count() == 0
     assert H.representatives(empty).count() == 0
+
+
+@pytest.mark.parametrize("few", [8 << 20, 0])
+def test_representatives_leave_texts_where_they_are(spark, monkeypatch, few):
+    monkeypatch.setattr(H, "FEW_BYTES", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(6)
+        texts = [words(rng, 60, 10_000) for _ in range(20)]
+        out = H.representatives(frame(spark, [(k, texts[k % 20], "en", "s", 1) for k in range(50)]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+        assert ("hashpartitioning" in plan) == (few == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
