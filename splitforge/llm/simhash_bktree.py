@@ -31,8 +31,8 @@ parts, each linked by itself; then one text a component and part stands for it i
 next round, until a band fits or no round joins more.  Texts of one component need no
 more comparison, so a band of near copies, however large, is done: each text was dealt
 once.  Where texts of several components are left in such a band, those outside its
-largest component are compared with all parts of it and with each other, by sketches
-alone; sets are fetched only for pairs whose sketches agree.
+largest component are compared with all parts of it and with each other, in shards of
+two parts of ``CROSS_TEXTS`` texts with their sets: no pair of texts is ever a row.
 
 Nulls: a null or empty text has fingerprint zero and links like any other; rows
 with a null doc_id get fingerprints, take part in linking and are never a
@@ -48,6 +48,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ from . import bytesops as B
 from .common import components, removed, table, written
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, FIRST_BANDS, FEW_BYTES = 2_000, 20_000, 500, 64 << 20, 2, 8 << 20
+TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, CROSS_TEXTS, FIRST_BANDS, FEW_BYTES = 2_000, 20_000, 500, 64 << 20, 2_000, 2, 8 << 20
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -134,8 +135,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _few(rows: DataFrame, width: int) -> DataFrame:
+    """The rows, of ``width`` bytes each or so, sent to all tasks if they are within ``FEW_BYTES``: what they are joined with stays where it is."""
+    return F.broadcast(rows) if width * rows.count() <= FEW_BYTES else rows
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, members) for ``wanted`` (node, set_id, id): the distinct shingle hashes in order, from the documents of these ids."""
+    """(node, members, ...) for ``wanted`` (node, set_id, id, ...): the distinct shingle hashes in order, from the documents of these ids.
+
+    Where documents share an id, a node may come several times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in B.chunks(batches, "text"):
@@ -143,11 +152,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    some = texts.join(wanted.select("id").distinct(), "id", "left_semi").union(texts.filter("id is null"))
+    some = texts.join(_few(wanted.select("id").distinct(), 16), "id", "left_semi").union(texts.filter("id is null"))
     found = some.mapInArrow(run, "id long, set_id binary, members binary")
-    named = wanted.select("node", F.col("set_id").alias("of"), F.col("id").alias("at"))
-    each = found.join(named, F.expr("set_id = of and id <=> at"))
-    return each.select("node", "set_id", "members").dropDuplicates(["node", "set_id"]).select("node", "members")
+    named = wanted.withColumnsRenamed({"set_id": "of", "id": "at"})
+    return found.join(_few(named, 96), F.expr("set_id = of and id <=> at")).select("node", "members", *[c for c in wanted.columns if c not in ("node", "set_id", "id")])
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +248,13 @@ def _sketches(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
 
 
+def _once(rows: pa.Table) -> pa.Table:
+    """Sorted (key, node, ...) without rows that repeat the one before."""
+    key, node = (rows.column(i).to_numpy() for i in (0, 1))
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+    return rows if new.all() else rows.filter(pa.array(new))
+
+
 def _pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
     found = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
@@ -259,6 +274,7 @@ def _alike(similarity: float):
                     yield i, j
 
     def links(rows: pa.Table) -> pa.RecordBatch:
+        rows = _once(rows)
         key, node = (rows.column(i).to_numpy() for i in (0, 1))
         sketch = _sketches(rows)
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
@@ -271,23 +287,31 @@ def _alike(similarity: float):
     return _by_shard(links, 32 << 20)
 
 
-def _near_sketches(similarity: float):
-    """Sorted (key, node, sketch, component, side) -> pairs (u, v) of one shard in different components whose sketches agree; of side 0 only with side 1."""
+def _alike_across(similarity: float):
+    """Sorted (key, node, sketch, members, component, side) -> edges (u, v) that join components of one shard; of side 0 only with side 1, of side 2 with all."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        key, node, component, side = (rows.column(i).to_numpy() for i in (0, 1, 3, 4))
+        rows = _once(rows)
+        key, node, component, side = (rows.column(i).to_numpy() for i in (0, 1, 4, 5))
         sketch = _sketches(rows)
         cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         out = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for i in (lo + np.flatnonzero(side[lo:hi] == 1)).tolist():
-                others = lo + np.flatnonzero((component[lo:hi] != component[i]) & ((side[lo:hi] == 0) | (node[lo:hi] < node[i])))
-                agree = np.count_nonzero(sketch[others] == sketch[i], axis=1) / sketch.shape[1]
-                near = others[agree >= similarity - SLACK]
-                out.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
+            own, at, bits = side[lo:hi], node[lo:hi], sketch[lo:hi]
+            sets = [np.frombuffer(m, np.uint64) for m in rows.column(3).slice(lo, hi - lo).to_pylist()]
+            _, first, group = np.unique(component[lo:hi], return_index=True, return_inverse=True)
+            root = first[group]  # the first text of the component, the least: ``first`` is of first occurrences
+            for i in np.flatnonzero(own > 0).tolist():
+                others = np.flatnonzero((root != root[i]) & ((own == 0) | (np.arange(hi - lo) < i) & (own == 2)))
+                agree = np.count_nonzero(bits[others] == bits[i], axis=1) / bits.shape[1]
+                near = agree >= similarity - SLACK
+                for j in others[near][np.argsort(-agree[near], kind="stable")].tolist():
+                    if root[i] != root[j] and _similar(sets[i], sets[j], similarity):
+                        _join(root, np.array([j]), np.array([i]))
+                        out.append(at[[[i, j]]])
         return _pairs(out)
 
-    return _by_shard(links, 8 << 20)
+    return _by_shard(links, 32 << 20)
 
 
 def _near_others(similarity: float):
@@ -367,13 +391,16 @@ def blocks_for(nodes: int, radius: int) -> int:
 
 
 def _split(dealt: DataFrame, most: int) -> DataFrame:
-    """``dealt`` (key, node, ...) with the rows of keys that others share; keys of more than ``most`` rows are cut into parts, and every two parts share a new key."""
-    shared = written(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    """``dealt`` (key, node, ...); keys of more than ``most`` rows are cut into parts, and every two parts share a new key.
+
+    Only the large keys, at most one in ``most`` rows, are joined, so rows stay where they are until they are dealt.
+    """
+    large = written(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most))
     parts = F.ceil(F.col("n") / most).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda q: q != F.col("own"))
-    keys = F.when(F.col("n") <= most, F.array("key")).otherwise(F.transform(others, lambda q: F.xxhash64("key", F.least("own", q), F.greatest("own", q))))
-    return dealt.join(shared, "key").withColumn("own", own).withColumn("key", F.explode(keys)).drop("n", "own")
+    keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(F.transform(others, lambda q: F.xxhash64("key", F.least("own", q), F.greatest("own", q))))
+    return dealt.join(_few(large, 32), "key", "left").withColumn("own", own).withColumn("key", F.explode(keys)).drop("n", "own")
 
 
 def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, most: int = SHARD_NODES) -> DataFrame:
@@ -391,25 +418,24 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None
 def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(edges, bands): the links found within bands, and the (key) of those that had to be cut.
 
-    ``dealt`` (key, node, sketch, bytes) has the texts of bands that others share.
+    ``dealt`` (key, node, sketch, bytes[, members]) has the texts of bands that others share.
     """
     edges, alive, before, first = None, dealt, None, None
     while True:
         sizes = alive.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
-        parts = written(sizes.select("key", F.ceil(F.greatest(F.col("n") / SHARD_TEXTS, F.col("all") / SHARD_BYTES)).cast("int").alias("parts")))
-        cut = alive.join(parts, "key").withColumn("part", F.when(F.col("parts") <= 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))))
-        # written, so that both sides of the join are plain shuffles, which Spark can split
-        of_parts = written(cut.select(F.col("part").alias("key"), "node", "sketch"))
-        rows = of_parts.join(members, "node").select("key", "node", "sketch", "members")
+        parts = F.ceil(F.greatest(F.col("n") / SHARD_TEXTS, F.col("all") / SHARD_BYTES)).cast("int")
+        hot = written(sizes.select("key", parts.alias("parts")).filter("parts > 1"))
+        cut = alive.join(_few(hot, 32), "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))))
+        rows = cut if "members" in alive.columns else _few(cut.select("key", "node", "sketch"), 48 + SKETCH).join(members, "node")
+        rows = rows.select("key", "node", "sketch", "members")
         found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
         edges = written(found) if edges is None else written(edges.unionByName(found).distinct())
-        removed(of_parts)
-        hot = parts.filter("parts > 1").select("key")
+        hot = hot.select("key")
         first = hot if first is None else first
         if hot.isEmpty():
             return edges, first
         named = components(edges)
-        standing = alive.join(hot, "key", "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        standing = alive.select("key", "node", "sketch", "bytes").join(_few(hot, 24), "key", "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
         alive = written(standing.groupBy("key", "component").agg(F.min_by(F.struct("node", "sketch", "bytes"), "node").alias("x")).select("key", "x.*"))
         n = alive.count()
         if before is not None and n > 0.9 * before:
@@ -426,7 +452,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     shared = written(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     each = written(each.join(shared.select("key"), "key", "left_semi"))
     wanted = nodes.join(each.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
-    members = written(_sets(docs, written(wanted), shingle))
+    members = written(_sets(docs, written(wanted), shingle).dropDuplicates(["node"]))
     dealt = written(each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node"))
     edges, large = _linked_bands(dealt.filter(F.col("band") < FIRST_BANDS).drop("band"), members, similarity)
     # the first bands link most copies; of the others only those with texts of several components are left to look at
@@ -461,55 +487,49 @@ def fingerprint_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarit
     of = fps.join(near, "node", "left").select("fp", F.coalesce("component", "node").alias("key"))
     each = nodes.join(of, "fp")
     shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    each = written(each.join(shared, "key", "left_semi").select("key", "node", "least", "set_id", "fp"))
-    members = written(_sets(docs, each.select("node", "set_id", F.col("least").alias("id")), shingle))
-    sized = each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node")
-    dealt = written(sized.select("key", "node", "fp", "bytes").mapInArrow(_bit_sketches, "key long, node long, sketch binary, bytes long"))
+    each = written(each.join(shared, "key", "left_semi").select("key", "node", F.col("least").alias("id"), "set_id", "fp"))
+    # sets are written where they are made, with their keys: they move once, to the shard that counts them
+    dealt = written(_sets(docs, each, shingle).select("key", "node", "fp", "members").mapInArrow(_bit_sketches, "key long, node long, sketch binary, bytes long, members binary"))
+    members = dealt.select("node", "members")
     edges, large = _linked_bands(dealt, members, similarity)
     if not large.isEmpty():
         edges = _across(dealt, large, edges, members, similarity)
-    removed(fps, each, dealt, members)
+    removed(fps, each, dealt)
     return edges
 
 
 def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, fp, bytes) with a byte for each bit of the fingerprint in its place."""
+    """(key, node, fp, members) with a byte for each bit of the fingerprint in its place, and the bytes of the members."""
     for batch in batches:
         bits = np.unpackbits(batch.column(2).to_numpy().view(np.uint8).reshape(-1, 8), axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in bits], pa.binary()), batch.column(3)], names=["key", "node", "sketch", "bytes"])
+        columns = [batch.column(0), batch.column(1), pa.array([row.tobytes() for row in bits], pa.binary()), pc.binary_length(batch.column(3)).cast(pa.int64()), batch.column(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "sketch", "bytes", "members"])
 
 
 def _across(dealt: DataFrame, large: DataFrame, edges: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """``edges`` and those that are missing in the bands ``large`` (key) that were cut: texts of different components may still be alike."""
-    named = dealt.join(large, "key", "left_semi").join(components(edges), "node", "left")
-    left = written(named.select("key", "node", "sketch", F.coalesce("component", "node").alias("component")))
-    groups = left.groupBy("key", "component").agg(F.count("*").alias("m"))
-    tops = written(groups.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.max("m").alias("main"), F.sum("m").alias("n")).filter("n > main"))
-    sided = left.join(tops, "key").withColumn("main_parts", F.ceil(F.col("main") / SHARD_TEXTS).cast("int"))
-    main = sided.filter("component = top").select(F.xxhash64("key", F.lit(0), F.pmod(F.xxhash64("node", F.lit(6)), F.col("main_parts")).cast("int")).alias("key"), "node", "sketch", "component", F.lit(0).alias("side"))
-    rest = sided.filter("component <> top")
-    to_main = F.transform(F.sequence(F.lit(0), F.col("main_parts") - 1), lambda q: F.xxhash64("key", F.lit(0), q))
-    against = rest.select(F.explode(to_main).alias("key"), "node", "sketch", "component", F.lit(1).alias("side"))
-    own = rest.select("key", "node", "sketch", "component", F.lit(1).alias("side"))
-    among = _split(own, SHARD_TEXTS)
-    rows = main.unionByName(against).unionByName(among.select("key", "node", "sketch", "component", "side"))
-    near = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_sketches(similarity), "u long, v long").distinct())
-    edges = written(edges.unionByName(_confirmed(near, members, similarity)).distinct())
-    removed(left, tops, near)
-    return edges
-
+    """``edges`` and those that are missing in the bands ``large`` (key) that were cut: texts of different components may still be alike.
 
-def _confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column(2), batch.column(3))
-            keep = [_similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in both]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(members.withColumnsRenamed({"node": "u", "members": "a"}), "u").join(members.withColumnsRenamed({"node": "v", "members": "b"}), "v")
-    return one.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    The largest component and the rest are cut into parts; a part of the rest meets each part of both.
+    """
+    named = dealt.select("key", "node", "sketch", "bytes").join(_few(large.distinct(), 24), "key", "left_semi").join(components(edges), "node", "left")
+    left = written(named.select("key", "node", "sketch", "bytes", F.coalesce("component", "node").alias("component")))
+    groups = left.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
+    tops = groups.groupBy("key").agg(F.max_by(F.struct("component", "m", "b"), F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.sum("b").alias("all")).filter("n > top.m")
+    parts = lambda n, size: F.ceil(F.greatest(n / CROSS_TEXTS, 2 * size / SHARD_BYTES)).cast("int")
+    tops = written(tops.select("key", F.col("top.component").alias("top"), parts(F.col("top.m"), F.col("top.b")).alias("main_parts"), parts(F.col("n") - F.col("top.m"), F.col("all") - F.col("top.b")).alias("rest_parts")))
+    main = F.col("component") == F.col("top")
+    sided = left.join(_few(tops, 40), "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(6)), F.when(main, F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int"))
+    shard = lambda kind, a, b, side: F.struct(F.xxhash64("key", F.lit(kind), a, b).alias("key"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_main = F.transform(upto("rest_parts"), lambda q: shard(0, F.col("own"), q, F.lit(0)))
+    to_main = F.transform(upto("main_parts"), lambda q: shard(0, q, F.col("own"), F.lit(1)))
+    to_rest = F.transform(upto("rest_parts"), lambda q: shard(1, F.least("own", q), F.greatest("own", q), F.when(F.col("own") == q, 2).when(F.col("own") < q, 0).otherwise(1)))
+    own = _few(sided.withColumn("at", F.when(main, of_main).otherwise(F.concat(to_main, to_rest))).select("node", "sketch", "component", "at"), 64 + SKETCH).join(members, "node")
+    rows = own.select(F.explode("at").alias("at"), "node", "sketch", "members", "component").select("at.key", "node", "sketch", "members", "component", "at.side")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike_across(similarity), "u long, v long")
+    edges = written(edges.unionByName(found).distinct())
+    removed(left, tops)
+    return edges
 
 
 def near_duplicate_groups(

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from splitforge.llm import simhash_bktree as H
 
@@ -264,3 +265,32 @@ def test_representatives_leave_texts_where_they_are(spark, monkeypatch, few):
         assert ("hashpartitioning" in plan) == (few == 0)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sets_stay_where_they_are_made(spark):
+    """Sets are named by a small table that all tasks get, so that they move once only, to their shard."""
+    docs = frame(spark, [(k, f"text number {k} of a few", "en", "s", 1) for k in range(9)])
+    nodes = H.fingerprints(docs, 5, sets=True).select(F.col("doc_id").alias("node"), "set_id", F.col("doc_id").alias("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = H._sets(docs, nodes.filter("node < 4"), 5)
+        assert sorted(r.node for r in found.collect()) == [0, 1, 2, 3]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("size", [{"CROSS_TEXTS": 4}, {"SHARD_BYTES": 20_000, "FEW_BYTES": 0}])
+def test_cut_components_of_fingerprints_lose_no_link(spark, monkeypatch, size):
+    """Parts meet each other with their sets; no pair of texts becomes a row."""
+    docs = frame(spark, drifting(32))
+    options = {"shingle": 5, "radius": 24, "blocks": 9, "agree": 1, "similarity": 0.8, "bands": 0}
+    groups_of = lambda: {r.doc_id: r.component_id for r in H.near_duplicate_groups(docs, **options).collect()}
+    want = groups_of()
+    crossed, across = [], H._across
+    monkeypatch.setattr(H, "_across", lambda *a: crossed.append(a) or across(*a))
+    monkeypatch.setattr(H, "SHARD_TEXTS", 7)
+    for name, value in size.items():
+        monkeypatch.setattr(H, name, value)
+    assert groups_of() == want and crossed and 3 < len(set(want.values())) < len(want)
