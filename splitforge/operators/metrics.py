@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .shared import matched, running
+from .forest import forest_means
+from .shared import matched, running, saved
 
-FOREST = {"trees": 500, "depth": 30, "features": "0.5", "seed": 42}  # 30: the deepest that Spark ML grows
+FOREST = {"trees": 500, "depth": 30, "features": "0.5", "seed": 42}
 
 
 def classification_metrics(rows: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
@@ -56,18 +57,22 @@ def numeric_columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in but]
 
 
-def forest_predictions(train: DataFrame, rows: DataFrame, features: str, label: str, task: str = "classification", trees: int = FOREST["trees"], depth: int = FOREST["depth"]) -> DataFrame:
-    """rows with y, pred and score of a random forest with class weights (classification) fitted on train."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.regression import RandomForestRegressor
-
-    vec = lambda df: df.withColumn("__x", array_to_vector(F.col(features).cast("array<double>"))).withColumn("__y", F.col(label).cast("double"))
-    options = {"featuresCol": "__x", "labelCol": "__y", "numTrees": trees, "featureSubsetStrategy": FOREST["features"], "seed": FOREST["seed"], "maxDepth": depth}
-    if task == "regression":
-        out = RandomForestRegressor(**options).fit(vec(train)).transform(vec(rows))
-        return out.select(*rows.columns, F.col("__y").alias("y"), F.col("prediction").alias("pred"), F.col("prediction").alias("score"))
-    sizes = vec(train).groupBy("__y").agg(F.count("*").alias("__n"))
-    weighted = vec(train).join(sizes, "__y").withColumn("__w", 1.0 / F.col("__n"))
-    out = RandomForestClassifier(weightCol="__w", **options).fit(weighted).transform(vec(rows))
-    return out.select(*rows.columns, F.col("__y").alias("y"), F.col("prediction").alias("pred"), F.get(vector_to_array("probability"), 1).alias("score"))
+def forest_predictions(train: DataFrame, rows: DataFrame, id_: str, features: str, label: str, task: str = "classification", trees: int = FOREST["trees"], depth: int = FOREST["depth"]) -> DataFrame:
+    """rows with y, pred and score of a random forest with balanced class weights (classification) fitted on train; labels of classes are 0, 1, ...
+
+    ``id_`` is a key of both tables; what the forest draws goes by its hash.
+    """
+    row = [F.col(id_).alias("id"), F.xxhash64(id_).alias("hash"), F.col(label).cast("double").alias("y")]
+    fitted = train.filter(F.col(label).isNotNull()).select(*row, F.lit(True).alias("train"), F.lit(False).alias("asked"), features)
+    both = fitted.unionByName(rows.select(*row, F.lit(False).alias("train"), F.lit(True).alias("asked"), features))
+    weights = None
+    if task != "regression":
+        sizes = {r.y: r["count"] for r in fitted.groupBy("y").count().collect()}
+        if any(y < 0 or y != int(y) for y in sizes):
+            raise ValueError("classes must be 0, 1, ...")
+        weights = [sum(sizes.values()) / (len(sizes) * sizes[c]) if c in sizes else 0.0 for c in range(int(max([*sizes, 1])) + 1)]
+    told = saved(forest_means(both, features, weights, trees, depth, float(FOREST["features"]), FOREST["seed"])).withColumnRenamed("id", "__id")
+    out = rows.join(told, F.col(id_) == F.col("__id"))
+    pred = F.get("means", 0) if weights is None else (F.array_position("means", F.array_max("means")) - 1).cast("double")
+    score = F.get("means", 0 if weights is None else 1)
+    return out.select(*rows.columns, F.col(label).cast("double").alias("y"), pred.alias("pred"), score.alias("score"))
