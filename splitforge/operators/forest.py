@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import saved
 
-BINS, CELLS, TASKS, ONE = 32, 1 << 18, 24, 1 << 32
+BINS, CELLS, ROWS, TASKS, ONE = 32, 1 << 18, 1 << 15, 24, 1 << 32
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 17)]))
 
 
@@ -63,12 +63,16 @@ def best_cuts(codes: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarr
     for lo in range(0, len(features), step):
         hi = min(lo + step, len(features))
         a, b = np.searchsorted(at, [lo, hi])
-        keys = features[at[a:b]]
-        keys += np.arange(a * n, b * n, n)[:, None]
-        keys = codes.take(keys).astype(np.int64)
-        keys += ((at[a:b] - lo) * (pick * BINS))[:, None]
-        keys += np.arange(0, pick * BINS, BINS)
-        sums = _sums(keys.reshape(-1), (hi - lo) * pick * BINS, np.repeat(y[a:b], pick), np.repeat(weight[a:b], pick), classes)
+        sums = None
+        for c in range(a, b, ROWS):
+            d = min(c + ROWS, b)
+            keys = features[at[c:d]]
+            keys += np.arange(c * n, d * n, n)[:, None]
+            keys = codes.take(keys).astype(np.int64)
+            keys += ((at[c:d] - lo) * (pick * BINS))[:, None]
+            keys += np.arange(0, pick * BINS, BINS)
+            own = _sums(keys.reshape(-1), (hi - lo) * pick * BINS, np.repeat(y[c:d], pick), np.repeat(weight[c:d], pick), classes)
+            sums = own if sums is None else [s + t for s, t in zip(sums, own)]
         sums = [np.cumsum(s.reshape(hi - lo, pick, BINS), axis=2) for s in sums]
         whole = [s[:, :1, -1:] for s in sums]
         w, every = (sum(sums[1:], sums[0]), sum(whole[1:], whole[0])) if classes else (sums.pop(), whole.pop())

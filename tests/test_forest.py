@@ -12,20 +12,21 @@ from splitforge.operators import metrics as M
 
 
 @pytest.mark.parametrize("classes", [0, 3])
-@pytest.mark.parametrize("cells", [1, forest.CELLS])
-def test_best_cuts_equal_all_cuts_tried(monkeypatch, classes, cells):
+@pytest.mark.parametrize(("cells", "rows"), [(1, 7), (forest.CELLS, 50), (forest.CELLS, forest.ROWS)])
+def test_best_cuts_equal_all_cuts_tried(monkeypatch, classes, cells, rows):
     monkeypatch.setattr(forest, "CELLS", cells)
+    monkeypatch.setattr(forest, "ROWS", rows)
     rng = np.random.default_rng(1)
     codes, at = rng.integers(0, 6, (120, 5)).astype(np.uint8), rng.integers(0, 7, 120)
     codes[at == 3] = 2  # nothing to cut
     y, weight = (rng.integers(0, 3, 120) if classes else rng.normal(size=120)), rng.integers(1, 4, 120).astype(float)
     features = np.tile([0, 2, 3], (7, 1))
 
-    def left_over(rows):
-        w = weight[rows]
+    def left_over(some):
+        w = weight[some]
         if classes:
-            return w.sum() - sum(w[y[rows] == c].sum() ** 2 for c in range(3)) / w.sum()
-        return (w * (y[rows] - np.average(y[rows], weights=w)) ** 2).sum()
+            return w.sum() - sum(w[y[some] == c].sum() ** 2 for c in range(3)) / w.sum()
+        return (w * (y[some] - np.average(y[some], weights=w)) ** 2).sum()
 
     feature, cut = forest.best_cuts(codes, at, y, weight, features, classes)
     for node in range(7):
