@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that a task makes a forest of at once, and bytes of a table that is sent to all tasks.
+LINKS, FEW_BYTES = 1 << 20, 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,31 +54,66 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for undirected edges (u, v) of longs; component is the least node reachable.
+def few(rows: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """The rows, of ``width`` bytes each or so, sent to all tasks if they are within ``most`` bytes: what they are joined with stays where it is."""
+    return F.broadcast(rows) if width * rows.count() <= (FEW_BYTES if most is None else most) else rows
+
+
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the sets of a[i] and b[i]; root stays flat, each set named by its least member."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) -> links (v, u) of the same components: ``LINKS`` at a time, each node and the least one that these links lead to."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        links = pa.Table.from_batches(held)
+        node, at = np.unique(np.concatenate([links.column(i).to_numpy() for i in (0, 1)]), return_inverse=True)
+        root = np.arange(len(node))
+        united(root, at[: links.num_rows], at[links.num_rows :])
+        low = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[low]), pa.array(node[root[low]])], names=["v", "u"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LINKS:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
 
-    Alternates the large-star and small-star steps until the edges stand still.
-    Each step is one aggregation (combined before the shuffle) and one join, and
-    each round is written to the shared folder, so the plan stays short.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for undirected edges (u, v) of longs; component is the least node reachable, and no node is its own.
+
+    Links are made a forest where they are read, so a node has one lower node for each
+    ``LINKS`` links at most, however many it had.  A round gathers these lower nodes,
+    joins them and the node to the least of them, and that one's least in its place
+    (small-star and pointer jumping), until each node has one and that has none.  A round
+    is one shuffle, and a join that needs none up to ``FEW_BYTES``; it is written to the
+    shared folder, so the plan stays short and a join at a hub can be split.
     """
-    edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct())
-    state = None
+    links, before = edges.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")), None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that both sides of the join are plain shuffles, which Spark can split at a hub
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").filter("v > u").select(F.col("v"), F.col("m").alias("u")).filter("u <> v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (
-            large.join(down, "v")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v"), F.col("m").alias("u")))).alias("e"))
-            .select("e.u", "e.v")
-            .filter("u <> v")
-            .distinct()
-        )
-        edges = written(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u"), F.col("u")).distinct())
+        lower = links.mapInArrow(_forest, "v long, u long").groupBy("v").agg(F.collect_set("u").alias("all"))
+        now = written(lower.select("v", F.array_min("all").alias("u"), F.filter("all", lambda x: x != F.array_min("all")).alias("more")))
+        if before is not None:
+            removed(before)
+        least = now.select(F.col("v").alias("at"), F.col("u").alias("least"))
+        stepped = now.join(few(least, 16), F.expr("u = at"), "left")
+        if stepped.filter("at is not null or size(more) > 0").isEmpty():
+            return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
+        links, before = stepped.select(F.coalesce("least", "u").alias("u"), F.explode(F.concat(F.array("v"), "more")).alias("v")), now

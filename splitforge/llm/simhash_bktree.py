@@ -54,10 +54,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import components, removed, table, written
+from .common import components, few, removed, table, written
+from .common import united as _join
 
 SHINGLE, RADIUS, SEED, SKETCH, BAND_ROWS, SLACK = 4, 4, 42, 256, 4, 0.1
-TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, CROSS_TEXTS, FIRST_BANDS, FEW_BYTES = 2_000, 20_000, 500, 64 << 20, 2_000, 2, 8 << 20
+TREE, SHARD_NODES, SHARD_TEXTS, SHARD_BYTES, CROSS_TEXTS, FIRST_BANDS, FEW_BYTES, STEP = 2_000, 20_000, 500, 64 << 20, 2_000, 2, 8 << 20, 256
 
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -136,8 +137,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: int = 0, bands
 
 
 def _few(rows: DataFrame, width: int) -> DataFrame:
-    """The rows, of ``width`` bytes each or so, sent to all tasks if they are within ``FEW_BYTES``: what they are joined with stays where it is."""
-    return F.broadcast(rows) if width * rows.count() <= FEW_BYTES else rows
+    return few(rows, width, FEW_BYTES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    some = texts.join(_few(wanted.select("id").distinct(), 16), "id", "left_semi").union(texts.filter("id is null"))
+    some = texts.join(_few(wanted.select("id"), 16), "id", "left_semi").union(texts.filter("id is null"))
     found = some.mapInArrow(run, "id long, set_id binary, members binary")
     named = wanted.withColumnsRenamed({"set_id": "of", "id": "at"})
     return found.join(_few(named, 96), F.expr("set_id = of and id <=> at")).select("node", "members", *[c for c in wanted.columns if c not in ("node", "set_id", "id")])
@@ -214,22 +214,6 @@ class BKForest:
         return root
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unites the sets of a[i] and b[i]; root stays flat, each set named by its least member."""
-    while len(a):
-        x, y = root[a], root[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        if not len(a):
-            return
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
-
-
 def _block_masks(blocks: int) -> list[int]:
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
@@ -244,6 +228,41 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both == many or both >= similarity * (len(x) + len(y) - both)
 
 
+class _Sets:
+    """Sets of a shard, given as sorted arrays; one is compared with ``STEP`` others at a time."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float) -> None:
+        self.size, self.similarity = np.fromiter(map(len, sets), np.int64, len(sets)), similarity
+        self.start = np.cumsum(self.size) - self.size
+        values, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.at, self.marked = at.astype(np.int32), np.zeros(len(values), bool)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of the others, in their order, those that ``_similar`` accepts with i."""
+        n = self.size[others]
+        others = others[np.minimum(n, self.size[i]) >= self.similarity * np.maximum(n, self.size[i])]
+        own = self.at[self.start[i] : self.start[i] + self.size[i]]
+        self.marked[own] = True
+        which, slot = _ranges(self.start[others], self.size[others])
+        both = np.bincount(which[self.marked[self.at[slot]]], minlength=len(others))
+        self.marked[own] = False
+        n = self.size[others]
+        return others[(both == np.maximum(n, len(own))) | (both >= self.similarity * (n + len(own) - both))]
+
+    def joined(self, root: np.ndarray, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Joins i with each similar one of the others that is not joined to it already; gives the pairs."""
+        lo, step = 0, 1  # the first are the most alike: often one joins all
+        while lo < len(others):
+            some = others[lo : lo + step]
+            for j in self.similar(i, some[root[some] != root[i]]).tolist():
+                if root[i] != root[j]:
+                    _join(root, np.array([j]), np.array([i]))
+                    yield i, j
+            lo, step = lo + step, min(2 * step, STEP)
+            if not (root[others[lo:]] != root[i]).any():
+                return
+
+
 def _sketches(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
 
@@ -264,14 +283,11 @@ def _alike(similarity: float):
     """Sorted (key, node, sketch, members) -> edges (u, v) of the similarity or more, by the sets of members; each run of equal keys is one shard."""
 
     def linked(sketch: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        root = np.arange(len(sets))
+        root, known = np.arange(len(sets)), _Sets(sets, similarity)
         for i in range(1, len(sets)):
             agree = np.count_nonzero(sketch[:i] == sketch[i], axis=1) / sketch.shape[1]
             near = np.flatnonzero(agree >= similarity - SLACK)
-            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                if root[i] != root[j] and _similar(sets[i], sets[j], similarity):
-                    _join(root, np.array([j]), np.array([i]))
-                    yield i, j
+            yield from known.joined(root, i, near[np.argsort(-agree[near], kind="stable")])
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         rows = _once(rows)
@@ -300,15 +316,13 @@ def _alike_across(similarity: float):
             own, at, bits = side[lo:hi], node[lo:hi], sketch[lo:hi]
             sets = [np.frombuffer(m, np.uint64) for m in rows.column(3).slice(lo, hi - lo).to_pylist()]
             _, first, group = np.unique(component[lo:hi], return_index=True, return_inverse=True)
+            known = _Sets(sets, similarity)
             root = first[group]  # the first text of the component, the least: ``first`` is of first occurrences
             for i in np.flatnonzero(own > 0).tolist():
                 others = np.flatnonzero((root != root[i]) & ((own == 0) | (np.arange(hi - lo) < i) & (own == 2)))
                 agree = np.count_nonzero(bits[others] == bits[i], axis=1) / bits.shape[1]
                 near = agree >= similarity - SLACK
-                for j in others[near][np.argsort(-agree[near], kind="stable")].tolist():
-                    if root[i] != root[j] and _similar(sets[i], sets[j], similarity):
-                        _join(root, np.array([j]), np.array([i]))
-                        out.append(at[[[i, j]]])
+                out += [at[[[i, j]]] for i, j in known.joined(root, i, others[near][np.argsort(-agree[near], kind="stable")])]
         return _pairs(out)
 
     return _by_shard(links, 32 << 20)
@@ -404,7 +418,7 @@ def _split(dealt: DataFrame, most: int) -> DataFrame:
 
 
 def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, agree: int | None = None, most: int = SHARD_NODES) -> DataFrame:
-    """(u, v) edges between ``nodes`` (node long, fp long; fp distinct) whose closure links every pair within the radius.
+    """(u, v) edges, some of them repeated, between ``nodes`` (node long, fp long; fp distinct) whose closure links every pair within the radius.
 
     ``agree`` whole blocks make a key.  Left out, it is blocks - radius, and no pair
     within the radius can be missed; set higher for wide radii, a pair is met if it
@@ -412,11 +426,11 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None
     """
     blocks = blocks or blocks_for(nodes.count(), radius)
     dealt = _split(nodes.select(F.explode(_keys(radius, blocks, agree)).alias("key"), "fp", "node"), most)
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards(radius), "u long, v long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards(radius), "u long, v long")
 
 
-def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(edges, bands): the links found within bands, and the (key) of those that had to be cut.
+def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, bands, named): the links found within bands or stars of the same components, the (key) of those that had to be cut, and the components if they are known.
 
     ``dealt`` (key, node, sketch, bytes[, members]) has the texts of bands that others share.
     """
@@ -428,18 +442,19 @@ def _linked_bands(dealt: DataFrame, members: DataFrame, similarity: float) -> tu
         cut = alive.join(_few(hot, 32), "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))))
         rows = cut if "members" in alive.columns else _few(cut.select("key", "node", "sketch"), 48 + SKETCH).join(members, "node")
         rows = rows.select("key", "node", "sketch", "members")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long").distinct()
-        edges = written(found) if edges is None else written(edges.unionByName(found).distinct())
+        found = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike(similarity), "u long, v long"))
+        edges = found if edges is None else edges.unionByName(found)
         hot = hot.select("key")
         first = hot if first is None else first
         if hot.isEmpty():
-            return edges, first
+            return edges, first, None
         named = components(edges)
-        standing = alive.select("key", "node", "sketch", "bytes").join(_few(hot, 24), "key", "left_semi").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        edges = named.select(F.col("component").alias("u"), F.col("node").alias("v"))
+        standing = alive.select("key", "node", "sketch", "bytes").join(_few(hot, 24), "key", "left_semi").join(_few(named, 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
         alive = written(standing.groupBy("key", "component").agg(F.min_by(F.struct("node", "sketch", "bytes"), "node").alias("x")).select("key", "x.*"))
         n = alive.count()
         if before is not None and n > 0.9 * before:
-            return edges, first
+            return edges, first, named
         before = n
 
 
@@ -454,7 +469,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     wanted = nodes.join(each.select("node").distinct(), "node", "left_semi").select("node", "set_id", F.col("least").alias("id"))
     members = written(_sets(docs, written(wanted), shingle).dropDuplicates(["node"]))
     dealt = written(each.join(members.select("node", F.octet_length("members").cast("long").alias("bytes")), "node"))
-    edges, large = _linked_bands(dealt.filter(F.col("band") < FIRST_BANDS).drop("band"), members, similarity)
+    edges, large, _ = _linked_bands(dealt.filter(F.col("band") < FIRST_BANDS).drop("band"), members, similarity)
     # the first bands link most copies; of the others only those with texts of several components are left to look at
     rest = dealt.filter(F.col("band") >= FIRST_BANDS).join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
@@ -466,7 +481,7 @@ def similar_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     more = written(still.join(near_others, ["key", "node"], "left_semi").select(columns).unionByName(still.filter(F.col("n") > SHARD_TEXTS).select(columns)))
     removed(still)
     if not more.isEmpty():
-        later, cut = _linked_bands(more, members, similarity)
+        later, cut, _ = _linked_bands(more, members, similarity)
         edges, large = written(edges.unionByName(later).distinct()), large.unionByName(cut)
     if large.isEmpty():
         removed(shared, each, dealt, members, more)
@@ -484,16 +499,17 @@ def fingerprint_edges(nodes: DataFrame, docs: DataFrame, shingle: int, similarit
     """
     fps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")))
     near = components(link_edges(fps, radius, blocks, agree))
-    of = fps.join(near, "node", "left").select("fp", F.coalesce("component", "node").alias("key"))
-    each = nodes.join(of, "fp")
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    each = written(each.join(shared, "key", "left_semi").select("key", "node", F.col("least").alias("id"), "set_id", "fp"))
+    of = written(fps.join(_few(near, 16), "node", "left").select("fp", F.coalesce("component", "node").alias("key")))
+    named = written(nodes.join(_few(of, 16), "fp").select("key", "node", F.col("least").alias("id"), "set_id", "fp"))
+    shared = written(named.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    each = written(named.join(_few(shared, 8), "key", "left_semi"))
+    removed(of, named, shared)
     # sets are written where they are made, with their keys: they move once, to the shard that counts them
     dealt = written(_sets(docs, each, shingle).select("key", "node", "fp", "members").mapInArrow(_bit_sketches, "key long, node long, sketch binary, bytes long, members binary"))
     members = dealt.select("node", "members")
-    edges, large = _linked_bands(dealt, members, similarity)
+    edges, large, named = _linked_bands(dealt, members, similarity)
     if not large.isEmpty():
-        edges = _across(dealt, large, edges, members, similarity)
+        edges = _across(dealt, large, edges, members, similarity, named)
     removed(fps, each, dealt)
     return edges
 
@@ -506,13 +522,14 @@ def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "sketch", "bytes", "members"])
 
 
-def _across(dealt: DataFrame, large: DataFrame, edges: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+def _across(dealt: DataFrame, large: DataFrame, edges: DataFrame, members: DataFrame, similarity: float, named: DataFrame | None = None) -> DataFrame:
     """``edges`` and those that are missing in the bands ``large`` (key) that were cut: texts of different components may still be alike.
 
     The largest component and the rest are cut into parts; a part of the rest meets each part of both.
     """
-    named = dealt.select("key", "node", "sketch", "bytes").join(_few(large.distinct(), 24), "key", "left_semi").join(components(edges), "node", "left")
-    left = written(named.select("key", "node", "sketch", "bytes", F.coalesce("component", "node").alias("component")))
+    named = components(edges) if named is None else named
+    rows = dealt.select("key", "node", "sketch", "bytes").join(_few(large, 24), "key", "left_semi").join(_few(named, 16), "node", "left")
+    left = written(rows.select("key", "node", "sketch", "bytes", F.coalesce("component", "node").alias("component")))
     groups = left.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
     tops = groups.groupBy("key").agg(F.max_by(F.struct("component", "m", "b"), F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.sum("b").alias("all")).filter("n > top.m")
     parts = lambda n, size: F.ceil(F.greatest(n / CROSS_TEXTS, 2 * size / SHARD_BYTES)).cast("int")
@@ -527,7 +544,7 @@ def _across(dealt: DataFrame, large: DataFrame, edges: DataFrame, members: DataF
     own = _few(sided.withColumn("at", F.when(main, of_main).otherwise(F.concat(to_main, to_rest))).select("node", "sketch", "component", "at"), 64 + SKETCH).join(members, "node")
     rows = own.select(F.explode("at").alias("at"), "node", "sketch", "members", "component").select("at.key", "node", "sketch", "members", "component", "at.side")
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_alike_across(similarity), "u long, v long")
-    edges = written(edges.unionByName(found).distinct())
+    edges = edges.unionByName(written(found))
     removed(left, tops)
     return edges
 
@@ -563,15 +580,16 @@ def _groups(
     else:
         edges = fingerprint_edges(nodes, docs, shingle, similarity, radius, blocks, agree)
     groups = components(edges)
-    named = written(nodes.select(by, "least", "node").join(groups, "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
+    named = written(nodes.select(by, "least", "node").join(_few(groups, 16), "node", "left").select(by, "least", F.coalesce("component", "node").alias("component")))
     removed(nodes)
     # Stand-ins are negative, so a component named by a number from 0 on has its least real id for a name.
     # Only below 0 the least real id is looked for: no stand-in ever is a component_id.
     below = named.filter("component < 0")
-    names = below.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = named.filter("component >= 0").select(by, F.col("component").alias("component_id"))
-    by_node = by_node.union(below.join(names, "component").select(by, "component_id"))
-    return marked.select(*{"doc_id": 0, "fp": 0, by: 0}).join(by_node, by).select("doc_id", "fp", "component_id"), [marked, named]
+    if not below.isEmpty():
+        names = below.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_node = by_node.union(below.join(names, "component").select(by, "component_id"))
+    return marked.select(*{"doc_id": 0, "fp": 0, by: 0}).join(_few(by_node, 32), by).select("doc_id", "fp", "component_id"), [marked, named]
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
@@ -584,10 +602,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
     groups, tables = _groups(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options)
     place = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), "row")
-    named = rows.select("row", place.alias("place")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    groups = written(groups.select(F.col("doc_id").alias("row"), "component_id"))
+    named = written(rows.select("row", place.alias("place")).join(_few(groups, 16), "row"))
     keep = written(named.groupBy("component_id").agg(F.min_by("row", "place").alias("row")).select("row"))
-    dropped = written(named.join(keep, "row", "left_anti").select("row"))
-    removed(*tables)
+    dropped = written(named.join(_few(keep, 8), "row", "left_anti").select("row"))
+    removed(*tables, groups, named)
     if 8 * dropped.count() <= FEW_BYTES:  # texts stay where they are
         return rows.join(F.broadcast(dropped), "row", "left_anti").select("doc.*")
     return rows.join(keep, "row", "left_semi").select("doc.*")

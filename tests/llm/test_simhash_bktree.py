@@ -294,3 +294,35 @@ def test_cut_components_of_fingerprints_lose_no_link(spark, monkeypatch, size):
     for name, value in size.items():
         monkeypatch.setattr(H, name, value)
     assert groups_of() == want and crossed and 3 < len(set(want.values())) < len(want)
+
+
+def test_sets_are_compared_as_pairs_are():
+    """One set against many gives what ``_similar`` gives pair by pair, empty sets and all."""
+    rng = np.random.default_rng(33)
+    sets = [np.zeros(0, np.uint64)] * 2 + [np.unique(rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
+    known = H._Sets(sets, 0.6)
+    for i in range(len(sets)):
+        others = np.delete(np.arange(len(sets)), i)
+        assert known.similar(i, others).tolist() == [j for j in others.tolist() if H._similar(sets[i], sets[j], 0.6)]
+
+
+@pytest.mark.parametrize("few", [8 << 20, 0])
+def test_components_take_few_shuffles(spark, monkeypatch, few):
+    """Long chains, a hub with the largest number and repeated links; rounds grow with the logarithm of a chain, and each is one written table."""
+    from splitforge.llm import common
+
+    rounds, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df: rounds.append(df) or write(df))
+    monkeypatch.setattr(common, "FEW_BYTES", few)
+    monkeypatch.setattr(common, "LINKS", 8)  # next to nothing is joined where it is read
+    rng = random.Random(34)
+    links = [(k, k + 1) for k in range(299)] + [(10**12, 1000 + k) for k in range(200)] + [(-5, -4), (-5, -4), (7, 7), (-9, -9)]
+    name = list(range(2000, 2300))
+    rng.shuffle(name)
+    links += [(name[k], name[k + 1]) for k in range(299)]
+    rng.shuffle(links)
+    got = common.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()
+    want = {k: 0 for k in range(1, 300)} | {1000 + k: 1000 for k in range(1, 200)} | {10**12: 1000, -4: -5} | {k: 2000 for k in range(2001, 2300)}
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert len(rounds) <= 14 and all(w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(v") == 1 for w in rounds)
+    assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
