@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,33 @@ def test_a_dense_sweep_writes_no_links(spark, monkeypatch):
     found, splits, summary = sweep.sweep_tunable_splits(rows, "id", WEIGHTS, CUTOFFS)
     assert summary.count() == 9 and found.count() == 9 * 600
     assert {r.n for r in splits.groupBy("weight", "cutoff").agg(F.sum("n_rows").alias("n")).collect()} == {600}
+
+
+@pytest.mark.parametrize(("width", "features", "zero"), [(10, 2, 0.3), (64, 5, 0.1), (130, 3, 0.0), (20, 0, 0.0)])
+def test_neighbours_are_those_within_the_cutoff(monkeypatch, width, features, zero):
+    """A pair's distances are not taken again for each setting: a number of shared bits decides, as the distance itself does."""
+    monkeypatch.setattr(leaders, "COLUMNS", 31)
+    monkeypatch.setattr(leaders, "TILE", 90)
+    rng = np.random.default_rng(width)
+
+    def made(n):
+        bits, counts = rng.random((n, width)) < 0.5, rng.integers(1, 5, (features, n)).astype(float)
+        bits[0], counts[rng.random((features, n)) < zero] = False, 0
+        code = [c.tobytes() for c in np.packbits(np.pad(bits, ((0, 0), (0, -width % 64))), axis=1)]
+        sums = {f"s{k}": c for k, c in enumerate(counts)}
+        rows = pa.table({"id": np.arange(n), "code": pa.array(code, pa.binary()), **sums, "size": rng.choice([1, 1, 3], n)})
+        return bits.astype(int), counts, leaders.Rows(rows, list(sums))
+
+    (bits_a, counts_a, a), (bits_b, counts_b, b) = made(120), made(70)
+    shared = bits_a @ bits_b.T
+    either = bits_a.sum(1)[:, None] + bits_b.sum(1) - shared
+    structure = np.where(either > 0, 1 - shared / np.maximum(either, 1), 0.0)
+    i, j = np.divmod(np.arange(120 * 70), 70)
+    gaps = blocks.count_gaps(counts_a[:, i], counts_b[:, j]).reshape(120, 70)
+    settings = [leaders.Setting(w, c, width) for w in (0.0, 0.1, 0.5, 1.0) for c in (0.2, 0.35, 0.45, 0.5, 0.75)]
+    n_a, n_b = leaders.neighbour_weights(a, b, settings)
+    for k, s in enumerate(settings):
+        near = (s.weight * structure + (1 - s.weight) * gaps).clip(0, 1).astype(np.float32).astype(float) <= s.cutoff
+        assert (near @ b.codes.weight == n_a[k]).all() and (a.codes.weight @ near == n_b[k]).all()
+        assert (leaders.first_leader(b, a, s) == np.where(near.any(0), near.argmax(0), -1)).all()
+        assert (np.array([leaders.linked_to(a, r, b, s) for r in range(40)]) == near[:40]).all()
